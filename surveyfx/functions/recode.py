@@ -86,6 +86,11 @@ def swap_codes(question: str | Column, response: str | Column, reversed_question
     return F.when(member(question, reversed_questions), flipped).otherwise(col(response))
 
 
+def strip_suffix(c: str | Column, text: str) -> Column:
+    """Remove the first occurrence of a literal text."""
+    return F.regexp_replace(col(c), rf"^(.*?)\\Q{text}\\E", "$1")
+
+
 def stars(p: str | Column) -> Column:
     """Significance marks for a p-value."""
     return cases([(col(p) < 0.001, "***"), (col(p) < 0.01, "**"), (col(p) < 0.05, "*"), (col(p) < 0.1, "†")], "")
