@@ -88,7 +88,7 @@ def swap_codes(question: str | Column, response: str | Column, reversed_question
 
 def strip_suffix(c: str | Column, text: str) -> Column:
     """Remove the first occurrence of a literal text."""
-    return F.regexp_replace(col(c), rf"^(.*?)\\Q{text}\\E", "$1")
+    return F.regexp_replace(col(c), rf"^(.*?)\Q{text}\E", "$1")
 
 
 def stars(p: str | Column) -> Column:

@@ -12,7 +12,7 @@ from surveyfx.functions.recode import (
 )
 from surveyfx.operators import cells, descriptive, reshape, saturated, ttest
 from surveyfx.operators.inference import RESULT_COLUMNS, flip_sign
-from surveyfx.plans.survey_view import CODEBOOK, PARTY, PARTY3, YES_NO, survey_long, survey_raw, survey_wide
+from surveyfx.plans.survey_view import CODEBOOK, PARTY, PARTY3, YES_NO, survey_long, survey_wide
 from surveyfx.sources.codebook import codebook_from_metadata, decode_labelled, join_value_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
