@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cell_totals(rows: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+def cell_totals(rows: DataFrame, keys: Sequence[str], weight: str | None = None, complete: bool = True) -> DataFrame:
     """Rows (`n`), rows with a non-zero weight (`n_used`) and weight (`w`) per complete combination of `keys`.
 
     Rows with a missing key, or a missing weight when one is used, are dropped as a model fit would drop them. Without
     a weight every row weighs one. Weights are summed in their own type: decimal weights give totals that do not
-    depend on the order of the rows. The weight is never a key, or its distinct values would multiply the cells.
+    depend on the order of the rows. `complete=False` keeps missing keys as cells of their own. The weight is never a key, or its distinct values would multiply the cells.
     """
     needed = [*keys, *([weight] if weight else [])]
-    out = rows.dropna(subset=needed).groupBy(*keys)
+    out = (rows.dropna(subset=needed) if complete else rows).groupBy(*keys)
     if weight is None:
         return out.agg(F.count(F.lit(1)).alias("n")).withColumns({"n_used": F.col("n"), "w": F.col("n").cast("double")})
     return out.agg(

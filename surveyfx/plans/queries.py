@@ -11,7 +11,10 @@ from surveyfx.functions.recode import (
     cases, collapse, flag, flag_in, indicator, known_level, level_rank, recode, relabel, strip_suffix, swap_codes,
 )
 from surveyfx.operators import cells, descriptive, reshape, saturated, ttest
-from surveyfx.operators.inference import RESULT_COLUMNS, flip_sign
+from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_many
+from surveyfx.operators.inference import RESULT_COLUMNS, flip_sign, with_inference
+from surveyfx.operators.report import effect_table
+from surveyfx.operators.spec import ModelSpec, crossed
 from surveyfx.plans.survey_view import CODEBOOK, PARTY, PARTY3, YES_NO, survey_long, survey_wide
 from surveyfx.sources.codebook import codebook_from_metadata, decode_labelled, join_value_labels
 
@@ -465,3 +468,170 @@ def fitted_groups(spark, sf_dir):
     rows = survey_long(spark, sf_dir)
     out = saturated.multinomial_effects(rows, "response", weight="weight", by=("question", "supp"), drop_failed=True)
     return result(out, keys=("question", "supp", "response", "term"))
+
+
+# ---- logit with controls ------------------------------------------------------------------------------------------
+
+BINARY = (0, 1)
+SEEN = ("No", "Yes")
+PARTY_LEVELS = ("Dem", "Rep", "Ind")
+
+
+def _direction(spark, sf_dir) -> DataFrame:
+    return survey_long(spark, sf_dir).select(
+        "question", "treat", "weight", "pid3_baseline", agree_opinion().alias("agree"),
+        saw_flag().alias("saw"), saw_yes_no().alias("seen"), party3().alias("party"),
+    )
+
+
+def _odds_ratio(spark, sf_dir, weight: str | None, profile: bool = False) -> DataFrame:
+    spec = ModelSpec("agree", (("treat",), ("saw",)), codes={"treat": BINARY, "saw": BINARY}, weight=weight)
+    fits = fit(_direction(spark, sf_dir), Model(spec, "logit", (Coefficients(profile=profile, only=("treat",)),)))
+    out = with_inference(fits, ["question", "subgroup", "term"], exponentiate=True)
+    return result(out.withColumn("question_type", question_type()), "question_type")
+
+
+@query
+def direction_or_ctrl(spark, sf_dir):
+    return _odds_ratio(spark, sf_dir, None)
+
+
+@query
+def direction_or_w(spark, sf_dir):
+    return _odds_ratio(spark, sf_dir, "weight")
+
+
+def _direction_contrast(spark, sf_dir, spec: ModelSpec, by: str) -> DataFrame:
+    fits = fit(_direction(spark, sf_dir), Model(spec, "logit", (Contrast("treat", by),)))
+    return result(with_inference(fits, ["question", "subgroup", "term"], exponentiate=True))
+
+
+@query
+def direction_by_exposure_ctrl(spark, sf_dir):
+    spec = ModelSpec(
+        "agree", (*crossed("treat", "seen"), ("party",)), levels={"seen": SEEN, "party": ("Dem", "Ind", "Rep")}, codes={"treat": BINARY}
+    )
+    return _direction_contrast(spark, sf_dir, spec, "seen")
+
+
+@query
+def direction_by_exposure_w(spark, sf_dir):
+    spec = ModelSpec(
+        "agree", (*crossed("treat", "seen"), ("pid3_baseline",)), levels={"seen": SEEN},
+        codes={"treat": BINARY, "pid3_baseline": (1, 2, 3, 4)}, weight="weight",
+    )
+    return _direction_contrast(spark, sf_dir, spec, "seen")
+
+
+def _party_direction_spec(weight: str | None) -> ModelSpec:
+    return ModelSpec(
+        "agree", (*crossed("treat", "party"), ("saw",)), levels={"party": PARTY_LEVELS}, codes={"treat": BINARY, "saw": BINARY}, weight=weight
+    )
+
+
+@query
+def direction_by_party_ctrl(spark, sf_dir):
+    return _direction_contrast(spark, sf_dir, _party_direction_spec(None), "party")
+
+
+@query
+def direction_by_party_w(spark, sf_dir):
+    return _direction_contrast(spark, sf_dir, _party_direction_spec("weight"), "party")
+
+
+@query
+def party_ame(spark, sf_dir):
+    """Party score as a number: its log-odds coefficient and its average effect on the probability, from one fit."""
+    rows = survey_long(spark, sf_dir).where(F.col("pid7_baseline") != 8).select(
+        "question", "treat", "weight", agree_all().alias("agree"), saw_flag().alias("saw"),
+        recode("pid7_baseline", {1: (1, 2, 3), 4: (4,), 3: (5, 6, 7)}).alias("pid"),
+    )
+    spec = ModelSpec(
+        "agree", (("pid",), ("treat",), ("saw",)), codes={"pid": (1, 3, 4), "treat": BINARY, "saw": BINARY}, weight="weight"
+    )
+    fits = fit(rows, Model(spec, "logit", (Coefficients(only=("pid",)), AverageSlope("pid"))))
+    out = with_inference(fits, ["question", "subgroup", "term"])
+    return result(out.withColumn("question_type", question_type()), "question_type")
+
+
+# ---- ordinal logit ------------------------------------------------------------------------------------------------
+
+CODE_ORDER = {1: "Yes", 2: "No", 3: "Not sure"}
+AGREE_ORDER = {2: "Disagree", 3: "Not sure", 1: "Agree"}
+
+
+def _partisans(spark, sf_dir) -> DataFrame:
+    """Respondents of the two parties, with hand-made interaction columns."""
+    rows = survey_long(spark, sf_dir).where(F.col("pid7").isin(1, 2, 3, 5, 6, 7))
+    dem, rep = flag_in("pid7", (1, 2, 3)), flag_in("pid7", (5, 6, 7))
+    return rows.select(
+        "question", "response", "supp", "treat", dem.alias("dem"), rep.alias("rep"),
+        (F.col("treat") * dem).alias("treat_dem"), (F.col("treat") * rep).alias("treat_rep"),
+    )
+
+
+def _ordinal(terms, ordered=None, outcome: str = "response", **report) -> Model:
+    columns = dict.fromkeys(c for t in terms for c in t)
+    spec = ModelSpec(outcome, tuple(terms), codes=dict.fromkeys(columns, BINARY), ordered=ordered or AGREE_ORDER, intercept=False)
+    return Model(spec, "ordinal", (Coefficients(**report),))
+
+
+@query
+def ordinal_party(spark, sf_dir):
+    model = _ordinal(crossed("treat", "rep"), only=("treat:rep",))
+    return result(with_inference(fit(_partisans(spark, sf_dir), model), ["question", "subgroup", "term"]))
+
+
+@query
+def ordinal_party_wide(spark, sf_dir):
+    model = _ordinal((("rep",), ("treat_dem",), ("treat_rep",)), CODE_ORDER, only=("treat_dem", "treat_rep"))
+    fits = fit(_partisans(spark, sf_dir), model)
+    return rounded(reshape.spread(fits, ["question"], "term", {t: t for t in ("treat_dem", "treat_rep")}, ["estimate", "std_error"]))
+
+
+@query
+def ordinal_interaction_only(spark, sf_dir):
+    """Interactions without main effects: both parties, and one party alone, from one cell table."""
+    models = {
+        "both": _ordinal((("treat", "dem"), ("treat", "rep")), CODE_ORDER),
+        "rep": _ordinal((("treat", "rep"),), CODE_ORDER),
+    }
+    fits = fit_many(_partisans(spark, sf_dir), models)
+    return result(with_inference(fits, ["question", "model", "term"]), keys=("question", "model", "term"))
+
+
+@query
+def ordinal_reparam(spark, sf_dir):
+    """Two parameterisations of one model; their log-likelihoods agree."""
+    models = {
+        "interaction": _ordinal((("treat",), ("rep",), ("treat_rep",))),
+        "per_party": _ordinal((("rep",), ("treat_rep",), ("treat_dem",))),
+    }
+    fits = with_inference(fit_many(_partisans(spark, sf_dir), models), ["question", "model", "term"], extra=("loglik",))
+    return result(fits, "loglik", keys=("question", "model", "term"))
+
+
+@query
+def ordinal_five_point(spark, sf_dir):
+    """Five-point item over all long rows, thresholds included."""
+    rows = _partisans(spark, sf_dir).withColumn("question", F.lit("(all)"))
+    fits = fit(rows, _ordinal(crossed("treat", "rep"), FIVE_POINT, "supp"))
+    return result(with_inference(fits, ["question", "subgroup", "term"]))
+
+
+@query
+def ordinal_table(spark, sf_dir):
+    """Publication table of the interaction term: labels, question order, fixed decimals, significance flag."""
+    fits = fit(_partisans(spark, sf_dir), _ordinal(crossed("treat", "rep"), only=("treat:rep",)))
+    return effect_table(with_inference(fits, ["question", "subgroup", "term"]), CODEBOOK)
+
+
+@query
+def model_stack(spark, sf_dir):
+    """Results of different models under each other, with the model's name."""
+    rows = _partisans(spark, sf_dir)
+    models = {
+        "main": _ordinal((("treat",), ("rep",))), "crossed": _ordinal(crossed("treat", "rep")), "treat_only": _ordinal((("treat",),)),
+    }
+    fits = fit_many(rows, models)
+    return result(with_inference(fits, ["model", "question", "term"]), keys=("model", "question", "term"))
