@@ -47,6 +47,16 @@ def _expit(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
+class Linear:
+    """Least squares; solved from moments, see `linear.fit_linear`."""
+
+    def __init__(self, spec: ModelSpec):
+        self.spec = spec
+
+    def names(self, classes: Sequence[int]) -> list[str]:
+        return self.spec.names()
+
+
 class Logit:
     """0/1 outcome."""
 
@@ -159,7 +169,7 @@ def newton(evaluate: Callable[[np.ndarray], tuple], start: np.ndarray) -> State:
 class Fitted:
     """What a report may use. `sums` is `report_sums` added up over the rows, so both execution shapes can supply it."""
 
-    family: Logit | Ordinal
+    family: Logit | Ordinal | Linear
     classes: list[int]
     theta: np.ndarray
     vcov: np.ndarray
@@ -333,7 +343,7 @@ def profile_bounds(fit: Fitted, k: int, level: float) -> tuple[float, float]:
 
 # ---- cells in one call per group ----------------------------------------------------------------------------------
 
-def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+def result_frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     """Rows as a pandas frame of plain Python values, missing entries None."""
     return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
 
@@ -355,7 +365,7 @@ def fit_by(
             rows = fn(frame)
         except Exception as e:  # noqa: BLE001 - a group that cannot be fitted must not stop the others
             rows = [{"converged": False, "error": f"{type(e).__name__}: {e}"}]
-        return _frame([dict(zip(keys, group)) | r for r in rows], [*keys, *names])
+        return result_frame([dict(zip(keys, group)) | r for r in rows], [*keys, *names])
 
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
@@ -550,7 +560,7 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         if s.status == "ok":
             v = sums.sort_values("slot")["value"].to_numpy() if len(sums) else None
             fitted = Fitted(family, classes, s.theta, np.linalg.inv(s.info), v, None, s.loglik)
-        return _frame([dict(zip(by, key)) | r for r in model.rows(s, fitted, int(row["n"]))], [*by, *FIT_NAMES])
+        return result_frame([dict(zip(by, key)) | r for r in model.rows(s, fitted, int(row["n"]))], [*by, *FIT_NAMES])
 
     if extra is None:
         extra = spark.createDataFrame([], f"{key_schema}, slot int, value double")

@@ -98,6 +98,22 @@ class ModelSpec:
             parts += self._product(frame, term)
         return np.column_stack(parts) if parts else np.zeros((len(frame), 0))
 
+    def design_columns(self) -> list[Column]:
+        """The same design matrix as Column expressions over projected rows."""
+
+        def expand(c: str) -> list[Column]:
+            if c in self.levels:
+                return [(F.col(c) == level).cast("double") for level in self.levels[c][1:]]
+            return [F.col(c)]
+
+        parts = [F.lit(1.0)] if self.intercept else []
+        for term in self.terms:
+            products = [F.lit(1.0)]
+            for c in term:
+                products = [p * e for p in products for e in expand(c)]
+            parts += products
+        return parts
+
     def slope_matrix(self, frame: pd.DataFrame, column: str) -> np.ndarray:
         """Derivative of the design matrix with respect to one numeric covariate."""
         parts = [np.zeros(len(frame))] if self.intercept else []

@@ -150,6 +150,85 @@ for name, weight in (("direction_or_ctrl", "1.0"), ("direction_or_w", "weight"))
         coefficients({2: "treat"}),
     )
 
+# With the log odds ratio fixed, the control arm's probability solves a quadratic, so the profile likelihood is closed
+# and its bounds follow by bisection.
+_PROFILE = """
+tab AS (
+  SELECT question, CAST(count(*) FILTER (treat = 1 AND response = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (treat = 1 AND response = 2) AS DOUBLE) AS b,
+         CAST(count(*) FILTER (treat = 0 AND response = 1) AS DOUBLE) AS c, CAST(count(*) FILTER (treat = 0 AND response = 2) AS DOUBLE) AS d
+  FROM obs GROUP BY question
+),
+fit AS (
+  SELECT *, CAST(NULL AS VARCHAR) AS subgroup, 'treat' AS term, ln(a * d / (b * c)) AS estimate, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS std_error,
+         a + b + c + d AS n, true AS converged,
+         a * ln(a / (a + b)) + b * ln(b / (a + b)) + c * ln(c / (c + d)) + d * ln(d / (c + d)) AS top
+  FROM tab
+)"""
+
+
+def _walk(name: str, sign: str) -> str:
+    """Bisection as a recursive CTE: `inside` moves out while the deviance stays below the χ² quantile."""
+    return f"""
+{name} AS (
+  SELECT question, 0 AS i, estimate AS inside, estimate {sign} 6 * std_error AS outside FROM fit
+  UNION ALL
+  SELECT question, i + 1, CASE WHEN dev < 3.841458820694124 THEN mid ELSE inside END, CASE WHEN dev < 3.841458820694124 THEN outside ELSE mid END
+  FROM (
+    SELECT *, 2 * (top - (a * ln(p1) + b * ln(1 - p1) + c * ln(p0) + d * ln(1 - p0))) AS dev FROM (
+      SELECT *, r * p0 / (1 - p0 + r * p0) AS p1 FROM (
+        SELECT *, 2 * (a + c) / (k + sqrt(k * k + 4 * (c + d) * (r - 1) * (a + c))) AS p0 FROM (
+          SELECT *, (a + b) * r + c + d - (a + c) * (r - 1) AS k FROM (
+            SELECT w.*, f.a, f.b, f.c, f.d, f.top, (inside + outside) / 2 AS mid, exp((inside + outside) / 2) AS r
+            FROM {name} w JOIN fit f USING (question) WHERE i < 60)))))
+)"""
+
+
+_BOUNDS = """bounds AS (
+  SELECT fit.*, exp(lo.inside) AS low, exp(hi.inside) AS high FROM fit
+  JOIN walk_low lo ON lo.question = fit.question AND lo.i = 60 JOIN walk_high hi ON hi.question = fit.question AND hi.i = 60
+)"""
+SQL["direction_or_profile"] = survey(
+    "SELECT * EXCLUDE (low, high) REPLACE (round(low, 6) + 0.0 AS conf_low, round(high, 6) + 0.0 AS conf_high) FROM ("
+    + result("bounds", extra=("low", "high"), exponentiate=True)
+    + ")",
+    _PROFILE, _walk("walk_low", "-"), _walk("walk_high", "+"), _BOUNDS,
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def least_squares(design: list[str], names: list[str], y: str, where: str, weight: str) -> str:
+    """Normal equations of a weighted fit; t reference."""
+    p = len(design)
+    pairs = [(i, j) for i in range(1, p + 1) for j in range(1, p + 1)]
+    head = f"""
+used AS (
+  SELECT question, {', '.join(f'CAST({d} AS DOUBLE) AS x{i}' for i, d in enumerate(design, 1))}, CAST({weight} AS DOUBLE) AS w, CAST({y} AS DOUBLE) AS y
+  FROM obs WHERE {y} IS NOT NULL AND {where}
+),
+normal AS MATERIALIZED (
+  SELECT question, count(*) AS n, sum(w * y * y) AS yy, {', '.join(f'sum(w * x{i} * y) AS g{i}' for i in range(1, p + 1))},
+         {', '.join(f'sum(w * x{i} * x{j}) AS a{i}_{j}' for i, j in pairs)}, {', '.join(f'{float(i == j)} AS a{i}_{p + j}' for i, j in pairs)}
+  FROM used GROUP BY question
+)"""
+    keep = "question, n, yy, " + ", ".join(f"g{i}" for i in range(1, p + 1))
+    beta = ", ".join(f"{' + '.join(f'a{i}_{p + j} * g{j}' for j in range(1, p + 1))} AS b{i}" for i in range(1, p + 1))
+    left = f"(yy - ({' + '.join(f'b{i} * g{i}' for i in range(1, p + 1))})) / (n - {p})"
+    rows = "\nUNION ALL ".join(
+        f"SELECT question, CAST(NULL AS VARCHAR) AS subgroup, '{name}' AS term, b{i} AS estimate, sqrt(s2 * a{i}_{p + i}) AS std_error, "
+        f"CAST(n - {p} AS DOUBLE) AS df, n, true AS converged FROM scaled"
+        for i, name in enumerate(names, 1)
+    )
+    return survey(
+        result("fit", reference="t"), head, eliminate("ls", "normal", p, 2 * p, keep), f"beta AS (SELECT *, {beta} FROM ls_{p})",
+        f"scaled AS MATERIALIZED (SELECT *, {left} AS s2 FROM beta)", f"fit AS ({rows})",
+    )
+
+
+SQL["certainty_coefficients"] = least_squares(
+    ["1", "treat", "(party3 = 'Rep')::INT", "(party3 = 'Ind')::INT", "treat * (party3 = 'Rep')::INT", "treat * (party3 = 'Ind')::INT", "sawf"],
+    ["(Intercept)", "treat", "party[Rep]", "party[Ind]", "treat:party[Rep]", "treat:party[Ind]", "saw"],
+    "not_sure", "party3 IS NOT NULL", "weight",
+)
+
 S = "(seen2 = 'Yes')::INT"
 SQL["direction_by_exposure_ctrl"] = survey(
     result("fit", exponentiate=True),

@@ -12,6 +12,7 @@ from surveyfx.functions.recode import (
 )
 from surveyfx.operators import cells, descriptive, reshape, saturated, ttest
 from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_many
+from surveyfx.operators.linear import fit_linear
 from surveyfx.operators.inference import RESULT_COLUMNS, flip_sign, with_inference
 from surveyfx.operators.report import effect_table
 from surveyfx.operators.spec import ModelSpec, crossed
@@ -35,8 +36,8 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round floating columns and drop the sign of zero, so that two engines can be compared by value."""
-    return df.select(
-        *((F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields)
+    return df.selectExpr(
+        *(f"round(`{name}`, {digits}) + 0.0D AS `{name}`" if kind == "double" else f"`{name}`" for name, kind in df.dtypes)
     )
 
 
@@ -383,6 +384,16 @@ def did_party_ols(spark, sf_dir):
     return result(saturated.linear_did(rows, "agree", "rep"))
 
 
+@query
+def certainty_coefficients(spark, sf_dir):
+    """Full coefficient table of the weighted least-squares fit with party interaction and exposure control."""
+    rows = survey_long(spark, sf_dir).select(
+        "question", "treat", "weight", not_sure().alias("not_sure"), party3().alias("party"), saw_flag().alias("saw")
+    )
+    spec = ModelSpec("not_sure", (*crossed("treat", "party"), ("saw",)), levels={"party": ("Dem", "Rep", "Ind")}, weight="weight")
+    return result(with_inference(fit_linear(rows, spec, [Coefficients()]), ["question", "subgroup", "term"], "t"))
+
+
 # ---- logit with closed forms --------------------------------------------------------------------------------------
 
 @query
@@ -506,6 +517,14 @@ def _direction_contrast(spark, sf_dir, spec: ModelSpec, by: str) -> DataFrame:
     return result(with_inference(fits, ["question", "subgroup", "term"], exponentiate=True))
 
 
+@query
+def direction_or_profile(spark, sf_dir):
+    """Odds ratio of the plain logit with profile-likelihood bounds."""
+    spec = ModelSpec("agree", (("treat",),), codes={"treat": BINARY})
+    fits = fit(_direction(spark, sf_dir), Model(spec, "logit", (Coefficients(profile=True, only=("treat",)),)))
+    return result(with_inference(fits, ["question", "subgroup", "term"], exponentiate=True))
+
+
 @query
 def direction_by_exposure_ctrl(spark, sf_dir):
     spec = ModelSpec(
@@ -582,6 +601,13 @@ def ordinal_party(spark, sf_dir):
     return result(with_inference(fit(_partisans(spark, sf_dir), model), ["question", "subgroup", "term"]))
 
 
+@query
+def ordinal_party_profile(spark, sf_dir):
+    """The interaction term with profile-likelihood bounds."""
+    model = _ordinal(crossed("treat", "rep"), only=("treat:rep",), profile=True)
+    return result(with_inference(fit(_partisans(spark, sf_dir), model), ["question", "subgroup", "term"]))
+
+
 @query
 def ordinal_party_wide(spark, sf_dir):
     model = _ordinal((("rep",), ("treat_dem",), ("treat_rep",)), CODE_ORDER, only=("treat_dem", "treat_rep"))

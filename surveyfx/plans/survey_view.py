@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyfx.functions.recode import cases, member, recode
+from surveyfx.functions.recode import recode
 from surveyfx.sources.codebook import Codebook, Question
 from surveyfx.sources.longform import read_wide, to_long, treatment_from_zero
 
@@ -34,8 +34,16 @@ PARTY = {"Dem": (1, 2, 3), "Rep": (5, 6, 7)}
 PARTY3 = {"Dem": (1, 2, 3), "Ind": (4,), "Rep": (5, 6, 7)}
 
 
+# The columns the survey needs, so that no job is spent on reading file footers for a schema.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_wide(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
 
 
 def answers(lineitem: DataFrame) -> DataFrame:
@@ -59,16 +67,15 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))
 
 
-def _lowest_code(line: int, shift: int) -> Column:
+def _lowest_code(line: int, shift: int) -> str:
     """Smallest answer code whose bit is set for a line; null when the line gave none."""
     at = 6 * (line - 1) + shift
-    return cases((F.col("bits").bitwiseAND(F.lit(1 << (at + k))) != 0, k + 1) for k in range(3))
+    return "CASE " + " ".join(f"WHEN bits & {1 << (at + k)}L != 0 THEN {k + 1}" for k in range(3)) + " END"
 
 
 def survey_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide table as a survey file would deliver it: raw treatment code, no derived columns."""
-    orders = read_wide(spark, f"{sf_dir}/orders.parquet")
-    people = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    people = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     people = people.join(answers(table(spark, sf_dir, "lineitem")), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key, pid = F.col("o_orderkey"), F.col("pid7_baseline")
     base = people.withColumn("pid7_baseline", (F.col("c_nationkey") % 8 + 1).cast("int"))
@@ -82,7 +89,7 @@ def survey_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_custkey") % 11 + 5) / 10).cast("decimal(18,6)").alias("weight"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("supp"),
         *(
-            F.when(member(pid, PARTY["Rep"]), _lowest_code(j, 3)).otherwise(_lowest_code(j, 0)).alias(f"q{j}")
+            F.expr(f"CASE WHEN pid7_baseline IN {PARTY['Rep']} THEN {_lowest_code(j, 3)} ELSE {_lowest_code(j, 0)} END AS q{j}")
             for j in range(1, LINES + 1)
         ),
     )

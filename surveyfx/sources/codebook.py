@@ -72,10 +72,15 @@ class Codebook:
 
 
 def with_labels(df: DataFrame, labels: Mapping[str, tuple[str, Mapping[int, str]]]) -> DataFrame:
-    for name, (label, values) in labels.items():
-        meta = {"label": label, "values": {str(code): text for code, text in values.items()}}
-        df = df.withMetadata(name, meta)
-    return df
+    """Attach ``{column: (label, {code: text})}`` as metadata."""
+
+    def labelled(name: str) -> Column:
+        if name not in labels:
+            return F.col(name)
+        label, values = labels[name]
+        return F.col(name).alias(name, metadata={"label": label, "values": {str(code): text for code, text in values.items()}})
+
+    return df.select(*(labelled(c) for c in df.columns))
 
 
 def is_labelled(f: T.StructField) -> bool:
