@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -30,7 +31,6 @@ from surveyfx.operators.spec import ModelSpec
 MAX_CELLS = 100_000
 MAX_STEPS = 50
 STEP_TOL = 1e-10
-BROADCAST_GROUPS = 10_000
 
 FIT_FIELDS = (
     "subgroup string, term string, estimate double, std_error double, conf_low double, conf_high double, "
@@ -448,8 +448,8 @@ def fit_many(
 
 # ---- rows stay distributed ----------------------------------------------------------------------------------------
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's shared checkpoint folder. Only a local session may fall back to a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder. Only a local session may fall back to a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -458,6 +458,13 @@ def checkpoint_dir(spark: SparkSession) -> None:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="surveyfx-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a small table and read it back: the lineage ends there, and the planner knows its true size."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _partial_sums(
@@ -486,7 +493,7 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
     if any(isinstance(r, Coefficients) and r.profile for r in model.reports):
         raise ValueError("profile intervals need covariates with closed value lists")
     spark = keyed.sparkSession
-    checkpoint_dir(spark)
+    folder = f"{shared_folder(spark)}/fit-{uuid.uuid4().hex}"
     family = FAMILIES[model.family](spec)
     weight = F.col("_weight").cast("double") if spec.weight else F.lit(1.0)
     data = keyed.withColumn("_w", weight).drop("_weight").dropna().where(F.col("_w") > 0)
@@ -537,20 +544,20 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         return model.report_sums(frame, np.ones(len(frame)), theta)
 
     counts = data.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"))
-    state = counts.groupBy(*by).applyInPandas(begin, state_schema).checkpoint()
-    groups = state.count()
-
-    def small(s: DataFrame) -> DataFrame:
-        return F.broadcast(s) if groups <= BROADCAST_GROUPS else s
-
-    while not state.where("status = 'run'").isEmpty():
-        sums = _partial_sums(data, small(state.where("status = 'run'")), by, newton_sums)
-        state = sums.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(update, state_schema).checkpoint()
-
-    final = state.withColumn("candidate", F.col("theta"))
-    extra = None
-    if not all(isinstance(r, Coefficients) for r in model.reports):
-        extra = _partial_sums(data, small(final.where("status = 'ok'")), by, report_sums).checkpoint()
+    state = _stored(counts.groupBy(*by).applyInPandas(begin, state_schema), f"{folder}/step-0")
+    for step in range(1, MAX_STEPS + 2):
+        running = state.where("status = 'run'")
+        if running.isEmpty():
+            break
+        sums = _partial_sums(data, running, by, newton_sums)
+        updated = sums.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(update, state_schema)
+        state = _stored(updated, f"{folder}/step-{step}")
+
+    if all(isinstance(r, Coefficients) for r in model.reports):
+        extra = spark.createDataFrame([], f"{key_schema}, slot int, value double")
+    else:
+        final = state.where("status = 'ok'").withColumn("candidate", F.col("theta"))
+        extra = _stored(_partial_sums(data, final, by, report_sums), f"{folder}/report")
     data.unpersist()
 
     def finish(key: tuple, sums: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -562,6 +569,4 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
             fitted = Fitted(family, classes, s.theta, np.linalg.inv(s.info), v, None, s.loglik)
         return result_frame([dict(zip(by, key)) | r for r in model.rows(s, fitted, int(row["n"]))], [*by, *FIT_NAMES])
 
-    if extra is None:
-        extra = spark.createDataFrame([], f"{key_schema}, slot int, value double")
-    return extra.groupBy(*by).cogroup(final.groupBy(*by)).applyInPandas(finish, f"{key_schema}, {FIT_FIELDS}")
+    return extra.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(finish, f"{key_schema}, {FIT_FIELDS}")
