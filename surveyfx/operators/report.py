@@ -21,6 +21,6 @@ def effect_table(results: DataFrame, codebook: Codebook, alpha: float = 0.05) ->
 
 
 def write_table(table: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Save a result table. It has a row per question and subgroup, so one file is enough."""
-    writer = table.coalesce(1).write.mode("overwrite").format(fmt)
+    """Save a result table."""
+    writer = table.write.mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)

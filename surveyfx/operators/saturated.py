@@ -244,7 +244,7 @@ def multinomial_effects(
     The fitted probabilities are the (weighted) class shares of an arm. `errors="arm_size"` divides the binomial
     variance by the arm's row count, rows with a missing response included, and uses ±1.96 standard errors.
     `errors="model"` uses the model's own covariance (arm weight) and a t interval on its number of parameters.
-    Groups that cannot be fitted (one response class, one arm) keep a row with `converged` false and the reason in
+    The predicted probabilities of both arms come along. Groups that cannot be fitted (one response class, one arm) keep a row with `converged` false and the reason in
     `error`, unless `drop_failed`.
     """
     kept = rows.dropna(subset=[*by, treat])
@@ -290,6 +290,8 @@ def multinomial_effects(
         F.col("total").alias("n"),
         F.col("error").isNull().alias("converged"),
         "error",
+        *(F.when(F.col("error").isNull(), p).alias(name) for p, name in ((p0, "prob_control"), (p1, "prob_treated"))),
     )
-    out = with_inference(fits, [*by, response, "term"], reference, level, multiplier, extra=("error",))
+    extra = ("error", "prob_control", "prob_treated")
+    out = with_inference(fits, [*by, response, "term"], reference, level, multiplier, extra=extra)
     return out.where("converged") if drop_failed else out

@@ -159,7 +159,7 @@ classes AS (
   FROM obs WHERE response IS NOT NULL GROUP BY {keys}, response
 ),
 fit AS (
-  SELECT {keys}, response, 'treat' AS term, n,
+  SELECT {keys}, response, 'treat' AS term, n, c0 / w0 AS p0, c1 / w1 AS p1,
          CASE WHEN classes > 1 THEN c1 / w1 - c0 / w0 END AS estimate,
          CASE WHEN classes > 1 THEN sqrt(c1 / w1 * (1 - c1 / w1) / {d1} + c0 / w0 * (1 - c0 / w0) / {d0}) END AS std_error,
          CAST(2 * (classes - 1) AS DOUBLE) AS df, classes > 1 AS converged,
@@ -220,6 +220,7 @@ SQL["question_order"] = survey(
     CAST(substr(question, 2) AS INTEGER) AS rank, CAST(9 - CAST(substr(question, 2) AS INTEGER) AS INTEGER) AS rank_reversed
     FROM (SELECT question, avg(not_sure) AS m, count(not_sure) AS n FROM obs GROUP BY question)"""
 )
+SQL["group_keys"] = survey("SELECT count(DISTINCT question) AS n_questions, min(question) AS first_question FROM long WHERE response IS NOT NULL")
 SQL["reverse_coded"] = survey("SELECT question, response, stance, count(*) AS n FROM obs GROUP BY ALL")
 SQL["cells"] = survey(
     f"""SELECT question, treat, pid7_baseline, saw, response, count(*) AS n, count(*) AS n_used, {r6('CAST(sum(weight) AS DOUBLE)', 'w')}
@@ -376,7 +377,8 @@ fit AS (
 # ---- multinomial --------------------------------------------------------------------------------------------------
 
 SQL["multinom_shares"] = survey(
-    result("fit", keys=("question", "response", "term"), width="1.96"), multinomial(("question",), "weight", False)
+    result("fit", keys=("question", "response", "term"), width="1.96", extra=(r6("p0", "prob_control"), r6("p1", "prob_treated"))),
+    multinomial(("question",), "weight", False),
 )
 DF4_P = "(1 - (3.0 / 4) * abs(estimate / std_error) / sqrt(1 + pow(estimate / std_error, 2) / 4) * (1 - pow(estimate / std_error, 2) / 12 / (1 + pow(estimate / std_error, 2) / 4)))"
 SQL["multinom_contrast"] = survey(

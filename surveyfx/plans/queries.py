@@ -198,6 +198,14 @@ def question_order(spark, sf_dir):
     ))
 
 
+@query
+def group_keys(spark, sf_dir):
+    """Distinct questions with answers, their number, and the first in display order."""
+    answered = survey_long(spark, sf_dir).where(F.col("response").isNotNull())
+    keys = answered.select("question").distinct().select(CODEBOOK.rank().alias("rank"), "question")
+    return keys.agg(F.countDistinct("question").alias("n_questions"), F.min_by("question", "rank").alias("first_question"))
+
+
 @query
 def reverse_coded(spark, sf_dir):
     long = survey_long(spark, sf_dir)
@@ -454,7 +462,7 @@ def nested_logit(spark, sf_dir):
 @query
 def multinom_shares(spark, sf_dir):
     out = saturated.multinomial_effects(survey_long(spark, sf_dir), "response", weight="weight")
-    return result(out, keys=("question", "response", "term"))
+    return result(out, "prob_control", "prob_treated", keys=("question", "response", "term"))
 
 
 @query
