@@ -13,20 +13,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+COUNTS = ("_n", "_n_known", "_n_used")
+
+
+def compress(rows: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Rows reduced to one per combination of coded columns, for any number of later analyses.
+
+    Missing codes are kept as codes of their own, since every analysis has its own complete cases. The weight column
+    keeps its name and holds the weight sum; `_n`, `_n_known` and `_n_used` count rows, rows with a weight and rows
+    with a non-zero weight. The operators recognise these columns and give the same results as on the rows, provided
+    that the outcome is a function of the keys.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count(w).alias("_n_known"), F.count_if(w != 0).alias("_n_used")]
+    return rows.groupBy(*keys).agg(*([F.sum(weight).alias(weight)] if weight else []), *aggs)
+
+
+def is_compressed(rows: DataFrame) -> bool:
+    return "_n" in rows.columns
+
+
+def count_columns(rows: DataFrame) -> list[str]:
+    """The count columns to carry through a projection."""
+    return list(COUNTS) if is_compressed(rows) else []
+
+
+def row_count(rows: DataFrame, weight: str | None = None, used: bool = False) -> Column:
+    """Aggregate: rows behind the current group; with a weight, those where it is known (or non-zero, when `used`)."""
+    if is_compressed(rows):
+        return F.sum("_n" if weight is None else "_n_used" if used else "_n_known")
+    if used and weight:
+        return F.count_if(F.col(weight) != 0)
+    return F.count(weight if weight else F.lit(1))
+
+
+def row_weight(rows: DataFrame, weight: str | None = None) -> Column:
+    """Weight of the current row (a cell's weight sum or row count on compressed input)."""
+    if weight:
+        return F.col(weight)
+    return F.col("_n") if is_compressed(rows) else F.lit(1)
+
+
 def cell_totals(rows: DataFrame, keys: Sequence[str], weight: str | None = None, complete: bool = True) -> DataFrame:
     """Rows (`n`), rows with a non-zero weight (`n_used`) and weight (`w`) per complete combination of `keys`.
 
     Rows with a missing key, or a missing weight when one is used, are dropped as a model fit would drop them. Without
     a weight every row weighs one. Weights are summed in their own type: decimal weights give totals that do not
-    depend on the order of the rows. `complete=False` keeps missing keys as cells of their own. The weight is never a key, or its distinct values would multiply the cells.
+    depend on the order of the rows. `complete=False` keeps missing keys as cells of their own. The weight is never a
+    key, or its distinct values would multiply the cells.
     """
     needed = [*keys, *([weight] if weight else [])]
     out = (rows.dropna(subset=needed) if complete else rows).groupBy(*keys)
     if weight is None:
-        return out.agg(F.count(F.lit(1)).alias("n")).withColumns({"n_used": F.col("n"), "w": F.col("n").cast("double")})
+        return out.agg(row_count(rows).alias("n")).withColumns({"n_used": F.col("n"), "w": F.col("n").cast("double")})
     return out.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(weight) != 0).alias("n_used"),
+        row_count(rows, weight).alias("n"),
+        row_count(rows, weight, used=True).alias("n_used"),
         F.sum(weight).cast("double").alias("w"),
     )
 
@@ -39,11 +81,11 @@ def moments(
     Columns: `n` (rows with a non-zero weight), `w`, `wy`, `wyy` and, with a control s, `ws`, `wss`, `wsy`.
     """
     needed = [*keys, outcome, *([weight] if weight else []), *([control] if control else [])]
-    w: Column = F.col(weight).cast("double") if weight else F.lit(1.0)
+    w = row_weight(rows, weight).cast("double")
     y = F.col(outcome).cast("double")
     sums = {"w": w, "wy": w * y, "wyy": w * y * y}
     if control:
         s = F.col(control).cast("double")
         sums |= {"ws": w * s, "wss": w * s * s, "wsy": w * s * y}
-    n = F.count_if(F.col(weight) != 0) if weight else F.count(F.lit(1))
+    n = row_count(rows, weight, used=True)
     return rows.dropna(subset=needed).groupBy(*keys).agg(n.alias("n"), *(F.sum(e).alias(k) for k, e in sums.items()))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from surveyfx.functions import dist
 from surveyfx.functions.recode import ratio, stars, weighted_mean
+from surveyfx.operators.cells import row_count
 from surveyfx.operators.reshape import gather, pick, share_within, spread
 
 YES, NO, NOT_SURE = 1, 2, 3
@@ -21,7 +22,7 @@ YES, NO, NOT_SURE = 1, 2, 3
 def response_counts(rows: DataFrame, by: Sequence[str], response: str, weight: str | None = None) -> DataFrame:
     """Rows `n` (and weight `w`) per group and response; combinations that do not occur are absent."""
     kept = rows.dropna(subset=[*by, response])
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [row_count(rows).alias("n")]
     if weight:
         aggs.append(F.sum(weight).cast("double").alias("w"))
     return kept.groupBy(*by, response).agg(*aggs)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyfx.functions.dist import normal_quantile
-from surveyfx.operators.cells import cell_totals
+from surveyfx.operators.cells import cell_totals, count_columns, is_compressed
 from surveyfx.operators.spec import ModelSpec
 
 MAX_CELLS = 100_000
@@ -428,7 +428,7 @@ def fit_many(
         return reduce(DataFrame.unionByName, parts)
     exprs = {name: c for sp in specs for name, c in sp.columns().items()}
     weight = specs[0].weight
-    keyed = rows.select(*by, *(c.alias(n) for n, c in exprs.items()), *([F.col(weight).alias("_weight")] if weight else []))
+    keyed = rows.select(*by, *(c.alias(n) for n, c in exprs.items()), *([F.col(weight).alias("_weight")] if weight else []), *count_columns(rows))
     kept = keyed.dropna(subset=["_y", *(["_weight"] if weight else [])])
     cells = cell_totals(kept, [*by, *exprs], "_weight" if weight else None, complete=False)
 
@@ -492,6 +492,8 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
     spec = model.spec
     if any(isinstance(r, Coefficients) and r.profile for r in model.reports):
         raise ValueError("profile intervals need covariates with closed value lists")
+    if is_compressed(keyed):
+        raise ValueError("open covariates need the rows themselves, not compressed cells")
     spark = keyed.sparkSession
     folder = f"{shared_folder(spark)}/fit-{uuid.uuid4().hex}"
     family = FAMILIES[model.family](spec)

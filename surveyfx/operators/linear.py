@@ -14,18 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyfx.operators.cells import count_columns, row_count, row_weight
 from surveyfx.operators.fit import FIT_FIELDS, FIT_NAMES, Fitted, Linear, Report, result_frame
 from surveyfx.operators.spec import ModelSpec
 
 
-def _typical_columns(spec: ModelSpec) -> list[Column]:
-    """Sums behind the typical covariate values, in the order the reports read them."""
-    out = [F.count(F.lit(1)).cast("double")]
+def _typical_columns(spec: ModelSpec, n: Column) -> list[Column]:
+    """Sums over rows behind the typical covariate values, in the order the reports read them."""
+    out = [F.sum(n).cast("double")]
     for c in spec.covariates:
         if spec.typical_by_mode(c):
-            out += [F.count_if(F.col(c) == value).cast("double") for value in spec.levels.get(c, spec.codes.get(c))]
+            out += [F.sum(F.when(F.col(c) == v, n).otherwise(0)).cast("double") for v in spec.levels.get(c, spec.codes.get(c))]
         else:
-            out.append(F.sum(c))
+            out.append(F.sum(n * F.col(c).cast("double")))
     return out
 
 
@@ -34,10 +35,11 @@ def fit_linear(
 ) -> DataFrame:
     """Columns: `by`, FIT_FIELDS and the residual degrees of freedom `df`. Contrasts are on the outcome's own scale."""
     keyed = spec.project(rows, by).dropna()
-    w = F.col("_weight").cast("double") if spec.weight else F.lit(1.0)
+    weight = "_weight" if spec.weight else None
+    w = row_weight(keyed, weight).cast("double")
     p = len(spec.names())
     flat = keyed.select(
-        *by, *spec.covariates, w.alias("_w"), F.col("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns()))
+        *by, *spec.covariates, *([weight] if weight else []), *count_columns(keyed), w.alias("_w"), F.col("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns()))
     )
 
     def total(e: Column) -> Column:
@@ -46,11 +48,11 @@ def fit_linear(
     x, y = [F.col(f"_x{i}") for i in range(p)], F.col("_y")
     grams = [total(x[i] * x[j]) for i in range(p) for j in range(i, p)]
     sums = flat.groupBy(*by).agg(
-        F.count_if(F.col("_w") != 0).alias("n"),
+        row_count(flat, weight, used=True).alias("n"),
         F.array(*grams).alias("gram"),
         F.array(*(total(v * y) for v in x)).alias("xy"),
         total(y * y).alias("yy"),
-        F.array(*_typical_columns(spec)).alias("typical"),
+        F.array(*_typical_columns(spec, row_weight(flat))).alias("typical"),
     )
     types = dict(sums.dtypes)
     keys, upper = list(by), np.triu_indices(p)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyfx.functions.recode import cases, member, ratio
-from surveyfx.operators.cells import cell_totals, moments
+from surveyfx.operators.cells import cell_totals, moments, row_count, row_weight
 from surveyfx.operators.inference import with_inference
 from surveyfx.operators.reshape import gather, picked
 
@@ -248,8 +248,8 @@ def multinomial_effects(
     `error`, unless `drop_failed`.
     """
     kept = rows.dropna(subset=[*by, treat])
-    w = F.sum(weight).cast("double") if weight else F.count(F.lit(1)).cast("double")
-    cells = kept.groupBy(*by, treat, response).agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
+    w = F.sum(row_weight(rows, weight)).cast("double")
+    cells = kept.groupBy(*by, treat, response).agg(row_count(rows).alias("n"), w.alias("w"))
     answered = F.col(response).isNotNull()
     arm, group = Window.partitionBy(*by, treat), Window.partitionBy(*by)
     on, off = F.col(treat) == 1, F.col(treat) == 0

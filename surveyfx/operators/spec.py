@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyfx.functions.recode import known_level, level_rank
+from surveyfx.operators.cells import count_columns
 
 INTERCEPT = "(Intercept)"
 
@@ -59,13 +60,13 @@ class ModelSpec:
             if c in self.levels:
                 out[c] = known_level(c, self.levels[c])
             else:
-                out[c] = (known_level(c, self.codes[c]) if c in self.codes else F.col(c)).cast("double")
+                out[c] = known_level(c, self.codes[c]) if c in self.codes else F.col(c).cast("double")
         out["_y"] = level_rank(self.outcome, tuple(self.ordered)) if self.ordered else F.col(self.outcome).cast("double")
         return out
 
     def project(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
         weight = [F.col(self.weight).alias("_weight")] if self.weight else []
-        return rows.select(*by, *(c.alias(n) for n, c in self.columns().items()), *weight)
+        return rows.select(*by, *(c.alias(n) for n, c in self.columns().items()), *weight, *count_columns(rows))
 
     # -- design ----------------------------------------------------------------------------------------------------
 
@@ -104,7 +105,7 @@ class ModelSpec:
         def expand(c: str) -> list[Column]:
             if c in self.levels:
                 return [(F.col(c) == level).cast("double") for level in self.levels[c][1:]]
-            return [F.col(c)]
+            return [F.col(c).cast("double")]
 
         parts = [F.lit(1.0)] if self.intercept else []
         for term in self.terms:

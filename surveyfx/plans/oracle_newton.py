@@ -354,3 +354,19 @@ SQL["model_stack"] = several(
     },
     AGREE_RANK,
 )
+
+# ---- one cell table, many analyses --------------------------------------------------------------------------------
+
+_PARTS = {
+    "linear": f"SELECT * EXCLUDE (question_type) FROM ({SQL['certainty_by_party_w']})",
+    "contrasts": SQL["certainty_logit_by_party"],
+    "shares": f"SELECT CAST(response AS VARCHAR) AS subgroup, * EXCLUDE (response, prob_control, prob_treated) FROM ({SQL['multinom_shares']})",
+    "odds": survey(result("fit"), logit(["1", "treat"], "agree_opinion", "true", "weight"), coefficients({1: "(Intercept)", 2: "treat"})),
+    "logit": survey(
+        result("fit"), logit(["1", "treat", "sawf"], "agree_opinion", "true", "weight"), coefficients({1: "(Intercept)", 2: "treat", 3: "saw1"})
+    ),
+    "least_squares": least_squares(["1", "treat", "(party = 'Rep')::INT"], ["(Intercept)", "treat", "rep"], "not_sure", "party IS NOT NULL", "1.0"),
+}
+SQL["shared_cells_effects"] = "\nUNION ALL BY NAME\n".join(
+    f"SELECT '{name}' AS analysis, * FROM ({sql})" for name, sql in _PARTS.items()
+)

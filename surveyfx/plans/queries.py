@@ -669,3 +669,33 @@ def model_stack(spark, sf_dir):
     }
     fits = fit_many(rows, models)
     return result(with_inference(fits, ["model", "question", "term"]), keys=("model", "question", "term"))
+
+
+# ---- one cell table, many analyses --------------------------------------------------------------------------------
+
+@query
+def shared_cells_effects(spark, sf_dir):
+    """Six analyses from one compressed table: the answers are scanned and joined once."""
+    codes = ["question", "treat", "pid7_baseline", "saw", "response"]
+    cells_once = cells.compress(survey_long(spark, sf_dir), codes, "weight").withColumns(
+        {
+            "not_sure": not_sure(), "agree": agree_opinion(), "party": party3(), "saw1": saw_flag().cast("int"),
+            "rep": flag(party() == "Rep"),
+        }
+    )
+    keys = ["question", "subgroup", "term"]
+    linear = saturated.linear_effects(cells_once, "not_sure", by="party", weight="weight", control="saw1")
+    odds = saturated.saturated_logit(cells_once, "agree", "treat", weight="weight")
+    contrasts = saturated.logit_contrasts(cells_once, "not_sure", "party", exponentiate=True)
+    shares = saturated.multinomial_effects(cells_once, "response", weight="weight")
+    spec = ModelSpec("agree", (("treat",), ("saw1",)), codes={"treat": BINARY, "saw1": BINARY}, weight="weight")
+    logit = with_inference(fit(cells_once, Model(spec, "logit", (Coefficients(),))), keys)
+    least = with_inference(fit_linear(cells_once, ModelSpec("not_sure", (("treat",), ("rep",)), codes={"treat": BINARY, "rep": BINARY}), [Coefficients()]), keys, "t")
+    stacked = reshape.stack(
+        {
+            "linear": flip_sign(linear), "odds": odds, "contrasts": contrasts, "logit": logit, "least_squares": least,
+            "shares": shares.withColumn("subgroup", F.col("response").cast("string")).select(*keys, *RESULT_COLUMNS),
+        },
+        "analysis",
+    )
+    return result(stacked, keys=("analysis", *keys))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from surveyfx.functions.recode import indicator, recode
 from surveyfx.operators import saturated, ttest
+from surveyfx.operators.cells import compress
 from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_by, fit_many
 from surveyfx.operators.linear import fit_linear
 from surveyfx.operators.spec import ModelSpec, crossed
@@ -243,6 +244,42 @@ def test_weight_scale_leaves_estimates(rows):
         assert a[k].std_error == pytest.approx(b[k].std_error * math.sqrt(3), abs=1e-8)
 
 
+# ---- compressed input gives the same answers as rows --------------------------------------------------------------
+
+def test_compressed_input_equals_rows(rows):
+    codes = ["question", "treat", "party", "saw", "response", "not_sure", "agree", "rep"]
+    packed = compress(rows, codes, "weight")
+    assert packed.count() < rows.count() / 2
+    plain = ModelSpec("agree", (("treat",), ("rep",)), codes={"treat": BOTH, "rep": BOTH})
+    ops = [
+        lambda d: saturated.linear_effects(d, "not_sure", by="party", weight="weight", control="saw"),
+        lambda d: saturated.linear_effects(d, "not_sure", reference="t"),
+        lambda d: saturated.saturated_logit(d, "agree", "treat", weight="weight"),
+        lambda d: saturated.logit_contrasts(d, "not_sure", "party"),
+        lambda d: saturated.multinomial_effects(d, "response", weight="weight").withColumnRenamed("response", "subgroup"),
+        lambda d: fit(d, Model(LOGIT, "logit", (Contrast("treat", "party"), Coefficients()))),
+        lambda d: fit(d, Model(plain, "logit", (AverageSlope("rep"),))),
+        lambda d: fit_linear(d, plain, [Coefficients()]),
+        lambda d: fit_linear(d, LOGIT, [Contrast("treat", "party", scale="link")]),
+    ]
+    for op in ops:
+        a, b = (table(op(d), "question", "subgroup", "term") for d in (rows, packed))
+        assert set(a) == set(b) and a
+        for k in a:
+            assert a[k].estimate == pytest.approx(b[k].estimate, abs=1e-9)
+            assert a[k].std_error == pytest.approx(b[k].std_error, abs=1e-9)
+            assert a[k].n == b[k].n
+
+
+def test_compressed_null_and_zero_weights(spark):
+    data = [("a", 1, 1.0, 2.0, 5), ("a", 1, 0.0, 1.0, 5), ("a", 0, 1.0, 1.0, 5), ("a", 0, 0.0, 2.0, 5), ("a", 1, 1.0, None, 3), ("a", 0, 1.0, 0.0, 3)]
+    df = small(spark, data)
+    packed = compress(df, ["question", "treat", "y"], "weight")
+    for weight in (None, "weight"):
+        a, b = (saturated.linear_effects(d, "y", weight=weight).first() for d in (df, packed))
+        assert a == b
+
+
 # ---- the row-distributed shape gives the same answers ------------------------------------------------------------
 
 @pytest.mark.parametrize(

@@ -32,7 +32,7 @@ def test_no_pairwise_plans_and_no_collected_groups(spark, sf_dir, key):
         assert bad not in text
 
 
-@pytest.mark.parametrize("key", ["did_party_ztest", "certainty_by_party_w", "nested_logit", "multinom_shares", "model_stack", "party_ame"])
+@pytest.mark.parametrize("key", ["did_party_ztest", "certainty_by_party_w", "nested_logit", "multinom_shares", "model_stack", "party_ame", "shared_cells_effects"])
 def test_answers_are_scanned_once(spark, sf_dir, key):
     text = stages(entry.queries()[key](spark, sf_dir))
     assert len(re.findall(r"FileScan parquet \[l_orderkey", text)) == 1
