@@ -101,11 +101,12 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def weighted_mean(x: Column, w: Column) -> Column:
+def weighted_mean(x: Column, w: Column, lost: Column | None = None) -> Column:
     """Aggregate: mean of x weighted by w over rows where x is known.
 
-    A missing weight on a row that counts makes the mean unknown, as no value could be assumed for it.
+    A missing weight on a row that counts makes the mean unknown, as no value could be assumed for it. `lost` counts
+    such rows when the input is not one row each.
     """
     used = F.when(x.isNotNull(), w)
-    lost = F.count_if(x.isNotNull() & w.isNull())
+    lost = F.count_if(x.isNotNull() & w.isNull()) if lost is None else lost
     return F.when(lost == 0, ratio(F.sum(x.cast("double") * used.cast("double")), F.sum(used)))

@@ -47,6 +47,13 @@ def row_count(rows: DataFrame, weight: str | None = None, used: bool = False) ->
     return F.count(weight if weight else F.lit(1))
 
 
+def count_where(rows: DataFrame, cond: Column) -> Column:
+    """Aggregate: rows behind the current group that meet a condition."""
+    if is_compressed(rows):
+        return F.sum(F.when(cond, F.col("_n")).otherwise(0))
+    return F.count_if(cond)
+
+
 def row_weight(rows: DataFrame, weight: str | None = None) -> Column:
     """Weight of the current row (a cell's weight sum or row count on compressed input)."""
     if weight:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surveyfx.functions import dist
 from surveyfx.functions.recode import ratio, stars, weighted_mean
-from surveyfx.operators.cells import row_count
+from surveyfx.operators.cells import count_where, is_compressed, row_count, row_weight
 from surveyfx.operators.reshape import gather, pick, share_within, spread
 
 YES, NO, NOT_SURE = 1, 2, 3
@@ -68,12 +68,12 @@ def net_support_ztest(
     """
     y, t = F.col(response), F.col(treat)
     counts = rows.dropna(subset=[*by, response]).groupBy(*by).agg(
-        F.count_if((y == yes) & (t == 1)).alias("y1"),
-        F.count_if((y == yes) & (t == 0)).alias("y0"),
-        F.count_if((y == no) & (t == 1)).alias("n1"),
-        F.count_if((y == no) & (t == 0)).alias("n0"),
-        F.count_if(t == 1).alias("size1"),
-        F.count_if(t == 0).alias("size0"),
+        count_where(rows, (y == yes) & (t == 1)).alias("y1"),
+        count_where(rows, (y == yes) & (t == 0)).alias("y0"),
+        count_where(rows, (y == no) & (t == 1)).alias("n1"),
+        count_where(rows, (y == no) & (t == 0)).alias("n0"),
+        count_where(rows, t == 1).alias("size1"),
+        count_where(rows, t == 0).alias("size0"),
     )
     shares = counts.select(
         *by, "size1", "size0",
@@ -135,7 +135,9 @@ def both_effects(
 
 
 def mean_by(rows: DataFrame, by: Sequence[str], outcome: str) -> DataFrame:
-    return rows.dropna(subset=[*by, outcome]).groupBy(*by).agg(F.avg(outcome).alias("mean"))
+    n = row_weight(rows)
+    mean = ratio(F.sum(n * F.col(outcome)), F.sum(n)) if is_compressed(rows) else F.avg(outcome)
+    return rows.dropna(subset=[*by, outcome]).groupBy(*by).agg(mean.alias("mean"))
 
 
 def spread_of_means(rows: DataFrame, level: str, by: Sequence[str], outcome: str, low, high) -> DataFrame:
@@ -162,7 +164,10 @@ def party_gap_did(rows: DataFrame, party: str, treat: str, outcome: str, questio
 def weighted_arm_means(rows: DataFrame, treat: str, outcome: str, weight: str, by: Sequence[str] = ("question",)) -> DataFrame:
     """Weighted mean of the outcome in the control and the treated arm."""
     y, w, t = F.col(outcome), F.col(weight), F.col(treat)
-    return rows.groupBy(*by).agg(
-        weighted_mean(F.when(t == 0, y), w).alias("control_mean"),
-        weighted_mean(F.when(t == 1, y), w).alias("treatment_mean"),
-    )
+
+    def arm_mean(arm: int) -> Column:
+        x = F.when(t == arm, y)
+        lost = F.sum(F.when(x.isNotNull(), F.col("_n") - F.col("_n_known")).otherwise(0)) if is_compressed(rows) else None
+        return weighted_mean(x, w, lost)
+
+    return rows.groupBy(*by).agg(arm_mean(0).alias("control_mean"), arm_mean(1).alias("treatment_mean"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyfx.functions import dist
 from surveyfx.functions.recode import ratio
+from surveyfx.operators.cells import count_columns, is_compressed, moments, row_count
 from surveyfx.operators.reshape import picked
 
 
@@ -41,9 +42,14 @@ def welch(
     rows: DataFrame, outcome: str, arm: str, first=0, second=1, by: Sequence[str] = ("question",), level: float = 0.95
 ) -> DataFrame:
     """Mean of `first` minus mean of `second`, with Welch's degrees of freedom. Missing values are left out."""
-    arms = rows.dropna(subset=[outcome, arm]).groupBy(*by, arm).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.var_samp(outcome).alias("var")
-    )
+    if is_compressed(rows):
+        sums = moments(rows, [*by, arm], outcome)
+        mean = F.col("wy") / F.col("w")
+        arms = sums.select(*by, arm, "n", mean.alias("mean"), ratio(F.col("wyy") - F.col("wy") * mean, F.col("n") - 1).alias("var"))
+    else:
+        arms = rows.dropna(subset=[outcome, arm]).groupBy(*by, arm).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.var_samp(outcome).alias("var")
+        )
     return _from_arms(arms, by, arm, first, second, level)
 
 
@@ -54,8 +60,9 @@ def welch_many(rows: DataFrame, tests: Mapping[str, tuple[Column, Column]], leve
     its own complete cases); every combination then contributes to each test.
     """
     pairs = list(tests.values())
-    coded = rows.select(*(c.alias(f"{side}{i}") for i, p in enumerate(pairs) for c, side in zip(p, "yg")))
-    cells = coded.groupBy(*coded.columns).agg(F.count(F.lit(1)).alias("n"))
+    columns = {f"{side}{i}": c for i, p in enumerate(pairs) for c, side in zip(p, "yg")}
+    coded = rows.select(*(c.alias(name) for name, c in columns.items()), *count_columns(rows))
+    cells = coded.groupBy(*columns).agg(row_count(coded).alias("n"))
     parts = F.array(
         *(
             F.struct(F.lit(name).alias("test"), F.col(f"y{i}").cast("double").alias("y"), F.col(f"g{i}").cast("int").alias("g"))

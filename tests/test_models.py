@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyfx.functions.recode import indicator, recode
-from surveyfx.operators import saturated, ttest
+from surveyfx.operators import descriptive, saturated, ttest
 from surveyfx.operators.cells import compress
 from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_by, fit_many
 from surveyfx.operators.linear import fit_linear
@@ -271,6 +271,27 @@ def test_compressed_input_equals_rows(rows):
             assert a[k].n == b[k].n
 
 
+def test_compressed_descriptives_equal_rows(rows):
+    packed = compress(rows, ["question", "treat", "party", "response", "not_sure", "agree"], "weight")
+    arm = F.col("treat") + 1
+    ops = [
+        lambda d: ttest.welch(d, "not_sure", "treat"),
+        lambda d: ttest.welch_many(d, {"t": (F.col("not_sure"), arm)}).withColumnRenamed("test", "question"),
+        lambda d: descriptive.net_support_ztest(d, ["question", "party"], "treat", "response"),
+        lambda d: descriptive.party_gap_did(d, "party", "treat", "agree"),
+        lambda d: descriptive.weighted_arm_means(d, "treat", "not_sure", "weight"),
+        lambda d: descriptive.response_distribution(d, ["question", "treat"], "response", "weight"),
+        lambda d: descriptive.shares_wide(d, ["question", "treat"], "response", {1: "yes", 2: "no", 3: "unsure"}),
+        lambda d: descriptive.pro_share_effect(d, "party", "treat", "response", ["Dem", "Rep"]),
+    ]
+    for op in ops:
+        a, b = ({tuple(v for v in r if not isinstance(v, float)): r for r in op(d).collect()} for d in (rows, packed))
+        assert set(a) == set(b) and a
+        for k in a:
+            for x, y in zip(a[k], b[k]):
+                assert x == y or x == pytest.approx(y, abs=1e-9)
+
+
 def test_compressed_null_and_zero_weights(spark):
     data = [("a", 1, 1.0, 2.0, 5), ("a", 1, 0.0, 1.0, 5), ("a", 0, 1.0, 1.0, 5), ("a", 0, 0.0, 2.0, 5), ("a", 1, 1.0, None, 3), ("a", 0, 1.0, 0.0, 3)]
     df = small(spark, data)
