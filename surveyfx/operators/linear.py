@@ -42,16 +42,14 @@ def fit_linear(
         *by, *spec.covariates, *([weight] if weight else []), *count_columns(keyed), w.alias("_w"), F.col("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns()))
     )
 
-    def total(e: Column) -> Column:
-        return F.sum(F.col("_w") * e)
+    def totals(products: Sequence[str]) -> Column:
+        return F.expr(f"array({', '.join(f'sum(_w * {e})' for e in products)})")
 
-    x, y = [F.col(f"_x{i}") for i in range(p)], F.col("_y")
-    grams = [total(x[i] * x[j]) for i in range(p) for j in range(i, p)]
     sums = flat.groupBy(*by).agg(
         row_count(flat, weight, used=True).alias("n"),
-        F.array(*grams).alias("gram"),
-        F.array(*(total(v * y) for v in x)).alias("xy"),
-        total(y * y).alias("yy"),
+        totals([f"_x{i} * _x{j}" for i in range(p) for j in range(i, p)]).alias("gram"),
+        totals([f"_x{i} * _y" for i in range(p)]).alias("xy"),
+        totals(["_y * _y"])[0].alias("yy"),
         F.array(*_typical_columns(spec, row_weight(flat))).alias("typical"),
     )
     types = dict(sums.dtypes)
