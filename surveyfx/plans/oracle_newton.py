@@ -7,7 +7,7 @@ steps is fixed; the starting point is close enough that they all converge to rou
 from __future__ import annotations
 
 from surveyfx.plans.oracle import SQL
-from surveyfx.plans.oracle_base import result, survey
+from surveyfx.plans.oracle_base import Z95, result, survey
 
 LOGIT_STEPS = 8
 ORDINAL_STEPS = 7
@@ -75,6 +75,11 @@ b_0 AS (SELECT DISTINCT {group}, {start} FROM dat)"""
 
 def ordinal(design: list[str], rank: str, classes: int, source: str = "partisan", group: str = "question") -> str:
     """CTEs of a cumulative logit; parameters are the thresholds, then the slopes."""
+    head, step = _ordinal_parts(design, rank, classes, source, group)
+    return head + ",\n" + _newton(classes - 1 + len(design), step, group, ORDINAL_STEPS)
+
+
+def _ordinal_parts(design: list[str], rank: str, classes: int, source: str, group: str) -> tuple[str, str]:
     cuts, q = classes - 1, len(design)
     p = cuts + q
     xs = ", ".join(f"x{i}" for i in range(1, q + 1))
@@ -105,7 +110,36 @@ b_0 AS (SELECT {group}, {start} FROM dat GROUP BY {group})"""
     FROM (SELECT *, up - lo AS pr, up * (1 - up) AS fu, lo * (1 - lo) AS fl
           FROM (SELECT *, {up} AS up, {lo} AS lo FROM (SELECT *, {eta} AS eta FROM dat JOIN {{b}} USING ({group})))))
     GROUP BY {{keep}}"""
-    return head + ",\n" + _newton(p, step, group, ORDINAL_STEPS)
+    return head, step
+
+
+def last_parameter_bounds(design: list[str], rank: str, classes: int, steps: int = 6) -> list[str]:
+    """CTEs `low` and `high`: profile-likelihood bounds of the last parameter.
+
+    Newton's method on the system "log-likelihood equals its target, all other scores are zero" (Venzon and Moolgavkar
+    1988), started at the Wald bound.
+    """
+    p = classes - 1 + len(design)
+    _, step = _ordinal_parts(design, rank, classes, "partisan", "question")
+    keep = "question, " + ", ".join(f"b{i}" for i in range(1, p + 1))
+    system = ", ".join(
+        [f"h{min(i, j)}_{max(i, j)} AS a{i}_{j}" for i in range(1, p) for j in range(1, p + 1)]
+        + [f"g{i} AS a{i}_{p + 1}" for i in range(1, p)]
+        + [f"g{j} AS a{p}_{j}" for j in range(1, p + 1)]
+        + [f"goal - s.ll AS a{p}_{p + 1}"]
+    )
+    moved = ", ".join(f"b{i} + a{i}_{p + 1} AS b{i}" for i in range(1, p + 1))
+    ctes = [f"target AS (SELECT question, ll - {3.841458820694124 / 2} AS goal FROM est)"]
+    for side, sign in (("low", "-"), ("high", "+")):
+        start = ", ".join(f"b{i} {sign} {Z95} * v{i}_{p} / sqrt(v{p}_{p}) AS b{i}" for i in range(1, p + 1))
+        ctes.append(f"{side}_0 AS MATERIALIZED (SELECT question, {start} FROM est)")
+        for k in range(steps):
+            name = f"{side}_{k + 1}" if k < steps - 1 else side
+            ctes.append(f"s{side}{k} AS MATERIALIZED ({step.format(b=f'{side}_{k}', keep=keep)})")
+            ctes.append(f"m{side}{k} AS MATERIALIZED (SELECT {keep}, {system} FROM s{side}{k} s JOIN target USING (question))")
+            ctes.append(eliminate(f"e{side}{k}", f"m{side}{k}", p, p + 1, keep))
+            ctes.append(f"{name} AS MATERIALIZED (SELECT question, {moved} FROM e{side}{k}_{p})")
+    return ctes
 
 
 def coefficients(names: dict[int, str], key: str = "CAST(NULL AS VARCHAR) AS subgroup", group: str = "question", tag: str = "fit") -> str:
@@ -291,6 +325,15 @@ CODE_CUTS = {1: "Yes|No", 2: "No|Not sure"}
 AGREE_CUTS = {1: "Disagree|Not sure", 2: "Not sure|Agree"}
 
 SQL["ordinal_party"] = survey(result("fit"), ordinal(["treat", "rep", "treat * rep"], AGREE_RANK, 3), coefficients({5: "treat:rep"}))
+SQL["ordinal_party_profile"] = survey(
+    "SELECT * EXCLUDE (low, high) REPLACE (round(low, 6) + 0.0 AS conf_low, round(high, 6) + 0.0 AS conf_high) FROM ("
+    + result("bounds", extra=("low", "high"))
+    + ")",
+    ordinal(["treat", "rep", "treat * rep"], AGREE_RANK, 3),
+    coefficients({5: "treat:rep"}),
+    *last_parameter_bounds(["treat", "rep", "treat * rep"], AGREE_RANK, 3),
+    "bounds AS (SELECT fit.*, l.b5 AS low, h.b5 AS high FROM fit JOIN low l USING (question) JOIN high h USING (question))",
+)
 SQL["ordinal_table"] = survey(
     """SELECT CAST(substr(question, 2) AS INTEGER) AS position, CASE question """
     + " ".join(
