@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyfx.functions.dist import normal_quantile
-from surveyfx.operators.cells import cell_totals, count_columns, is_compressed
+from surveyfx.operators.cells import cell_totals, count_columns, is_compressed, row_weight
 from surveyfx.operators.spec import ModelSpec
 
 MAX_CELLS = 100_000
@@ -492,13 +492,13 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
     spec = model.spec
     if any(isinstance(r, Coefficients) and r.profile for r in model.reports):
         raise ValueError("profile intervals need covariates with closed value lists")
-    if is_compressed(keyed):
-        raise ValueError("open covariates need the rows themselves, not compressed cells")
     spark = keyed.sparkSession
     folder = f"{shared_folder(spark)}/fit-{uuid.uuid4().hex}"
     family = FAMILIES[model.family](spec)
-    weight = F.col("_weight").cast("double") if spec.weight else F.lit(1.0)
-    data = keyed.withColumn("_w", weight).drop("_weight").dropna().where(F.col("_w") > 0)
+    w = row_weight(keyed, "_weight" if spec.weight else None).cast("double")
+    rows_behind = F.col("_n_used" if spec.weight else "_n") if is_compressed(keyed) else F.lit(1)
+    flat = keyed.select(*by, *spec.covariates, "_y", w.alias("_w"), rows_behind.cast("double").alias("_rows"))
+    data = flat.dropna().where(F.col("_w") > 0)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in by)
@@ -543,9 +543,9 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         return np.concatenate([[loglik], score, info.ravel()])
 
     def report_sums(frame: pd.DataFrame, theta: np.ndarray, classes: list[int]) -> np.ndarray:
-        return model.report_sums(frame, np.ones(len(frame)), theta)
+        return model.report_sums(frame, frame["_rows"].to_numpy(), theta)
 
-    counts = data.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"))
+    counts = data.groupBy(*by, "_y").agg(F.sum("_rows").cast("bigint").alias("n"), F.sum("_w").alias("w"))
     state = _stored(counts.groupBy(*by).applyInPandas(begin, state_schema), f"{folder}/step-0")
     for step in range(1, MAX_STEPS + 2):
         running = state.where("status = 'run'")

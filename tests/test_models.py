@@ -322,6 +322,16 @@ def test_distributed_fit_equals_cell_fit(rows, model):
         assert a[k].n == b[k].n and a[k].converged and b[k].converged
 
 
+def test_distributed_fit_accepts_compressed_rows(rows):
+    packed = compress(rows, ["question", "treat", "party", "rep", "saw", "response", "agree"], "weight")
+    model = Model(LOGIT, "logit", (Contrast("treat", "party"),))
+    a = table(fit(rows, model), "question", "subgroup")
+    b = table(fit(packed, model, max_cells=0), "question", "subgroup")
+    assert set(a) == set(b) and a
+    for k in a:
+        assert a[k].estimate == pytest.approx(b[k].estimate, abs=1e-8) and a[k].n == b[k].n
+
+
 def test_continuous_covariate(rows):
     spec = ModelSpec("agree", (("treat",), ("age",)), weight="weight")
     assert spec.cell_bound() is None
