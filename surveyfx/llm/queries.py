@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyfx.llm import bpe
+from surveyfx.llm import bpe, idfiles, words
+from surveyfx.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,3 +29,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer), tokenizer)
     ids_text = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "ids")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id", F.xxhash64("text"))
+    idfiles.write_ids(words.encode(docs, public_tokenizers.path("word_bpe_49k.json")), folder, end_id=2)
+    return idfiles.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
