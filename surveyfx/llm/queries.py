@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyfx.llm import bpe, idfiles, words
+from surveyfx.llm import bpe, idfiles, secrets, warc, words
 from surveyfx.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id", F.xxhash64("text"))
     idfiles.write_ids(words.encode(docs, public_tokenizers.path("word_bpe_49k.json")), folder, end_id=2)
     return idfiles.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets.spans", lambda s: s["depth"] == 0)
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return docs.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets.spans")).alias("spans"), F.col("secrets.too_large").alias("too_large"))
