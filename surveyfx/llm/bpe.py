@@ -31,9 +31,9 @@ LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN_PATTERN = re.compile(rf" ?[{LATIN}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 OTHER = re.compile(r"[^\x00-\x1b\x20-\x7f\u00c0-\u024f]")
 #: Distinct pieces whose ids a worker remembers; beyond, it starts anew. Longer pieces are not remembered.
-CACHE_PIECES, CACHE_LENGTH = 1_000_000, 48
+CACHE_PIECES, CACHE_LENGTH = 400_000, 48
 #: Token pairs whose compatibility a worker remembers.
-FITS = 1_000_000
+FITS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,7 +60,7 @@ class PieceCache(dict):
 
 
 class Backtracking:
-    """The tables of one vocabulary: automaton, next shorter prefix, pair compatibility, offsets of the tokens' bytes."""
+    """The tables of one vocabulary: automaton, next shorter prefix, pair compatibility."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -92,13 +92,6 @@ class Backtracking:
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.full_pattern = regex.compile(PATTERN)
         self.cache = PieceCache(self.encode_piece)
-        # offset table: the bytes of id i are blob[start[i] : start[i] + size[i]]
-        text_of = {i: t for t, i in of.items()} | {i: s.encode() for s, i in self.special.items()}
-        top = max(text_of) + 1
-        ordered = [text_of.get(i, b"") for i in range(top)]
-        self.size = np.array([len(t) for t in ordered], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.blob = np.frombuffer(b"".join(ordered), dtype=np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging keeps the border between tokens a and b: undo merges from the newest; no pair met at the border may have merged earlier."""
@@ -165,6 +158,20 @@ class Backtracking:
                 parts += map(self.cache.__getitem__, self.pieces(part))
         return b"".join(parts)
 
+class Offsets:
+    """One run of bytes that holds the text of every token, and where each begins: the bytes of id i are blob[start[i] : start[i] + size[i]]."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = byte_letters()
+        text_of = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in spec["model"]["vocab"].items()}
+        text_of |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        ordered = [text_of.get(i, b"") for i in range(max(text_of) + 1)]
+        self.size = np.array([len(t) for t in ordered], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.blob = np.frombuffer(b"".join(ordered), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
         ends = np.cumsum(size)
@@ -178,6 +185,11 @@ def tables(path: str) -> Backtracking:
     return Backtracking(path)
 
 
+@lru_cache(maxsize=2)
+def offsets(path: str) -> Offsets:
+    return Offsets(path)
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids of a text column as an array. `tokenizer` is a path that every machine has."""
 
@@ -197,9 +209,9 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded"
 
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        bpe = tables(tokenizer)
+        table = offsets(tokenizer)
         flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
-        return pa.array([bpe.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        return pa.array([table.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
     text = text_of(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")))
     return without(df.withColumn("__decoded", text), out).withColumnRenamed("__decoded", out)
