@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyfx.llm import bpe, idfiles, secrets, warc, words
@@ -46,9 +46,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: F.when(span["kind"] == kind, 1)
+
+
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets.spans", lambda s: s["depth"] == 0)
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    counts = [F.size(F.array_compact(F.transform(base, is_kind(k)))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     return docs.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets.spans")).alias("spans"), F.col("secrets.too_large").alias("too_large"))

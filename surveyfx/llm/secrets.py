@@ -165,8 +165,6 @@ def layers(text: str) -> tuple[list[tuple[str, Origin]], int]:
             under.append(got)
     for m in BASE64.finditer(text):
         places = [(m.start(), m.end())]
-        if m[0].isalpha() and (m[0].islower() or m[0].istitle()):
-            continue  # a word: base64 of printable text always mixes cases
         places += [p for x in PIECE.finditer(m[0]) if (p := (m.start() + x.start(), m.start() + x.end())) != places[0]]
         for start, end in places:
             layer, origin, over = decoded_run(text, start, end)
