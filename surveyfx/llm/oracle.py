@@ -1,3 +1,40 @@
 """Reference SQL of the queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op2_topk"] = """
+with v as (
+  select vec_id, [floor(1024 * x::double) for x in embedding] q from embeddings
+  where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select a.vec_id query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 100 = 0
+)
+select query_id, rank::int rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from scored) where rank <= 10
+"""
+
+SQL["op3_warc"] = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint payload_bytes, upper(sha1(coalesce(html, ''))) hex from pages
+), g as (select *, max(page_id) over (partition by hex, payload_bytes) response from p)
+select page_id, payload_bytes,
+  array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)
+    for i in generate_series(0, 31)], '') payload_digest,
+  case when page_id = response then 'response' else 'revisit' end record_type,
+  case when page_id <> response then response end refers_to
+from g
+"""
+
+SQL["op7_lines"] = r"""
+with d as (select row_number() over () r, doc_id, text, source, string_split(text, chr(10)) parts from documents),
+l as (select r, source, unnest(parts) raw, generate_subscripts(parts, 1) place from d where text is not null),
+b as (select trim(raw, ' ') line from l where trim(raw, ' ') <> '' group by 1 having count(distinct source) >= 10),
+k as (
+  select r, count(*) n_lines, count(*) filter (where b.line is not null) n_removed,
+    coalesce(string_agg(raw, chr(10) order by place) filter (where b.line is null), '') kept
+  from l left join b on trim(raw, ' ') = b.line group by r
+)
+select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(kept) text_sha256 from d left join k using (r)
+"""

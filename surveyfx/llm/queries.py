@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyfx.llm import bpe, idfiles, secrets, warc, words
+from surveyfx.llm import bpe, idfiles, lines, secrets, topk, warc, words
 from surveyfx.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets.spans", lambda s: s["depth"] == 0)
     counts = [F.size(F.array_compact(F.transform(base, is_kind(k)))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     return docs.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets.spans")).alias("spans"), F.col("secrets.too_large").alias("too_large"))
+
+
+@query
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
