@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyfx.llm import bpe, idfiles, lines, secrets, topk, warc, words
+from surveyfx.llm import bpe, decontaminate, idfiles, lines, secrets, topk, warc, words
 from surveyfx.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
