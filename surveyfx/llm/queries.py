@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyfx.llm import bpe, decontaminate, idfiles, lines, secrets, topk, warc, words
+from surveyfx.llm import bpe, decontaminate, idfiles, lines, secrets, substrings, topk, warc, words
 from surveyfx.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.stretches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("first_doc_id"), "start", "end", "n_sentences")
