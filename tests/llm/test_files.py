@@ -66,7 +66,7 @@ def test_id_files_round_trip(spark, bits):
         assert (r["doc_id"], r["start"]) == (doc, at)
         assert np.frombuffer(r["ids"], "<u4").tolist() == [*(ids or []), 2]
         at += r["n_tokens"]
-    assert manifest.agg(F.sum("n_ids")).first()[0] == at and manifest.count() > 8
+    assert manifest.agg(F.sum("n_ids")).first()[0] == at and manifest.count() > 3
 
 
 def test_id_files_of_nothing(spark):
