@@ -6,9 +6,9 @@ A document's set holds its distinct n-word shingles (64-bit hashes). Documents o
    back to their classes. Very common shingles, found beforehand with counts summed in each task, stay at home: they come last in the order.
 2. Index. Two sets that are similar enough share one of their rarest `n - ceil(t n) + 1` shingles, so only these are indexed, without those that stand
    in one class alone. A list entry knows its set's size and its position in the order.
-3. Set relations. For each set the list partner it shares most entries with is verified first. What is found similar forms components, and a set's
-   answers then follow from its partner's: entries of one component need not meet again, and a list of one component alone is skipped whole.
-   This is repeated while it finds something.
+3. Set relations. A list's pivot is the set with the least share of shingles of its own: of many copies, the one the others derive from. Each set is
+   verified against the pivot it meets in most lists. What is found similar forms components, and a set's answers then follow from its pivot's:
+   entries of one component need not meet again, and a list of one component alone is skipped whole. Later rounds try the pivots not tried yet.
 4. The rest. In lists that still hold several components, entries meet in blocks: a block holds entries of one size range, only blocks whose sizes allow
    the threshold meet, and within them a pair whose positions leave too few shingles is skipped. Every pair that remains is verified exactly.
 
@@ -216,7 +216,7 @@ def count_bucket(buckets: int, parts: int):
     return run
 
 
-INDEX = "token long, cid long, n int, pos int"
+INDEX = "token long, cid long, n int, pos int, alone float"
 
 
 def index_part(percent: int):
@@ -247,9 +247,10 @@ def index_part(percent: int):
         # tokens of one class alone come first in the order
         alone = e["rare"] - np.repeat(counted, size)
         pos = np.maximum(alone, 0) + rank
+        share = np.maximum(alone, 0) / n
         prefix = n - -(-percent * n // 100) + 1
         keep = np.where(often, True, alone + rank < prefix)
-        return pa.table({"token": e["token"][keep], "cid": e["cid"][keep], "n": e["n"][keep].astype(np.int32), "pos": pos[keep].astype(np.int32)})
+        return pa.table({"token": e["token"][keep], "cid": e["cid"][keep], "n": e["n"][keep].astype(np.int32), "pos": pos[keep].astype(np.int32), "alone": share[keep].astype(np.float32)})
 
     return run
 
@@ -301,8 +302,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mixed_lists(index: DataFrame) -> DataFrame:
-    """The lists that hold more than one component, each with the smallest class in it."""
-    first = F.min(F.struct("cid", "comp", "n")).alias("f")
+    """The lists that hold more than one component, each with its pivot: the class with the least share of shingles of its own, which is likest to
+    be what the others are copies of."""
+    first = F.min(F.struct("alone", "cid", "comp", "n")).alias("f")
     lists = index.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), first).filter("low <> high")
     return written(lists.select("token", F.col("f.cid").alias("b"), F.col("f.comp").alias("b_comp"), F.col("f.n").alias("b_n")), "mixed-lists")
 
@@ -314,7 +316,7 @@ def similar_sizes(x: str, y: str, percent: int):
 def link_components(index: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """(cid, comp) of all classes that are similar to another."""
     own = index.withColumn("comp", F.col("cid"))
-    links = None
+    links, tried = None, None
     for final in [False] * STAR_ROUNDS + [True]:
         lists = mixed_lists(own)
         if final:
@@ -332,7 +334,11 @@ def link_components(index: DataFrame, shingles: DataFrame, percent: int) -> Data
         else:
             apart = (F.col("comp") != F.col("b_comp")) & similar_sizes("n", "b_n", percent)
             stars = own.join(lists, "token").filter(apart).groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("shared"))
-            pairs = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            if tried is not None:
+                stars = stars.join(tried, ["a", "b"], "left_anti")
+            best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            pairs = written(best, "star-pairs")
+            tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(pairs, shingles, percent)
         if found.isEmpty():
             continue
