@@ -80,19 +80,33 @@ def cell_totals(rows: DataFrame, keys: Sequence[str], weight: str | None = None,
     )
 
 
+def co_moment(w: Column, a: Column, b: Column) -> Column:
+    """Aggregate: Σ w (a − ā)(b − b̄) around the weighted means, from unweighted co-moments.
+
+    Built-in co-moments are centred and merge stably, so nothing cancels however large the values are beside their
+    spread; a column that never varies gives exactly zero.
+    """
+    return F.count(w) * (F.covar_pop(w * a, b) - F.avg(w * a) * F.try_divide(F.covar_pop(w, b), F.avg(w)))
+
+
+def weighted_avg(w: Column, a: Column) -> Column:
+    """Aggregate: Σ w a / Σ w, as the mean of `a` and a correction."""
+    return F.avg(a) + F.try_divide(F.covar_pop(w, a), F.avg(w))
+
+
 def moments(
     rows: DataFrame, keys: Sequence[str], outcome: str, weight: str | None = None, control: str | None = None
 ) -> DataFrame:
-    """Weighted first and second moments of `outcome` (and of one additive `control`) per combination of `keys`.
+    """Weighted mean and centred second moments of `outcome` (and of one additive `control`) per combination of `keys`.
 
-    Columns: `n` (rows with a non-zero weight), `w`, `wy`, `wyy` and, with a control s, `ws`, `wss`, `wsy`.
+    Columns: `n` (rows with a non-zero weight), `w`, `mean`, `cyy` and, with a control s, `smean`, `css`, `csy`.
     """
     needed = [*keys, outcome, *([weight] if weight else []), *([control] if control else [])]
     w = row_weight(rows, weight).cast("double")
     y = F.col(outcome).cast("double")
-    sums = {"w": w, "wy": w * y, "wyy": w * y * y}
+    sums = {"w": F.sum(w), "mean": weighted_avg(w, y), "cyy": co_moment(w, y, y)}
     if control:
         s = F.col(control).cast("double")
-        sums |= {"ws": w * s, "wss": w * s * s, "wsy": w * s * y}
+        sums |= {"smean": weighted_avg(w, s), "css": co_moment(w, s, s), "csy": co_moment(w, s, y)}
     n = row_count(rows, weight, used=True)
-    return rows.dropna(subset=needed).groupBy(*keys).agg(n.alias("n"), *(F.sum(e).alias(k) for k, e in sums.items()))
+    return rows.dropna(subset=needed).groupBy(*keys).agg(n.alias("n"), *(e.alias(k) for k, e in sums.items()))

@@ -374,6 +374,8 @@ def _fit_frame(model: Model, frame: pd.DataFrame) -> list[dict]:
     """Fit one model on one group's cells: columns of the specification, `_y`, `n`, `n_used`, `w`."""
     family = FAMILIES[model.family](model.spec)
     frame = frame[frame["w"] > 0]
+    if outside := model.spec.outside(frame):
+        return [{"n": int(frame["n_used"].sum()), "converged": False, "error": f"values outside the list of {', '.join(outside)}"}]
     x, y, w = model.spec.matrix(frame), frame["_y"].to_numpy(), frame["w"].to_numpy(float)
     n, used = frame["n"].to_numpy(), int(frame["n_used"].sum())
     classes = sorted(set(y.astype(int)))

@@ -1,8 +1,9 @@
 """Least squares for any term list, in one pass.
 
-The normal equations only need second moments, which are sums over rows. They are computed by built-in aggregates in
-one partially aggregated groupBy, whatever the covariates are (coded or continuous), and each group's p × p system is
-solved where its one row of moments lies, without another shuffle.
+The normal equations only need second moments. They are computed by built-in aggregates in one partially aggregated
+groupBy, whatever the covariates are (coded or continuous), centred where the model has an intercept, and each group's
+p × p system is solved on the correlation scale where its one row of moments lies, without another shuffle. The lists
+in `codes` are not needed here: every number stays in the fit.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.operators.cells import count_columns, row_count, row_weight
+from surveyfx.operators.cells import co_moment, count_columns, row_count, row_weight, weighted_avg
 from surveyfx.operators.fit import FIT_FIELDS, FIT_NAMES, Fitted, Linear, Report, result_frame
 from surveyfx.operators.spec import ModelSpec
 
+#: Smallest eigenvalue of the regressors' correlations from which the data determine every parameter.
+RANK_TOL = 1e-10
+
 
 def _typical_columns(spec: ModelSpec, n: Column) -> list[Column]:
     """Sums over rows behind the typical covariate values, in the order the reports read them."""
@@ -34,7 +38,7 @@ def fit_linear(
     rows: DataFrame, spec: ModelSpec, reports: Sequence[Report], by: Sequence[str] = ("question",)
 ) -> DataFrame:
     """Columns: `by`, FIT_FIELDS and the residual degrees of freedom `df`. Contrasts are on the outcome's own scale."""
-    keyed = spec.project(rows, by).dropna()
+    keyed = spec.project(rows, by, listed=False).dropna()
     weight = "_weight" if spec.weight else None
     w = row_weight(keyed, weight).cast("double")
     p = len(spec.names())
@@ -42,37 +46,71 @@ def fit_linear(
         *by, *spec.covariates, *([weight] if weight else []), *count_columns(keyed), w.alias("_w"), F.col("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns()))
     )
 
-    def totals(products: Sequence[str]) -> Column:
-        return F.expr(f"array({', '.join(f'sum(_w * {e})' for e in products)})")
-
+    w, xs = F.col("_w"), [F.col(f"_x{i}") for i in range(p)]
+    y = F.col("_y")
+    # around their means where an intercept takes the means up; products as they are where none does
+    first = 1 if spec.intercept else 0
+    slopes = xs[first:]
+    cross = co_moment if spec.intercept else lambda w, a, b: F.sum(w * a * b)
     sums = flat.groupBy(*by).agg(
         row_count(flat, weight, used=True).alias("n"),
-        totals([f"_x{i} * _x{j}" for i in range(p) for j in range(i, p)]).alias("gram"),
-        totals([f"_x{i} * _y" for i in range(p)]).alias("xy"),
-        totals(["_y * _y"])[0].alias("yy"),
+        F.sum(w).alias("w"),
+        F.array(*(cross(w, slopes[i], slopes[j]) for i in range(len(slopes)) for j in range(i, len(slopes)))).cast("array<double>").alias("gram"),
+        F.array(*(cross(w, x, y) for x in slopes)).cast("array<double>").alias("xy"),
+        cross(w, y, y).alias("yy"),
+        F.array(*(weighted_avg(w, x) for x in slopes)).cast("array<double>").alias("x_mean"),
+        weighted_avg(w, y).alias("y_mean"),
         F.array(*_typical_columns(spec, row_weight(flat))).alias("typical"),
     )
     types = dict(sums.dtypes)
-    keys, upper = list(by), np.triu_indices(p)
+    keys, q = list(by), p - first
+    upper = np.triu_indices(q)
 
-    def solve(row: pd.Series) -> list[dict]:
-        n = int(row["n"])
-        gram = np.zeros((p, p))
-        gram[upper] = row["gram"]
-        gram = gram + np.triu(gram, 1).T
-        xy, df = np.asarray(row["xy"], float), float(n - p)
-        if df <= 0 or np.linalg.matrix_rank(gram) < p:
-            return [{"n": n, "df": df, "converged": False, "error": "more parameters than the data determines"}]
-        inverse = np.linalg.inv(gram)
-        beta = np.linalg.solve(gram, xy)
-        s2 = max(float(row["yy"] - beta @ xy), 0.0) / df
-        fitted = Fitted(Linear(spec), [], beta, s2 * inverse, np.asarray(row["typical"], float))
-        return [r | {"n": n, "df": df, "converged": True} for report in reports for r in report.rows(fitted)]
+    def solve(batch: pd.DataFrame) -> list[list[dict]]:
+        """The result rows of each group; all groups of a batch are solved together."""
+        m = len(batch)
+        gram = np.zeros((m, q, q))
+        if q:
+            gram[:, *upper] = np.stack(batch["gram"])
+        gram = gram + np.transpose(np.triu(gram, 1), (0, 2, 1))
+        xy = np.stack(batch["xy"]).astype(float) if q else np.zeros((m, 0))
+        yy, n = batch["yy"].to_numpy(float), batch["n"].to_numpy(np.int64)
+        df = (n - p).astype(float)
+        # on the scale of correlations, rank does not depend on the units of the columns
+        scale = np.sqrt(np.einsum("mii->mi", gram))
+        usable = np.all(scale > 0, axis=1) & (df > 0)
+        scale[scale <= 0] = 1.0
+        unit = gram / (scale[:, :, None] * scale[:, None, :])
+        unit[~usable] = np.eye(q)
+        usable &= np.linalg.eigvalsh(unit).min(axis=1, initial=1.0) > RANK_TOL
+        unit[~usable] = np.eye(q)
+        inverse = np.linalg.inv(unit) / (scale[:, :, None] * scale[:, None, :])
+        beta = np.einsum("mij,mj->mi", inverse, xy)
+        s2 = (yy - np.einsum("mi,mi->m", beta, xy)) / np.where(df > 0, df, 1.0)
+        out = []
+        for k, (typical, total, y_mean) in enumerate(zip(batch["typical"], batch["w"], batch["y_mean"])):
+            base = {"n": int(n[k]), "df": df[k]}
+            if not usable[k]:
+                out.append([base | {"converged": False, "error": "more parameters than the data determines"}])
+                continue
+            if not (np.isfinite(s2[k]) and s2[k] > 0):
+                out.append([base | {"converged": False, "error": "no residual variance"}])
+                continue
+            theta, vcov = beta[k], inverse[k]
+            if first:
+                mean = np.asarray(batch["x_mean"].iloc[k], float)
+                lean = vcov @ mean
+                theta = np.concatenate([[y_mean - mean @ theta], theta])
+                vcov = np.block([[np.array([[1 / total + mean @ lean]]), -lean[None, :]], [-lean[:, None], vcov]])
+            fitted = Fitted(Linear(spec), [], theta, s2[k] * vcov, np.asarray(typical, float))
+            out.append([r | base | {"converged": True} for report in reports for r in report.rows(fitted)])
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [{k: row[k] for k in keys} | r for _, row in batch.iterrows() for r in solve(row)]
-            yield result_frame(out, [*keys, *FIT_NAMES, "df"])
+            if len(batch):
+                found = zip(batch[keys].itertuples(index=False, name=None), solve(batch))
+                yield result_frame([dict(zip(keys, group)) | r for group, rows in found for r in rows], [*keys, *FIT_NAMES, "df"])
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), FIT_FIELDS, "df double"])
     return sums.mapInPandas(run, schema)

@@ -26,16 +26,11 @@ def _linear_arms(
     """Adjusted mean pieces per arm, with the question's residual variance and degrees of freedom on every row."""
     keys = [question, *([by] if by else []), treat]
     arms = moments(rows, keys, outcome, weight, control).where(F.col("w") > 0)
-    w, wy = F.col("w"), F.col("wy")
-    within = {"mean": wy / w, "cyy": F.col("wyy") - wy * wy / w}
-    if control:
-        ws = F.col("ws")
-        within |= {"smean": ws / w, "css": F.col("wss") - ws * ws / w, "csy": F.col("wsy") - ws * wy / w}
-    else:
-        within |= {k: F.lit(0.0) for k in ("smean", "css", "csy")}
+    if not control:
+        arms = arms.withColumns({k: F.lit(0.0) for k in ("smean", "css", "csy")})
     q = Window.partitionBy(question)
     total = {f"t{c}": F.sum(c).over(q) for c in ("cyy", "css", "csy", "n")}
-    out = arms.withColumns(within).withColumns({**total, "k": F.count(F.lit(1)).over(q)})
+    out = arms.withColumns({**total, "k": F.count(F.lit(1)).over(q)})
     # a control that never varies inside a cell is dropped, as a rank-deficient fit would
     rank = F.when(F.col("tcss") > 0, 1).otherwise(0)
     slope = F.when(F.col("tcss") > 0, F.col("tcsy") / F.col("tcss")).otherwise(0.0)

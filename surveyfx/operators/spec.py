@@ -28,8 +28,9 @@ class ModelSpec:
     """outcome ~ terms, where a term is a tuple of columns that are multiplied.
 
     levels   categorical covariates: closed list, first entry is the reference; other values count as missing
-    codes    numeric covariates with a closed list of values. A numeric covariate without one is allowed, but then the
-             number of covariate patterns is unbounded and the fit runs as distributed passes over the rows.
+    codes    numeric covariates with a closed list of values, which bounds the covariate patterns of a group. A group
+             that holds another value is not fitted and says so. A numeric covariate without a list is allowed, but
+             then the number of patterns is unbounded and the fit runs as distributed passes over the rows.
     ordered  outcome codes in rank order with their labels (ordinal models)
     """
 
@@ -53,20 +54,27 @@ class ModelSpec:
         sizes = [len(self.levels.get(c, self.codes.get(c, ()))) for c in self.covariates]
         return prod(sizes) * max(len(self.ordered), 2) if all(sizes) else None
 
-    def columns(self) -> dict[str, Column]:
-        """Covariates and outcome as the fit wants them; values outside a closed list become null."""
+    def columns(self, listed: bool = True) -> dict[str, Column]:
+        """Covariates and outcome as the fit wants them. A category outside its list becomes null, which a model drops;
+        a number outside its list becomes infinite (`listed`), which a fit reports, or stays as it is."""
         out: dict[str, Column] = {}
         for c in self.covariates:
             if c in self.levels:
                 out[c] = known_level(c, self.levels[c])
             else:
-                out[c] = known_level(c, self.codes[c]) if c in self.codes else F.col(c).cast("double")
+                value = F.col(c).cast("double")
+                inside = value.isNull() | value.isin(*(float(v) for v in self.codes[c])) if c in self.codes and listed else None
+                out[c] = value if inside is None else F.when(inside, value).otherwise(F.lit(float("inf")))
         out["_y"] = level_rank(self.outcome, tuple(self.ordered)) if self.ordered else F.col(self.outcome).cast("double")
         return out
 
-    def project(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    def outside(self, frame: pd.DataFrame) -> list[str]:
+        """Covariates of a group that hold numbers outside their list."""
+        return [c for c in self.covariates if c not in self.levels and c in self.codes and np.isinf(frame[c].to_numpy(float)).any()]
+
+    def project(self, rows: DataFrame, by: Sequence[str], listed: bool = True) -> DataFrame:
         weight = [F.col(self.weight).alias("_weight")] if self.weight else []
-        return rows.select(*by, *(c.alias(n) for n, c in self.columns().items()), *weight, *count_columns(rows))
+        return rows.select(*by, *(c.alias(n) for n, c in self.columns(listed).items()), *weight, *count_columns(rows))
 
     # -- design ----------------------------------------------------------------------------------------------------
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyfx.functions import dist
 from surveyfx.functions.recode import ratio
-from surveyfx.operators.cells import count_columns, is_compressed, moments, row_count
+from surveyfx.operators.cells import co_moment, count_columns, is_compressed, moments, row_count, weighted_avg
 from surveyfx.operators.reshape import picked
 
 
@@ -44,8 +44,7 @@ def welch(
     """Mean of `first` minus mean of `second`, with Welch's degrees of freedom. Missing values are left out."""
     if is_compressed(rows):
         sums = moments(rows, [*by, arm], outcome)
-        mean = F.col("wy") / F.col("w")
-        arms = sums.select(*by, arm, "n", mean.alias("mean"), ratio(F.col("wyy") - F.col("wy") * mean, F.col("n") - 1).alias("var"))
+        arms = sums.select(*by, arm, "n", "mean", ratio(F.col("cyy"), F.col("n") - 1).alias("var"))
     else:
         arms = rows.dropna(subset=[outcome, arm]).groupBy(*by, arm).agg(
             F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.var_samp(outcome).alias("var")
@@ -70,11 +69,8 @@ def welch_many(rows: DataFrame, tests: Mapping[str, tuple[Column, Column]], leve
         )
     )
     tall = cells.select("n", F.explode(parts).alias("part")).select("n", "part.*").dropna()
-    sums = tall.groupBy("test", "g").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("y")).alias("sy"),
-        F.sum(F.col("n") * F.col("y") * F.col("y")).alias("syy"),
+    n, y = F.col("n").cast("double"), F.col("y")
+    arms = tall.groupBy("test", "g").agg(
+        F.sum("n").alias("n"), weighted_avg(n, y).alias("mean"), ratio(co_moment(n, y, y), F.sum("n") - 1).alias("var")
     )
-    mean = ratio(F.col("sy"), F.col("n"))
-    arms = sums.select("test", "g", "n", mean.alias("mean"), ratio(F.col("syy") - F.col("sy") * mean, F.col("n") - 1).alias("var"))
     return _from_arms(arms, ["test"], "g", 1, 2, level)

@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from surveyfx.plans import oracle, oracle_newton  # noqa: F401 - the second adds its entries to the first
+from surveyfx.plans.queries import REGISTRY as QUERIES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+ORACLE = oracle.SQL
 
 
 @pytest.fixture(scope="module")
