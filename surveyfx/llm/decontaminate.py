@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from surveyfx.llm.common import row_key, written
 
 #: Positions that count, by mask; every mask fits a window of `SPAN` tokens.
-MASKS = ((0, 1, 3, 5, 8), (0, 2, 3, 7, 8), (0, 1, 4, 6, 7))
-SPAN, STRIDE = 9, 3
-WINDOW, AGREE = 20, 0.75
+MASKS = ((0, 1, 3, 5, 8), (0, 2, 3, 7, 8), (0, 1, 4, 6, 7), (1, 2, 5, 6, 8))
+SPAN, STRIDE = 9, 2
+WINDOW, AGREE = 13, 0.75
 #: Rows up to which a written table is sent to every task.
 BROADCAST_ROWS = 1_000_000
 
