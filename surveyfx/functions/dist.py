@@ -20,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LARGE_DF = 200.0
+#: Newton steps of the t quantile; a quantile that has not settled by then is null.
+T_STEPS = 12
 
 # Cody's coefficients, highest power first.
 ERF_NUM = (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
@@ -105,9 +107,11 @@ def _t_p_large(t: str, df: str) -> str:
 
 def _t_quantile_small(z: float, level: float, df: str) -> str:
     density = f"exp({_log_gamma_half_step(f'{df} / 2')} - ln({df} * {math.pi!r}D) / 2 - ({df} + 1) / 2 * log1p(q * q / {df}))"
-    # the tail is convex in t, so Newton steps that start left of the root stay left of it
-    step = f"q + ({_t_p_small('q', df)} - {1 - level!r}D) / (2 * {density})"
-    return f"aggregate(sequence(1, 12), {z!r}D, (q, i) -> {step})"
+    # ln p is concave and falling in ln q: Newton steps on these scales settle from above, also in heavy tails
+    alpha = repr(1 - level)
+    step = f"q * exp(ln({_t_p_small('q', df)} / {alpha}D) * {_t_p_small('q', df)} / (2 * {density} * q))"
+    found = f"aggregate(sequence(1, {T_STEPS}), {z!r}D, (q, i) -> {step})"
+    return _let("q", found, f"CASE WHEN abs({_t_p_small('q', df)} / {alpha}D - 1) < 1e-7D THEN q END")
 
 
 def normal_p(z: str) -> Column:

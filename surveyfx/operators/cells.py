@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 
 COUNTS = ("_n", "_n_known", "_n_used")
+#: Metadata of a column that counts the rows behind each row.
+MARK = {"surveyfx.counts": "rows"}
 
 
 def compress(rows: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -21,16 +23,21 @@ def compress(rows: DataFrame, keys: Sequence[str], weight: str | None = None) ->
 
     Missing codes are kept as codes of their own, since every analysis has its own complete cases. The weight column
     keeps its name and holds the weight sum; `_n`, `_n_known` and `_n_used` count rows, rows with a weight and rows
-    with a non-zero weight. The operators recognise these columns and give the same results as on the rows, provided
-    that the outcome is a function of the keys.
+    with a non-zero weight. The operators recognise the frame by the mark that `_n` carries and give the same results
+    as on the rows: whatever they use is computed from the keys, as no other column is left.
     """
     w = F.col(weight) if weight else F.lit(1)
-    aggs = [F.count(F.lit(1)).alias("_n"), F.count(w).alias("_n_known"), F.count_if(w != 0).alias("_n_used")]
+    aggs = [F.count(F.lit(1)).alias("_n", metadata=MARK), F.count(w).alias("_n_known"), F.count_if(w != 0).alias("_n_used")]
     return rows.groupBy(*keys).agg(*([F.sum(weight).alias(weight)] if weight else []), *aggs)
 
 
 def is_compressed(rows: DataFrame) -> bool:
-    return "_n" in rows.columns
+    return is_marked(rows, "_n")
+
+
+def is_marked(df: DataFrame, column: str) -> bool:
+    """Whether a column counts rows of a reduction made here; a column that only has the name does not."""
+    return any(f.name == column and MARK.items() <= f.metadata.items() for f in df.schema.fields)
 
 
 def count_columns(rows: DataFrame) -> list[str]:
@@ -72,9 +79,9 @@ def cell_totals(rows: DataFrame, keys: Sequence[str], weight: str | None = None,
     needed = [*keys, *([weight] if weight else [])]
     out = (rows.dropna(subset=needed) if complete else rows).groupBy(*keys)
     if weight is None:
-        return out.agg(row_count(rows).alias("n")).withColumns({"n_used": F.col("n"), "w": F.col("n").cast("double")})
+        return out.agg(row_count(rows).alias("n", metadata=MARK)).withColumns({"n_used": F.col("n"), "w": F.col("n").cast("double")})
     return out.agg(
-        row_count(rows, weight).alias("n"),
+        row_count(rows, weight).alias("n", metadata=MARK),
         row_count(rows, weight, used=True).alias("n_used"),
         F.sum(weight).cast("double").alias("w"),
     )

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyfx.functions.dist import normal_quantile
-from surveyfx.operators.cells import cell_totals, count_columns, is_compressed, row_weight
+from surveyfx.operators.cells import cell_totals, count_columns, is_compressed, is_marked, row_weight
 from surveyfx.operators.spec import ModelSpec
 
-MAX_CELLS = 100_000
 MAX_STEPS = 50
-STEP_TOL = 1e-10
+#: A fit has settled when a step would raise the log-likelihood by less than this share of its size.
+TOLERANCE = 1e-16
 
 FIT_FIELDS = (
     "subgroup string, term string, estimate double, std_error double, conf_low double, conf_high double, "
@@ -134,32 +134,43 @@ class State:
     error: str | None = None
 
 
-def advance(s: State, loglik: float, score: np.ndarray, info: np.ndarray) -> State:
-    """One update from the sums at the candidate: accept and step on, or halve the step."""
+def scaled_inverse(info: np.ndarray) -> np.ndarray:
+    """Inverse of an information matrix, taken on the scale where its diagonal is one."""
+    d = np.sqrt(np.diag(info))
+    if not np.all(d > 0):
+        raise np.linalg.LinAlgError("no information on a parameter")
+    return np.linalg.inv(info / np.outer(d, d)) / np.outer(d, d)
+
+
+def advance(s: State, loglik: float, score: np.ndarray, info: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> State:
+    """One update from the sums at the candidate: accept and step on, or halve the step.
+
+    The size of a step is its Newton decrement, which depends on the units of neither covariates nor weights.
+    """
     s.steps += 1
-    if s.steps > MAX_STEPS:
+    if s.steps > max_steps:
         s.status, s.error = "failed", "no convergence"
-    elif not math.isfinite(loglik) or loglik < s.loglik - 1e-9 * (1 + abs(s.loglik)):
+    elif not math.isfinite(loglik) or loglik < s.loglik - 1e-9 * abs(s.loglik) and math.isfinite(s.loglik):
         s.candidate = (s.theta + s.candidate) / 2
     else:
         s.theta, s.loglik, s.info = s.candidate, loglik, info
         try:
-            step = np.linalg.solve(info, score)
+            step = scaled_inverse(info) @ score
         except np.linalg.LinAlgError:
             s.status, s.error = "failed", "singular information"
             return s
         s.candidate = s.theta + step
         if not np.all(np.isfinite(step)):
             s.status, s.error = "failed", "singular information"
-        elif np.max(np.abs(step), initial=0.0) < STEP_TOL:
+        elif abs(float(score @ step)) <= tolerance * abs(loglik):
             s.theta, s.status = s.candidate, "ok"
     return s
 
 
-def newton(evaluate: Callable[[np.ndarray], tuple], start: np.ndarray) -> State:
+def newton(evaluate: Callable[[np.ndarray], tuple], start: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> State:
     s = State(start, start)
     while s.status == "run":
-        s = advance(s, *evaluate(s.candidate))
+        s = advance(s, *evaluate(s.candidate), max_steps, tolerance)
     return s
 
 
@@ -258,6 +269,13 @@ class Model:
     spec: ModelSpec
     family: str
     reports: tuple[Report, ...]
+    max_steps: int = MAX_STEPS
+    tolerance: float = TOLERANCE
+
+    @property
+    def level(self) -> float | None:
+        """Confidence level of profile bounds, if the model reports any."""
+        return next((r.level for r in self.reports if isinstance(r, Coefficients) and r.profile), None)
 
     def report_sums(self, frame: pd.DataFrame, n: np.ndarray, theta: np.ndarray) -> np.ndarray:
         """Typical-value sums, followed by the sums of an average slope when one is reported."""
@@ -336,7 +354,7 @@ def profile_bounds(fit: Fitted, k: int, level: float) -> tuple[float, float]:
                 near, f_near, f_far = mid, f_mid, f_far / 2
             else:
                 far, f_far, f_near = mid, f_mid, f_near / 2
-        return mid
+        return math.nan  # a bound that was not reached is no bound
 
     return bound(-1), bound(1)
 
@@ -349,12 +367,15 @@ def result_frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
 
 
 def fit_by(
-    cells: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], list[dict]], fields: str = FIT_FIELDS
+    cells: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], list[dict]], fields: str = FIT_FIELDS, bounded: bool = False
 ) -> DataFrame:
     """Apply `fn` to every group's cells. An exception becomes a row with `converged` false and the message.
 
-    The input must be reduced to cell totals first: one call sees a whole group.
+    One call sees a whole group, so the input must be reduced first: cell totals or a compressed frame. `bounded`
+    vouches for any other input whose groups stay small whatever the data size.
     """
+    if not (bounded or is_marked(cells, "n") or is_compressed(cells)):
+        raise ValueError("fit_by takes cell totals or a compressed frame; pass bounded=True if groups are small by construction")
     keys = list(by)
     names = [f.split()[0] for f in fields.split(", ")]
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
@@ -385,27 +406,40 @@ def _fit_frame(model: Model, frame: pd.DataFrame) -> list[dict]:
     def evaluate(theta: np.ndarray):
         return family.sums(x, y, w, theta, classes)
 
-    s = newton(evaluate, family.start(classes, np.array([w[y == c].sum() for c in classes])))
+    s = newton(evaluate, family.start(classes, np.array([w[y == c].sum() for c in classes])), model.max_steps, model.tolerance)
     fitted = None
     if s.status == "ok":
         sums = model.report_sums(frame, n, s.theta)
-        fitted = Fitted(family, classes, s.theta, np.linalg.inv(s.info), sums, evaluate, s.loglik)
+        fitted = Fitted(family, classes, s.theta, scaled_inverse(s.info), sums, evaluate, s.loglik)
     return model.rows(s, fitted, used)
 
 
-def fit(rows: DataFrame, model: Model, by: Sequence[str] = ("question",), max_cells: int = MAX_CELLS) -> DataFrame:
-    """Fit a model in every group and report. Columns: `by`, then FIT_FIELDS."""
-    bound = model.spec.cell_bound()
+def _finished(fits: DataFrame, levels: set[float | None], drop_failed: bool) -> DataFrame:
+    """Results with the level of their profile bounds noted on the bound, so that no other level is mixed in later."""
+    noted = {level for level in levels if level is not None}
+    if len(noted) > 1:
+        raise ValueError("models fitted together need one confidence level")
+    for level in noted:
+        fits = fits.withMetadata("conf_low", {"level": level})
+    return fits.where("converged") if drop_failed else fits
+
+
+def fit(rows: DataFrame, model: Model, by: Sequence[str] = ("question",), by_rows: bool | None = None, drop_failed: bool = False) -> DataFrame:
+    """Fit a model in every group and report. Columns: `by`, then FIT_FIELDS.
+
+    `by_rows` chooses between passes over the rows and one call on each group's cells; by default cells are used
+    when every covariate has a closed list. `drop_failed` leaves groups that could not be fitted out.
+    """
     keyed = model.spec.project(rows, by)
-    if bound is None or bound > max_cells:
-        return _fit_distributed(keyed, model, list(by))
+    if model.spec.cell_bound() is None if by_rows is None else by_rows:
+        return _finished(_fit_distributed(keyed, model, list(by)), {model.level}, drop_failed)
     keys = [*by, *model.spec.covariates, "_y"]
     cells = cell_totals(keyed, keys, "_weight" if model.spec.weight else None)
-    return fit_by(cells, by, lambda frame: _fit_frame(model, frame))
+    return _finished(fit_by(cells, by, lambda frame: _fit_frame(model, frame)), {model.level}, drop_failed)
 
 
 def fit_many(
-    rows: DataFrame, models: Mapping[str, Model], by: Sequence[str] = ("question",), max_cells: int = MAX_CELLS
+    rows: DataFrame, models: Mapping[str, Model], by: Sequence[str] = ("question",), by_rows: bool | None = None, drop_failed: bool = False
 ) -> DataFrame:
     """Fit several models of one outcome from one shared cell table. Columns: `by`, `model`, then FIT_FIELDS.
 
@@ -416,17 +450,13 @@ def fit_many(
     if len({(sp.outcome, tuple(sp.ordered.items()), sp.weight) for sp in specs}) > 1:
         raise ValueError("models that share cells need the same outcome and weight")
     columns: dict = {}
-    bound = 1
     for sp in specs:
         for c in sp.covariates:
             listed = sp.levels.get(c, sp.codes.get(c))
-            if c not in columns:
-                bound = None if bound is None or listed is None else bound * (len(listed) + 1)
-                columns[c] = listed
-            elif columns[c] != listed:
+            if columns.setdefault(c, listed) != listed:
                 raise ValueError(f"models disagree on the values of {c}")
-    if bound is None or bound * max(len(specs[0].ordered), 2) > max_cells:
-        parts = [fit(rows, m, by, max_cells).select(*by, F.lit(name).alias("model"), *FIT_NAMES) for name, m in models.items()]
+    if not all(columns.values()) if by_rows is None else by_rows:
+        parts = [fit(rows, m, by, True, drop_failed).select(*by, F.lit(name).alias("model"), *FIT_NAMES) for name, m in models.items()]
         return reduce(DataFrame.unionByName, parts)
     exprs = {name: c for sp in specs for name, c in sp.columns().items()}
     weight = specs[0].weight
@@ -445,7 +475,7 @@ def fit_many(
             out += [{"model": name} | r for r in found]
         return out
 
-    return fit_by(cells, by, fn, "model string, " + FIT_FIELDS)
+    return _finished(fit_by(cells, by, fn, "model string, " + FIT_FIELDS), {m.level for m in models.values()}, drop_failed)
 
 
 # ---- rows stay distributed ----------------------------------------------------------------------------------------
@@ -501,6 +531,8 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
     rows_behind = F.col("_n_used" if spec.weight else "_n") if is_compressed(keyed) else F.lit(1)
     flat = keyed.select(*by, *spec.covariates, "_y", w.alias("_w"), rows_behind.cast("double").alias("_rows"))
     data = flat.dropna().where(F.col("_w") > 0)
+    listed = [c for c in spec.covariates if c in spec.codes and c not in spec.levels]
+    outside = F.array(*(F.max(F.col(c) == float("inf")) for c in listed)).cast("array<boolean>")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in by)
@@ -527,7 +559,9 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         classes = [int(c) for c in frame["_y"]]
         start = family.start(classes, frame["w"].to_numpy())
         s = State(start, start)
-        if len(classes) < 2:
+        if bad := [c for k, c in enumerate(listed) if any(flags[k] for flags in frame["outside"])]:
+            s.status, s.error = "failed", f"values outside the list of {', '.join(bad)}"
+        elif len(classes) < 2:
             s.status, s.error = "failed", "needs at least two response classes"
         return pack(key, classes, int(frame["n"].sum()), s)
 
@@ -537,7 +571,7 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         if len(sums):
             v = sums.sort_values("slot")["value"].to_numpy()
             p = len(s.candidate)
-            s = advance(s, float(v[0]), v[1 : p + 1], v[p + 1 :].reshape(p, p))
+            s = advance(s, float(v[0]), v[1 : p + 1], v[p + 1 :].reshape(p, p), model.max_steps, model.tolerance)
         return pack(key, [int(c) for c in row["classes"]], int(row["n"]), s)
 
     def newton_sums(frame: pd.DataFrame, theta: np.ndarray, classes: list[int]) -> np.ndarray:
@@ -547,9 +581,9 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
     def report_sums(frame: pd.DataFrame, theta: np.ndarray, classes: list[int]) -> np.ndarray:
         return model.report_sums(frame, frame["_rows"].to_numpy(), theta)
 
-    counts = data.groupBy(*by, "_y").agg(F.sum("_rows").cast("bigint").alias("n"), F.sum("_w").alias("w"))
+    counts = data.groupBy(*by, "_y").agg(F.sum("_rows").cast("bigint").alias("n"), F.sum("_w").alias("w"), outside.alias("outside"))
     state = _stored(counts.groupBy(*by).applyInPandas(begin, state_schema), f"{folder}/step-0")
-    for step in range(1, MAX_STEPS + 2):
+    for step in range(1, model.max_steps + 2):
         running = state.where("status = 'run'")
         if running.isEmpty():
             break
@@ -570,7 +604,7 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         fitted = None
         if s.status == "ok":
             v = sums.sort_values("slot")["value"].to_numpy() if len(sums) else None
-            fitted = Fitted(family, classes, s.theta, np.linalg.inv(s.info), v, None, s.loglik)
+            fitted = Fitted(family, classes, s.theta, scaled_inverse(s.info), v, None, s.loglik)
         return result_frame([dict(zip(by, key)) | r for r in model.rows(s, fitted, int(row["n"]))], [*by, *FIT_NAMES])
 
     return extra.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(finish, f"{key_schema}, {FIT_FIELDS}")

@@ -16,7 +16,7 @@ def with_inference(
     fits: DataFrame,
     keys: list[str],
     reference: str = "normal",
-    level: float = 0.95,
+    level: float | None = None,
     multiplier: float | None = None,
     exponentiate: bool = False,
     extra: tuple[str, ...] = (),
@@ -24,9 +24,14 @@ def with_inference(
     """Add statistic, p-value and interval.
 
     `reference` is "normal" or "t" (then `df` must be present). `multiplier` fixes the interval's half-width in
-    standard errors. Interval bounds that the fit already carries (profile likelihood) are kept. `exponentiate`
+    standard errors. Interval bounds that the fit already carries (profile likelihood) are kept, and the others are
+    made at their level; asking for another level is an error. Without either, the level is 0.95. `exponentiate`
     transforms estimate and bounds and leaves standard error, statistic and p-value on the fitted scale.
     """
+    carried = next((f.metadata.get("level") for f in fits.schema.fields if f.name == "conf_low"), None)
+    if carried is not None and level not in (None, carried):
+        raise ValueError(f"the fit carries bounds at level {carried}, not {level}")
+    level = carried or level or 0.95
     if reference not in ("normal", "t"):
         raise ValueError(f"unknown reference distribution {reference!r}")
     out = fits.withColumn("statistic", F.try_divide("estimate", "std_error"))

@@ -71,3 +71,8 @@ def order_by_mean(df: DataFrame, key: str, value: Column, name: str = "position"
     means = df.groupBy(key).agg(F.avg(value).alias("_mean"))
     ranked = means.withColumn(name, F.row_number().over(Window.orderBy("_mean", key))).drop("_mean")
     return df.join(ranked, key)
+
+
+def position(value: Column, *ties: str) -> Column:
+    """Window column: display position by ascending `value`, ties by the named columns. For finished tables of a few rows per question."""
+    return F.row_number().over(Window.orderBy(value, *ties))

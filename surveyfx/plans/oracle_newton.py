@@ -52,6 +52,11 @@ def _newton(p: int, sums: str, group: str, steps: int) -> str:
 
 def logit(design: list[str], y: str, where: str, weight: str = "1.0", group: str = "question") -> str:
     """CTEs `dat`, `size`, ..., `est` of a binary logit on the design expressions."""
+    head, step = _logit_parts(design, y, where, weight, group)
+    return head + ",\n" + _newton(len(design), step, group, LOGIT_STEPS)
+
+
+def _logit_parts(design: list[str], y: str, where: str, weight: str, group: str) -> tuple[str, str]:
     p = len(design)
     xs = ", ".join(f"x{i}" for i in range(1, p + 1))
     eta = " + ".join(f"b{i} * x{i}" for i in range(1, p + 1))
@@ -70,7 +75,7 @@ dat AS MATERIALIZED (SELECT {group}, {xs}, sum(ww) AS w, sum(ww * yy) AS wy, cou
 size AS (SELECT {group}, sum(n) AS n FROM dat GROUP BY {group}),
 b_0 AS (SELECT DISTINCT {group}, {start} FROM dat)"""
     step = f"SELECT {{keep}}, {sums} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS mu FROM dat JOIN {{b}} USING ({group})) GROUP BY {{keep}}"
-    return head + ",\n" + _newton(p, step, group, LOGIT_STEPS)
+    return head, step
 
 
 def ordinal(design: list[str], rank: str, classes: int, source: str = "partisan", group: str = "question") -> str:
@@ -113,14 +118,12 @@ b_0 AS (SELECT {group}, {start} FROM dat GROUP BY {group})"""
     return head, step
 
 
-def last_parameter_bounds(design: list[str], rank: str, classes: int, steps: int = 6) -> list[str]:
+def last_parameter_bounds(p: int, step: str, steps: int = 6) -> list[str]:
     """CTEs `low` and `high`: profile-likelihood bounds of the last parameter.
 
     Newton's method on the system "log-likelihood equals its target, all other scores are zero" (Venzon and Moolgavkar
     1988), started at the Wald bound.
     """
-    p = classes - 1 + len(design)
-    _, step = _ordinal_parts(design, rank, classes, "partisan", "question")
     keep = "question, " + ", ".join(f"b{i}" for i in range(1, p + 1))
     system = ", ".join(
         [f"h{min(i, j)}_{max(i, j)} AS a{i}_{j}" for i in range(1, p) for j in range(1, p + 1)]
@@ -331,7 +334,7 @@ SQL["ordinal_party_profile"] = survey(
     + ")",
     ordinal(["treat", "rep", "treat * rep"], AGREE_RANK, 3),
     coefficients({5: "treat:rep"}),
-    *last_parameter_bounds(["treat", "rep", "treat * rep"], AGREE_RANK, 3),
+    *last_parameter_bounds(5, _ordinal_parts(["treat", "rep", "treat * rep"], AGREE_RANK, 3, "partisan", "question")[1]),
     "bounds AS (SELECT fit.*, l.b5 AS low, h.b5 AS high FROM fit JOIN low l USING (question) JOIN high h USING (question))",
 )
 SQL["ordinal_table"] = survey(
@@ -413,3 +416,52 @@ _PARTS = {
 SQL["shared_cells_effects"] = "\nUNION ALL BY NAME\n".join(
     f"SELECT '{name}' AS analysis, * FROM ({sql})" for name, sql in _PARTS.items()
 )
+
+
+# ---- profile bounds of controlled and weighted logits -------------------------------------------------------------
+
+def _with_bounds(table: str, transform: str = "") -> str:
+    return f"SELECT * EXCLUDE (low, high) REPLACE (coalesce(round({transform}(low), 6) + 0.0, conf_low) AS conf_low, coalesce(round({transform}(high), 6) + 0.0, conf_high) AS conf_high) FROM ({table})"
+
+
+for name, weight in (("direction_or_ctrl_profile", "1.0"), ("direction_or_w_profile", "weight")):
+    _design = ["1", "sawf", "treat"]
+    SQL[name] = survey(
+        _with_bounds(result(typed("bounds"), extra=("question_type", "low", "high"), exponentiate=True), "exp"),
+        logit(_design, "agree_opinion", "true", weight),
+        coefficients({3: "treat"}),
+        *last_parameter_bounds(3, _logit_parts(_design, "agree_opinion", "true", weight, "question")[1]),
+        "bounds AS (SELECT fit.*, l.b3 AS low, h.b3 AS high FROM fit JOIN low l USING (question) JOIN high h USING (question))",
+    )
+
+_design = ["1", "treat", "sawf", SCORE]
+SQL["party_ame_profile"] = (
+    "WITH wald AS (" + SQL["party_ame"] + "), profile AS (" + survey(
+        "SELECT question, 'pid' AS term, l.b4 AS low, h.b4 AS high FROM low l JOIN high h USING (question)",
+        logit(_design, "agree_all", "pid7_baseline <> 8", "weight"),
+        *last_parameter_bounds(4, _logit_parts(_design, "agree_all", "pid7_baseline <> 8", "weight", "question")[1]),
+    ) + ") " + _with_bounds("SELECT wald.*, low, high FROM wald LEFT JOIN profile USING (question, term)")
+)
+
+# ---- continuous outcome, lists, order, snapshot -------------------------------------------------------------------
+
+# centred before any product is taken
+_y = "(caseid * 37 % 1009) / 100.0 + treat * response / 10.0"
+_z = "((caseid * 7919) % 1000003) / 1e6"
+_used = "response IS NOT NULL AND party IS NOT NULL"
+_around = "PARTITION BY question"
+SQL["linear_continuous"] = f"SELECT * FROM ({least_squares(['1', 'treat', "(party = 'Rep')::INT", "treat * (party = 'Rep')::INT", f'{_z} - avg({_z}) OVER ({_around})'], ['(Intercept)', 'treat', 'party[Rep]', 'treat:party[Rep]', 'seconds'], f'({_y})', _used, 'weight')}) WHERE term <> '(Intercept)'"
+SQL["linear_undeclared_code"] = least_squares(["1", "treat", "pid3_baseline"], ["(Intercept)", "treat", "pid3_baseline"], "not_sure", "pid3_baseline IS NOT NULL", "1.0")
+SQL["logit_undeclared_code"] = survey(
+    "SELECT question, count(*) AS n, false AS converged, 'values outside the list of pid3_baseline' AS error FROM obs WHERE agree_opinion IS NOT NULL AND pid3_baseline IS NOT NULL GROUP BY question"
+)
+SQL["certainty_ols_ordered"] = f"SELECT *, CAST(row_number() OVER (ORDER BY estimate, question, term) AS INTEGER) AS position FROM ({SQL['certainty_ols']})"
+SQL["direction_or_ordered"] = f"SELECT *, CAST(row_number() OVER (ORDER BY -estimate, question, term) AS INTEGER) AS position FROM ({SQL['direction_or']})"
+SQL["nested_logit_ordered"] = (
+    "SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN dichotomy = 'certainty' THEN estimate ELSE 0 END, question, dichotomy, term) AS INTEGER) AS position "
+    f"FROM ({SQL['nested_logit']})"
+)
+SQL["certainty_wls_ctrl_means"] = f"SELECT e.*, m.control_mean, m.treatment_mean FROM ({SQL['certainty_wls_ctrl']}) e JOIN ({SQL['weighted_means']}) m USING (question)"
+SQL["snapshot_question"] = survey(
+    "SELECT question, treat, response, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 6) + 0.0 AS weight FROM long WHERE question = 'q3' GROUP BY ALL"
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +12,14 @@ from surveyfx.functions.recode import (
     cases, collapse, flag, flag_in, indicator, known_level, level_rank, recode, relabel, strip_suffix, swap_codes,
 )
 from surveyfx.operators import cells, descriptive, reshape, saturated, ttest
-from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_many
+from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_many, shared_folder
 from surveyfx.operators.linear import fit_linear
 from surveyfx.operators.inference import RESULT_COLUMNS, flip_sign, with_inference
 from surveyfx.operators.report import effect_table
 from surveyfx.operators.spec import ModelSpec, crossed
 from surveyfx.plans.survey_view import CODEBOOK, PARTY, PARTY3, YES_NO, survey_long, survey_wide
 from surveyfx.sources.codebook import codebook_from_metadata, decode_labelled, join_value_labels
+from surveyfx.sources.longform import read_long, write_long
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -190,8 +192,8 @@ def question_order(spark, sf_dir):
     """Question order three ways: reversed codebook order, mean uncertainty, and its negative."""
     rows = survey_long(spark, sf_dir).select("question", not_sure().alias("not_sure"))
     means = rows.groupBy("question").agg(F.avg("not_sure").alias("mean_not_sure"), F.count("not_sure").alias("n"))
-    up = reshape.order_by_mean(means, "question", F.col("mean_not_sure"), "position_up")
-    both = reshape.order_by_mean(up, "question", -F.col("mean_not_sure"), "position_down")
+    mean = F.col("mean_not_sure")
+    both = means.withColumns({"position_up": reshape.position(mean, "question"), "position_down": reshape.position(-mean, "question")})
     return rounded(both.select(
         "question", "mean_not_sure", "n", "position_up", "position_down",
         CODEBOOK.rank("question").alias("rank"), CODEBOOK.rank("question", descending=True).alias("rank_reversed"),
@@ -402,6 +404,76 @@ def certainty_coefficients(spark, sf_dir):
     return result(with_inference(fit_linear(rows, spec, [Coefficients()]), ["question", "subgroup", "term"], "t"))
 
 
+@query
+def linear_continuous(spark, sf_dir):
+    """A continuous outcome far from zero, on treat × party and a control in seconds since an epoch; slopes only."""
+    case = F.col("caseid")
+    rows = survey_long(spark, sf_dir).where(F.col("response").isNotNull()).select(
+        "question", "treat", "weight", party().alias("party"),
+        (F.lit(1e8) + (case * 37 % 1009) / 100 + F.col("treat") * F.col("response") / 10).alias("y"),
+        (F.lit(1.7e9) + case * 7919 % 1000003).alias("seconds"),
+    )
+    spec = ModelSpec("y", (*crossed("treat", "party"), ("seconds",)), levels={"party": PARTIES}, weight="weight")
+    fits = with_inference(fit_linear(rows, spec, [Coefficients(only=("treat", "party[Rep]", "treat:party[Rep]", "seconds"))]), ["question", "subgroup", "term"], "t")
+    return result(fits.withColumns({c: F.col(c) * F.when(F.col("term") == "seconds", 1e6).otherwise(1.0) for c in ("estimate", "std_error", "conf_low", "conf_high")}))
+
+
+@query
+def linear_undeclared_code(spark, sf_dir):
+    """A numeric control with a value that its list leaves out: least squares keep every row."""
+    rows = survey_long(spark, sf_dir).select("question", "treat", "pid3_baseline", not_sure().alias("not_sure"))
+    spec = ModelSpec("not_sure", (("treat",), ("pid3_baseline",)), codes={"treat": (0, 1), "pid3_baseline": (1, 2, 3)})
+    return result(with_inference(fit_linear(rows, spec, [Coefficients()]), ["question", "subgroup", "term"], "t"))
+
+
+@query
+def logit_undeclared_code(spark, sf_dir):
+    """The same control in a logit: questions that hold the value say so instead of losing rows."""
+    rows = survey_long(spark, sf_dir).select("question", "treat", "pid3_baseline", agree_opinion().alias("agree"))
+    spec = ModelSpec("agree", (("treat",), ("pid3_baseline",)), codes={"treat": (0, 1), "pid3_baseline": (1, 2, 3)})
+    return fit(rows, Model(spec, "logit", (Coefficients(),))).select("question", "n", "converged", "error")
+
+
+def _positioned(df: DataFrame, value: Column) -> DataFrame:
+    return df.withColumn("position", reshape.position(value, "question", "term"))
+
+
+@query
+def certainty_ols_ordered(spark, sf_dir):
+    """The effect table in the order of its own estimates."""
+    return _positioned(certainty_ols(spark, sf_dir), F.col("estimate"))
+
+
+@query
+def direction_or_ordered(spark, sf_dir):
+    """Odds ratios, the largest first."""
+    return _positioned(direction_or(spark, sf_dir), -F.col("estimate"))
+
+
+@query
+def nested_logit_ordered(spark, sf_dir):
+    """Both dichotomies in the order of the certainty estimates; the others rank as zero."""
+    table = nested_logit(spark, sf_dir)
+    value = F.col("estimate") * F.when(F.col("dichotomy") == "certainty", 1).otherwise(0)
+    return table.withColumn("position", reshape.position(value, "question", "dichotomy", "term"))
+
+
+@query
+def certainty_wls_ctrl_means(spark, sf_dir):
+    """Weighted, controlled effects beside the weighted means of both arms; both tables have one row per question."""
+    means = weighted_means(spark, sf_dir)
+    return certainty_wls_ctrl(spark, sf_dir).join(means, "question")
+
+
+@query
+def snapshot_question(spark, sf_dir):
+    """Write the long table as a snapshot partitioned by question, read one question back and count its cells."""
+    folder = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    write_long(survey_long(spark, sf_dir), folder)
+    kept = read_long(spark, folder, ["q3"])
+    return kept.groupBy("question", "treat", "response").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("double").alias("weight")).transform(rounded)
+
+
 # ---- logit with closed forms --------------------------------------------------------------------------------------
 
 @query
@@ -520,6 +592,17 @@ def direction_or_w(spark, sf_dir):
     return _odds_ratio(spark, sf_dir, "weight")
 
 
+@query
+def direction_or_ctrl_profile(spark, sf_dir):
+    """With profile-likelihood bounds."""
+    return _odds_ratio(spark, sf_dir, None, profile=True)
+
+
+@query
+def direction_or_w_profile(spark, sf_dir):
+    return _odds_ratio(spark, sf_dir, "weight", profile=True)
+
+
 def _direction_contrast(spark, sf_dir, spec: ModelSpec, by: str) -> DataFrame:
     fits = fit(_direction(spark, sf_dir), Model(spec, "logit", (Contrast("treat", by),)))
     return result(with_inference(fits, ["question", "subgroup", "term"], exponentiate=True))
@@ -566,9 +649,7 @@ def direction_by_party_w(spark, sf_dir):
     return _direction_contrast(spark, sf_dir, _party_direction_spec("weight"), "party")
 
 
-@query
-def party_ame(spark, sf_dir):
-    """Party score as a number: its log-odds coefficient and its average effect on the probability, from one fit."""
+def _party_score(spark, sf_dir, profile: bool) -> DataFrame:
     rows = survey_long(spark, sf_dir).where(F.col("pid7_baseline") != 8).select(
         "question", "treat", "weight", agree_all().alias("agree"), saw_flag().alias("saw"),
         recode("pid7_baseline", {1: (1, 2, 3), 4: (4,), 3: (5, 6, 7)}).alias("pid"),
@@ -576,11 +657,23 @@ def party_ame(spark, sf_dir):
     spec = ModelSpec(
         "agree", (("pid",), ("treat",), ("saw",)), codes={"pid": (1, 3, 4), "treat": BINARY, "saw": BINARY}, weight="weight"
     )
-    fits = fit(rows, Model(spec, "logit", (Coefficients(only=("pid",)), AverageSlope("pid"))))
+    fits = fit(rows, Model(spec, "logit", (Coefficients(only=("pid",), profile=profile), AverageSlope("pid"))))
     out = with_inference(fits, ["question", "subgroup", "term"])
     return result(out.withColumn("question_type", question_type()), "question_type")
 
 
+@query
+def party_ame(spark, sf_dir):
+    """Party score as a number: its log-odds coefficient and its average effect on the probability, from one fit."""
+    return _party_score(spark, sf_dir, False)
+
+
+@query
+def party_ame_profile(spark, sf_dir):
+    """The same with profile-likelihood bounds of the coefficient; the average effect keeps its Wald bounds."""
+    return _party_score(spark, sf_dir, True)
+
+
 # ---- ordinal logit ------------------------------------------------------------------------------------------------
 
 CODE_ORDER = {1: "Yes", 2: "No", 3: "Not sure"}

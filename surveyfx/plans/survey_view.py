@@ -15,7 +15,6 @@ from surveyfx.sources.codebook import Codebook, Question
 from surveyfx.sources.longform import read_wide, to_long, treatment_from_zero
 
 YES_NO = {1: "Yes", 2: "No", 3: "Not sure"}
-LINES = 7
 
 CODEBOOK = Codebook(
     (
@@ -30,6 +29,9 @@ CODEBOOK = Codebook(
     )
 )
 
+#: Every question but the five-point one, which comes from the order itself, is asked on a line of its own.
+LINES = len(CODEBOOK.names) - 1
+
 PARTY = {"Dem": (1, 2, 3), "Rep": (5, 6, 7)}
 PARTY3 = {"Dem": (1, 2, 3), "Ind": (4,), "Rep": (5, 6, 7)}
 

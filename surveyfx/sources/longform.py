@@ -35,10 +35,10 @@ def to_long(wide: DataFrame, questions: Sequence[str], question: str = "question
 def write_long(long: DataFrame, path: str, question: str = "question") -> None:
     """Store the long table partitioned by question, so that a filter on it prunes directories.
 
-    No repartition by question first: one question holds a large share of all rows and must not meet in one task.
-    Every task writes one file per question instead, so files stay as large as a scan task's share of a question.
+    The rows are rebalanced by question: small questions meet in one file, and one that holds a large share of all
+    rows is split over as many tasks as its size asks for. So the number of files follows the data, not the tasks.
     """
-    long.write.mode("overwrite").partitionBy(question).parquet(path)
+    long.hint("rebalance", question).write.mode("overwrite").partitionBy(question).parquet(path)
 
 
 def read_long(spark: SparkSession, path: str, questions: Sequence[str] | None = None, question: str = "question") -> DataFrame:

@@ -314,7 +314,7 @@ def test_compressed_null_and_zero_weights(spark):
 )
 def test_distributed_fit_equals_cell_fit(rows, model):
     a = table(fit(rows, model), "question", "subgroup", "term")
-    b = table(fit(rows, model, max_cells=0), "question", "subgroup", "term")
+    b = table(fit(rows, model, by_rows=True), "question", "subgroup", "term")
     assert set(a) == set(b) and a
     for k in a:
         assert a[k].estimate == pytest.approx(b[k].estimate, abs=1e-8)
@@ -326,7 +326,7 @@ def test_distributed_fit_accepts_compressed_rows(rows):
     packed = compress(rows, ["question", "treat", "party", "rep", "saw", "response", "agree"], "weight")
     model = Model(LOGIT, "logit", (Contrast("treat", "party"),))
     a = table(fit(rows, model), "question", "subgroup")
-    b = table(fit(packed, model, max_cells=0), "question", "subgroup")
+    b = table(fit(packed, model, by_rows=True), "question", "subgroup")
     assert set(a) == set(b) and a
     for k in a:
         assert a[k].estimate == pytest.approx(b[k].estimate, abs=1e-8) and a[k].n == b[k].n
@@ -361,8 +361,8 @@ def test_known_odds_ratio(spark):
 
 def test_separation_is_reported(spark):
     df = small(spark, [("sep", 1, 1.0, 1.0, 9), ("sep", 0, 0.0, 1.0, 9), ("ok", 1, 1.0, 1.0, 3), ("ok", 1, 0.0, 1.0, 2), ("ok", 0, 1.0, 1.0, 4), ("ok", 0, 0.0, 1.0, 5)])
-    for cap in (100_000, 0):
-        got = fit(df, Model(SMALL, "logit", (Coefficients(only=("treat",)),)), max_cells=cap).collect()
+    for by_rows in (False, True):
+        got = fit(df, Model(SMALL, "logit", (Coefficients(only=("treat",)),)), by_rows=by_rows).collect()
         state = {r.question: (r.converged, r.estimate is None, r.error is None) for r in got}
         assert state == {"sep": (False, True, False), "ok": (True, False, True)}
     closed = {r.question: (r.converged, r.estimate) for r in saturated.saturated_logit(df, "y", "treat").where("term = 'treat'").collect()}
