@@ -30,7 +30,7 @@ from surveyfx.operators.spec import ModelSpec
 
 MAX_STEPS = 50
 #: A fit has settled when a step would raise the log-likelihood by less than this share of its size.
-TOLERANCE = 1e-16
+TOLERANCE = 1e-20
 
 FIT_FIELDS = (
     "subgroup string, term string, estimate double, std_error double, conf_low double, conf_high double, "

@@ -298,7 +298,8 @@ def test_compressed_null_and_zero_weights(spark):
     packed = compress(df, ["question", "treat", "y"], "weight")
     for weight in (None, "weight"):
         a, b = (saturated.linear_effects(d, "y", weight=weight).first() for d in (df, packed))
-        assert a == b
+        # centred moments of rows and of cells merge in another order: equal but for the last bits
+        assert all(x == y or x == pytest.approx(y, rel=1e-13) for x, y in zip(a, b, strict=True))
 
 
 # ---- the row-distributed shape gives the same answers ------------------------------------------------------------
@@ -429,7 +430,7 @@ def test_user_function_errors_are_captured(spark):
     def fn(frame):
         return [{"term": "inverse", "estimate": 1 // int(frame["v"].iloc[0]), "converged": True}]
 
-    got = {r.question: (r.converged, r.error) for r in fit_by(cells, ["question"], fn).collect()}
+    got = {r.question: (r.converged, r.error) for r in fit_by(cells, ["question"], fn, bounded=True).collect()}
     assert got["a"] == (True, None) and got["b"][0] is False and "ZeroDivisionError" in got["b"][1]
 
 
