@@ -5,8 +5,9 @@ same code serves two execution shapes:
 
 * closed covariate lists: rows are reduced to cell totals in one distributed aggregation, and every group's cells (a
   number bounded by the specification, whatever the data size) are fitted in one `applyInPandas` call;
-* open covariates: the rows stay where they are; each step is a `mapInPandas` pass that emits partial sums per
-  partition and group, a shuffle of those sums, and a small update. Only sums and coefficients move.
+* open covariates: the rows stay where they are; each step is one partially aggregated pass over them (built-in sums
+  for the logit, `mapInPandas` for the ordinal model, whose number of thresholds differs by group) and a small update.
+  Only sums and coefficients move.
 """
 
 from __future__ import annotations
@@ -520,6 +521,27 @@ def _partial_sums(
     return joined.mapInPandas(run, schema).groupBy(*by, "slot").agg(F.sum("value").alias("value"))
 
 
+def _logit_sums(data: DataFrame, state: DataFrame, by: list[str], spec: ModelSpec) -> DataFrame:
+    """The sums of a Newton step of a binary logit, (by, slot, value), as built-in aggregates.
+
+    Rows never leave the JVM, partial aggregation leaves one row of sums per task and group, and the parameters come
+    from a table of one row per group, which Spark broadcasts when it is small.
+    """
+    p = len(spec.names())
+    design = [c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns())]
+    eta = F.expr(" + ".join(f"candidate[{i}] * _x{i}" for i in range(p)))
+    mu = 1 / (1 + F.exp(-F.greatest(F.least(F.col("eta"), F.lit(700.0)), F.lit(-700.0))))
+    joined = data.join(state.select(*by, "candidate"), by).select(*by, "_w", "_y", "candidate", *design)
+    rows = joined.withColumn("eta", eta).withColumn("mu", mu).withColumns({"off": F.expr("_w * (_y - mu)"), "curve": F.expr("_w * mu * (1 - mu)")})
+    pairs = [(min(i, j), max(i, j)) for i in range(p) for j in range(p)]
+    sums = [
+        "sum(_w * (_y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta)))))",
+        *(f"sum(off * _x{i})" for i in range(p)),
+        *(f"sum(curve * _x{i} * _x{j})" for i, j in pairs),
+    ]
+    return rows.groupBy(*by).agg(F.expr(f"array({', '.join(sums)})").alias("v")).select(*by, F.posexplode("v").alias("slot", "value"))
+
+
 def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame:
     spec = model.spec
     if any(isinstance(r, Coefficients) and r.profile for r in model.reports):
@@ -587,7 +609,7 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
         running = state.where("status = 'run'")
         if running.isEmpty():
             break
-        sums = _partial_sums(data, running, by, newton_sums)
+        sums = _logit_sums(data, running, by, spec) if model.family == "logit" else _partial_sums(data, running, by, newton_sums)
         updated = sums.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(update, state_schema)
         state = _stored(updated, f"{folder}/step-{step}")
 

@@ -465,3 +465,6 @@ SQL["certainty_wls_ctrl_means"] = f"SELECT e.*, m.control_mean, m.treatment_mean
 SQL["snapshot_question"] = survey(
     "SELECT question, treat, response, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 6) + 0.0 AS weight FROM long WHERE question = 'q3' GROUP BY ALL"
 )
+SQL["direction_open_covariate"] = survey(
+    result("fit"), logit(["1", "treat", "((caseid * 7919) % 1000003) / 1e6"], "agree_opinion", "true"), coefficients({1: "(Intercept)", 2: "treat", 3: "open"})
+)

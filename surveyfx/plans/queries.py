@@ -662,6 +662,14 @@ def _party_score(spark, sf_dir, profile: bool) -> DataFrame:
     return result(out.withColumn("question_type", question_type()), "question_type")
 
 
+@query
+def direction_open_covariate(spark, sf_dir):
+    """A logit with a covariate of any value, fitted by passes over the rows."""
+    rows = survey_long(spark, sf_dir).select("question", "treat", agree_opinion().alias("agree"), (F.col("caseid") * 7919 % 1000003 / 1e6).alias("open"))
+    spec = ModelSpec("agree", (("treat",), ("open",)), codes={"treat": BINARY})
+    return result(with_inference(fit(rows, Model(spec, "logit", (Coefficients(),))), ["question", "subgroup", "term"]))
+
+
 @query
 def party_ame(spark, sf_dir):
     """Party score as a number: its log-odds coefficient and its average effect on the probability, from one fit."""

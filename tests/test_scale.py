@@ -33,7 +33,7 @@ def test_no_pairwise_plans_and_no_collected_groups(spark, sf_dir, key):
 
 
 #: A query that writes and rereads, and one that sets two analyses side by side.
-OTHER_SCANS = {"snapshot_question", "certainty_wls_ctrl_means"}
+OTHER_SCANS = {"snapshot_question", "certainty_wls_ctrl_means", "direction_open_covariate"}
 
 
 @pytest.mark.parametrize("key", sorted(set(REGISTRY) - OTHER_SCANS))
@@ -105,3 +105,12 @@ def test_no_local_checkpoints():
 
     root = Path(entry.__file__).parent / "surveyfx"
     assert all("localCheckpoint" not in p.read_text() for p in root.rglob("*.py"))
+
+
+def test_open_logit_step_has_no_python_below_its_sums(spark):
+    from surveyfx.operators.fit import _logit_sums
+
+    data = spark.createDataFrame([("q", 1.0, 0.3, 1.0, 1.0)], "question string, treat double, open double, _y double, _w double")
+    state = spark.createDataFrame([("q", [0.0, 0.0, 0.0])], "question string, candidate array<double>")
+    text = plan(_logit_sums(data, state, ["question"], ModelSpec("y", (("treat",), ("open",)))))
+    assert "partial_sum" in text and "Python" not in text and "Pandas" not in text
