@@ -30,6 +30,8 @@ from surveyfx.operators.cells import cell_totals, count_columns, is_compressed,
 from surveyfx.operators.spec import ModelSpec
 
 MAX_STEPS = 50
+#: Groups whose sums a task holds before it passes them on.
+GROUPS_HELD = 1000
 #: A fit has settled when a step would raise the log-likelihood by less than this share of its size.
 TOLERANCE = 1e-20
 
@@ -507,6 +509,9 @@ def _partial_sums(
     types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in by), "slot int, value double"])
 
+    def flushed(totals: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({**dict(zip(by, key)), "slot": np.arange(len(v), dtype=np.int32), "value": v}) for key, v in totals.items()])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
@@ -514,8 +519,11 @@ def _partial_sums(
                 key = key if isinstance(key, tuple) else (key,)
                 v = width_of(frame, np.asarray(frame["candidate"].iloc[0], float), [int(c) for c in frame["classes"].iloc[0]])
                 totals[key] = totals[key] + v if key in totals else v
-        for key, v in totals.items():
-            yield pd.DataFrame({**dict(zip(by, key)), "slot": np.arange(len(v), dtype=np.int32), "value": v})
+            if len(totals) > GROUPS_HELD:
+                yield flushed(totals)
+                totals = {}
+        if totals:
+            yield flushed(totals)
 
     joined = data.join(state.select(*by, "candidate", "classes"), by)
     return joined.mapInPandas(run, schema).groupBy(*by, "slot").agg(F.sum("value").alias("value"))
@@ -603,22 +611,24 @@ def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame
     def report_sums(frame: pd.DataFrame, theta: np.ndarray, classes: list[int]) -> np.ndarray:
         return model.report_sums(frame, frame["_rows"].to_numpy(), theta)
 
-    counts = data.groupBy(*by, "_y").agg(F.sum("_rows").cast("bigint").alias("n"), F.sum("_w").alias("w"), outside.alias("outside"))
-    state = _stored(counts.groupBy(*by).applyInPandas(begin, state_schema), f"{folder}/step-0")
-    for step in range(1, model.max_steps + 2):
-        running = state.where("status = 'run'")
-        if running.isEmpty():
-            break
-        sums = _logit_sums(data, running, by, spec) if model.family == "logit" else _partial_sums(data, running, by, newton_sums)
-        updated = sums.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(update, state_schema)
-        state = _stored(updated, f"{folder}/step-{step}")
-
-    if all(isinstance(r, Coefficients) for r in model.reports):
-        extra = spark.createDataFrame([], f"{key_schema}, slot int, value double")
-    else:
-        final = state.where("status = 'ok'").withColumn("candidate", F.col("theta"))
-        extra = _stored(_partial_sums(data, final, by, report_sums), f"{folder}/report")
-    data.unpersist()
+    try:
+        counts = data.groupBy(*by, "_y").agg(F.sum("_rows").cast("bigint").alias("n"), F.sum("_w").alias("w"), outside.alias("outside"))
+        state = _stored(counts.groupBy(*by).applyInPandas(begin, state_schema), f"{folder}/step-0")
+        for step in range(1, model.max_steps + 2):
+            running = state.where("status = 'run'")
+            if running.isEmpty():
+                break
+            sums = _logit_sums(data, running, by, spec) if model.family == "logit" else _partial_sums(data, running, by, newton_sums)
+            updated = sums.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(update, state_schema)
+            state = _stored(updated, f"{folder}/step-{step}")
+
+        if all(isinstance(r, Coefficients) for r in model.reports):
+            extra = spark.createDataFrame([], f"{key_schema}, slot int, value double")
+        else:
+            final = state.where("status = 'ok'").withColumn("candidate", F.col("theta"))
+            extra = _stored(_partial_sums(data, final, by, report_sums), f"{folder}/report")
+    finally:
+        data.unpersist()
 
     def finish(key: tuple, sums: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         row = old.iloc[0]
