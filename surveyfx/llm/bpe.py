@@ -31,9 +31,9 @@ LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN_PATTERN = re.compile(rf" ?[{LATIN}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 OTHER = re.compile(r"[^\x00-\x1b\x20-\x7f\u00c0-\u024f]")
 #: Distinct pieces whose ids a worker remembers; beyond, it starts anew. Longer pieces are not remembered.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 48
+CACHE_PIECES, CACHE_LENGTH = 150_000, 48
 #: Token pairs whose compatibility a worker remembers.
-FITS = 400_000
+FITS = 150_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -77,7 +77,7 @@ def counted(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                         h = h[only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h] if len(only) else h[:0]
                     held.append(h)
                     size += len(h)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield out()
                     held, size = [], 0
         yield out()
