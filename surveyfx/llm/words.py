@@ -17,14 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.llm.bpe import CACHE_PIECES, LATIN, OTHER
+from surveyfx.llm.bpe import LATIN, OTHER
 from surveyfx.llm.common import without
 
 #: The word pattern of the tokenizer, and the same for ASCII and Latin letters only.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN_PATTERN = re.compile(rf"[{LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{LATIN}0-9]+")
-#: Texts whose words are looked up together.
-GROUP = 64
+#: Texts whose words are looked up together, and distinct words whose ids a worker remembers; beyond, it starts anew.
+GROUP, CACHE_WORDS = 64, 400_000
 
 
 class WordEncoder:
@@ -55,7 +55,7 @@ class WordEncoder:
         """The ids of each text as little-endian 32-bit integers."""
         split, cache = [self.pieces(t) for t in texts], self.cache
         new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_PIECES:
+        if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = list({w for words in split for w in words})
         for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
