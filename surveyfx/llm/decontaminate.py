@@ -7,13 +7,12 @@ item, if shorter) agrees in at least `AGREE` of its places: substitutions are al
 
 A document's share of the work is its own tokens. Benchmark hashes go to every task if they are few (counted first) and are joined by shuffle if
 not; the same holds for hits. Tokens are runs of letters and digits in lower case. Items of fewer tokens than a window find nothing, as do null
-and empty texts; repeated rows are found alike. Items are told apart by id: of rows that repeat an item id each is compared.
+and empty texts; repeated rows are found alike. Items are told apart by id: of rows that repeat an item id each is compared, and
+items without an id find nothing.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
