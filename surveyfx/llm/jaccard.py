@@ -34,7 +34,7 @@ N, PERCENT = 5, 75
 #: Share of a task's sets from which a shingle counts as common there, and of all sets from which it is treated as common; most shingles so treated.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 0.005, 64, 200_000
 #: Shingles that a token bucket may hold, and shingles that a task packs at a time.
-BUCKET_TOKENS, PACK_TOKENS = 4_000_000, 2_000_000
+BUCKET_TOKENS, PACK_TOKENS = 4_000_000, 600_000
 STAR_ROUNDS = 3
 BROADCAST_ROWS = 500_000
 LOW = np.uint64((1 << 40) - 1)
