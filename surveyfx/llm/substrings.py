@@ -1,8 +1,9 @@
 """Passages that repeat across documents, found as runs of sentences.
 
-At every sentence of every document a run begins: the sentences from there on until they are at least two and hold `MIN_WORDS` words, or a single
-sentence of `LONE_WORDS`. Runs are hashed and joined over all documents; the first place of a run, by document id and position, is kept, and the
-sentences that any other place of it covers are removed. Longer passages are covered by the runs that slide over them.
+A run is complete when it is at least two sentences of `MIN_WORDS` words together, or holds `LONE_WORDS` words. At every sentence of every document the
+shortest complete run that begins there and the shortest that ends there are hashed and joined over all documents; the first place of a run, by
+document id and position, is kept, and the sentences that any other place of it covers are removed. Every sentence of a longer repeated run lies in
+one of these within it: the run forth from its first sentence, the run back from its last, or the run forth from the sentence itself.
 
 Only hashes and places are shuffled. First places are found by partial aggregation, and a run that very many documents share is an ordinary skewed
 join key, whose large side Spark splits; one document's runs are what is ever gathered. Sentences end at `.`, `!`, `?` or a line break; white space
@@ -12,79 +13,113 @@ Rows that repeat both id and text count as one document; with one id and differe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyfx.llm.common import row_key, written
+from surveyfx.llm.wordhash import BASE, INVERSE, mixed, powers
 
 MIN_WORDS, LONE_WORDS = 20, 25
-SENTENCE = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
-RUN = "doc_id long, key long, place int, n int, start int, end int, run long"
-#: Multiplier of the polynomial that joins the hashes of a run's sentences.
-STEP = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
-
-
-def sentences(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each sentence."""
-    for m in SENTENCE.finditer(text):
-        words = m[0].split()
-        yield m.start(), m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words))
-
-
-def runs(text: str, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(place, number of sentences, start, end, hash) of the run at each sentence where one is complete."""
-    parts, out = list(sentences(text)), []
-    for i, (start, end, words, mixed) in enumerate(parts):
-        j = i
-        while not (words >= min_words and j > i or words >= lone_words):
-            j += 1
-            if j == len(parts):
-                break
-            _, end, more, h = parts[j]
-            words += more
-            mixed = (mixed * STEP + h) & MASK
-        if j == len(parts):
-            break
-        out.append((i, j - i + 1, start, end, mixed - (1 << 63)))
-    return out
+#: Code points up to the last that is white space or ends a sentence.
+CODES = 0x10000
+SPACE = np.array([chr(c).isspace() for c in range(CODES)])
+MARK, BREAK = np.zeros(CODES, dtype=bool), np.zeros(CODES, dtype=bool)
+MARK[[ord(c) for c in ".!?"]] = True
+BREAK[ord("\n")] = True
+#: `place` and `upto` hold the number of a sentence in their upper half.
+HALF = (1 << 32) - 1
+RUN = "doc_id long, key long, place long, upto long, start int, end int, run long"
+
+
+def sums(values: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Running sums of a polynomial modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base, len(values))[: len(values)], dtype=np.uint64)])
+
+
+def between(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches from `start` to `end`, wherever they stand."""
+    with np.errstate(over="ignore"):
+        return mixed((total[end] - total[start]) * powers(INVERSE, len(total))[start] + (end - start).astype(np.uint64))
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and sentence of each word; start, end and first word (one more at the end) of each sentence."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    low = np.minimum(code, CODES - 1)
+    space, mark = SPACE[low], MARK[low]
+    body = ~mark & ~BREAK[low]
+    # stretches between marks and breaks; a sentence begins at the first letter of one and takes the marks behind it
+    edge = np.diff(np.concatenate([[0], body, [0]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    letters, other = np.flatnonzero(~space), np.append(np.flatnonzero(~mark), len(code))
+    begin = np.append(letters, len(code))[np.searchsorted(letters, begin)]
+    begin, end = begin[begin < end], end[begin < end]
+    end = other[np.searchsorted(other, end)]
+    held = np.zeros(len(code) + 1, dtype=np.int8)
+    np.add.at(held, begin, 1)
+    np.add.at(held, end, -1)
+    solid = np.concatenate([[False], (np.cumsum(held[:-1]) > 0) & ~space, [False]])
+    opens, closes = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
+    opens[begin] = True
+    closes[end - 1] |= solid[end]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    of = np.searchsorted(begin, first, side="right") - 1
+    hashes = between(sums(mixed(code.astype(np.uint64) + np.uint64(1))), first, last)
+    return hashes, of, begin, end, np.searchsorted(first, np.append(begin, len(code)))
+
+
+def runs(text: str, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> tuple[np.ndarray, ...]:
+    """place, upto, start, end, hash of the shortest runs that begin at each sentence and of those that end there."""
+    hashes, of, start, end, first = words(text)
+    n = len(start)
+    if not n:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    sentence, size = np.arange(n), first
+    i = j = np.arange(n)
+    after = np.append(np.searchsorted(sentence, sentence, side="right"), n)
+    # j: the first that completes the run from i on; the other way round, the last i from which a run up to j is complete
+    forth = np.minimum(np.searchsorted(size, size[i] + lone_words) - 1, np.maximum(np.searchsorted(size, size[i] + min_words) - 1, after[i]))
+    back = np.maximum(np.searchsorted(size, size[j + 1] - lone_words, side="right") - 1, np.minimum(np.searchsorted(size, size[j + 1] - min_words, side="right") - 1, np.searchsorted(sentence, sentence) - 1))
+    pairs = np.unique(np.concatenate([(i * n + forth)[forth < n], (back * n + j)[back >= 0]]))
+    i, j = pairs // n, pairs % n
+    run = between(sums(hashes), first[i], first[j + 1]).view(np.int64)
+    return (sentence[i] << 32) + i, (sentence[j] << 32) + j + 1, start[i], end[j], run
 
 
 def run_table(df: DataFrame, text: str = "text", doc: str = "doc_id", min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         names = [c.split()[0] for c in RUN.split(", ")]
         for batch in batches:
-            columns, held = [[] for _ in names], 0
-            for d, key, t in zip(*batch.columns):
-                d, key, found = d.as_py(), key.as_py(), runs(t.as_py() or "", min_words, lone_words)
-                if not found:
-                    continue
-                for column, values in zip(columns, ([d] * len(found), [key] * len(found), *zip(*found))):
-                    column.extend(values)
-                held += len(found)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-                    columns, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            rows, found, held = [], [], 0
+            for k, t in enumerate(batch.column(2)):
+                found.append(runs(t.as_py() or "", min_words, lone_words))
+                rows.append(np.full(len(found[-1][0]), k))
+                held += len(rows[-1])
+                if held > 200_000 or k == len(batch) - 1:
+                    at = pa.array(np.concatenate(rows))
+                    columns = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), types)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=names)
+                    rows, found, held = [], [], 0
 
     rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), row_key(doc, text)[0].alias("key"), F.col(f"`{text}`").alias("text"))
     return written(rows.mapInArrow(task, RUN), "sentence-runs")
 
 
 def repeated_runs(df: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
-    """The runs that stand elsewhere first: doc_id, key, place, n, start, end, first_doc_id."""
+    """The runs that stand elsewhere first: doc_id, key, place, upto, start, end, first_doc_id."""
     table = run_table(df, text, doc, **options)
     where = F.struct("doc_id", "key", "place")
-    firsts = table.groupBy("run").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    # places counted twice, of rows that repeat, go below
+    firsts = table.groupBy("run").agg(F.min(where).alias("first"), F.count("*").alias("times")).filter("times > 1")
     firsts = written(firsts.select("run", "first"), "first-runs")
     later = table.join(firsts, "run").filter(~where.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "key", "place", "n", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
+    return later.select("doc_id", "key", "place", "upto", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
 
 
 def stretches(df: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
@@ -95,22 +130,24 @@ def stretches(df: DataFrame, text: str = "text", doc: str = "doc_id", **options)
         out = []
         for spans in lists.to_pylist():
             joined: list[dict] = []
-            stop = -1
+            stop = above = -1
             for s in sorted(spans, key=lambda s: s["place"]):
-                upto = s["place"] + s["n"]
-                if s["place"] <= stop:
+                upto, sentence = s["upto"] & HALF, (s["upto"] >> 32) + 1
+                if s["place"] & HALF <= stop:
                     last = joined[-1]
-                    last["n_sentences"] += max(0, upto - stop)
+                    last["n_sentences"] += max(0, sentence - above)
                     last["end"] = max(last["end"], s["end"])
                     last["first_doc_id"] = min((x for x in (last["first_doc_id"], s["first_doc_id"]) if x is not None), default=None)
+                    above = max(above, sentence)
                 else:
-                    joined.append({"start": s["start"], "end": s["end"], "n_sentences": s["n"], "first_doc_id": s["first_doc_id"]})
+                    joined.append({"start": s["start"], "end": s["end"], "n_sentences": sentence - (s["place"] >> 32), "first_doc_id": s["first_doc_id"]})
+                    above = sentence
                 stop = max(stop, upto)
             out.append(joined)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_sentences", pa.int32()), ("first_doc_id", pa.int64())])))
 
-    # a document's own runs, as many as it has sentences at most
-    gathered = repeated_runs(df, text, doc, **options).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "n", "start", "end", "first_doc_id")).alias("spans"))
+    # a document's own runs, at most two for each sentence
+    gathered = repeated_runs(df, text, doc, **options).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "upto", "start", "end", "first_doc_id")).alias("spans"))
     return gathered.select("doc_id", "key", F.explode(merged("spans")).alias("s")).select("doc_id", "key", "s.*")
 
 

@@ -141,6 +141,27 @@ def test_repeated_passages(spark):
     assert substrings.stretches(df.limit(0)).count() == 0
 
 
+def test_every_run_length_counts(spark):
+    """Runs of all lengths by brute force, with lone sentences beside short ones at the ends of what repeats."""
+    rng = random.Random(17)
+    rows = []
+    for g in range(12):
+        shared = [prose(rng, n) for n in rng.choice([(30, 19), (19, 30), (12, 26, 5), (30, 3, 3), (8, 7, 6, 27, 19), (4, 30, 15, 2)])]
+        rows += [(10 * g + k, ". ".join([prose(rng, rng.randint(1, 12)), *shared, prose(rng, rng.randint(1, 12))]) + ".") for k in range(3)]
+    seen, want = {}, {}
+    for d, t in rows:
+        parts = [(m.start(), m.end(), m[0].split()) for m in re.finditer(r"[^\s.!?][^.!?\n]*[.!?]*", t)]
+        for a in range(len(parts)):
+            for b in range(a, len(parts)):
+                run = tuple(w for p in parts[a : b + 1] for w in p[2])
+                if (len(run) >= 20 and b > a or len(run) >= 25) and seen.setdefault(run, (d, a)) != (d, a):
+                    want.setdefault(d, set()).update(i for i in range(parts[a][0], parts[b][1]) if not t[i].isspace())
+    got, text = {}, dict(rows)
+    for r in substrings.stretches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(i for i in range(r["start"], r["end"]) if not text[r["doc_id"]][i].isspace())
+    assert got == want and len(got) == 24
+
+
 # --- shingle sets ---
 
 
