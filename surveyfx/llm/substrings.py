@@ -1,14 +1,16 @@
 """Passages that repeat across documents, found as runs of sentences.
 
-A run is complete when it is at least two sentences of `MIN_WORDS` words together, or holds `LONE_WORDS` words. At every sentence of every document the
-shortest complete run that begins there and the shortest that ends there are hashed and joined over all documents; the first place of a run, by
-document id and position, is kept, and the sentences that any other place of it covers are removed. Every sentence of a longer repeated run lies in
-one of these within it: the run forth from its first sentence, the run back from its last, or the run forth from the sentence itself.
+Sentences end at a mark or a line break. Those of more than `CUT_WORDS` words are cut into pieces at places that the words around decide, so that a
+passage is cut alike wherever it is embedded. A run of pieces is complete when it lies in at least two sentences and holds `MIN_WORDS` words, or holds
+`LONE_WORDS` words. At every piece of every document the shortest complete run that begins there and the shortest that ends there are hashed and joined
+over all documents; the first place of a run, by document id and position, is kept, and the pieces that any other place of it covers are removed. Every
+piece of a longer repeated run lies in one of these within it: the run forth from its first piece, the run back from its last, or the run forth from
+the piece itself. Of a passage that begins or ends within a sentence, the words up to its first and from its last common cut stay.
 
 Only hashes and places are shuffled. First places are found by partial aggregation, and a run that very many documents share is an ordinary skewed
-join key, whose large side Spark splits; one document's runs are what is ever gathered. Sentences end at `.`, `!`, `?` or a line break; white space
-within them does not matter. Null and empty texts have no runs; texts of fewer words than a run are left alone. A null id sorts before all others.
-Rows that repeat both id and text count as one document; with one id and different texts they are different documents.
+join key, whose large side Spark splits; one document's runs are what is ever gathered. White space between words does not matter; letters of scripts
+without spaces count as half a word each. Null and empty texts have no runs; texts of fewer words than a run are left alone. A null id sorts before all
+others. Rows that repeat both id and text count as one document; with one id and different texts they are different documents.
 """
 
 from __future__ import annotations
@@ -24,12 +26,21 @@ from surveyfx.llm.common import row_key, written
 from surveyfx.llm.wordhash import BASE, INVERSE, mixed, powers
 
 MIN_WORDS, LONE_WORDS = 20, 25
+#: Sentences of more words are cut further: before each word whose hash is the least among those up to `NEAR` words away.
+CUT_WORDS, NEAR = 20, 2
 #: Code points up to the last that is white space or ends a sentence.
 CODES = 0x10000
 SPACE = np.array([chr(c).isspace() for c in range(CODES)])
 MARK, BREAK = np.zeros(CODES, dtype=bool), np.zeros(CODES, dtype=bool)
-MARK[[ord(c) for c in ".!?"]] = True
-BREAK[ord("\n")] = True
+#: Sentence marks of Latin, Greek, Arabic, Armenian, Devanagari, Tibetan, Burmese, Ethiopic, Khmer, Mongolian, East Asian and other scripts, and line breaks.
+MARK[[ord(c) for c in ".!?\u037e\u0589\u061f\u06d4\u0700\u0701\u0702\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u166e\u17d4\u17d5\u1803\u1809\u2026\u203c\u203d\u2047\u2048\u2049\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"]] = True
+BREAK[[ord(c) for c in "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"]] = True
+#: Letters of scripts that set no space between words count as half a word each; planes 2 and 3 hold more of them.
+ALONE = np.zeros(CODES, dtype=bool)
+for _first, _last in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)):
+    ALONE[_first : _last + 1] = True
+#: Letters of texts that are taken apart together; a text is never cut.
+CHUNK_CHARS = 100_000
 #: `place` and `upto` hold the number of a sentence in their upper half.
 HALF = (1 << 32) - 1
 RUN = "doc_id long, key long, place long, upto long, start int, end int, run long"
@@ -48,7 +59,7 @@ def between(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and sentence of each word; start, end and first word (one more at the end) of each sentence."""
+    """Hash, size in half words, sentence, start and end of each word; ends include white space up to a sentence's own end."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     low = np.minimum(code, CODES - 1)
     space, mark = SPACE[low], MARK[low]
@@ -66,29 +77,54 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     solid = np.concatenate([[False], (np.cumsum(held[:-1]) > 0) & ~space, [False]])
     opens, closes = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
     opens[begin] = True
-    closes[end - 1] |= solid[end]
+    alone = (ALONE[low] | (code >= 0x20000) & (code < 0x40000)) & solid[1:-1]
+    opens |= alone
+    opens[1:] |= alone[:-1] & solid[1:-2] & ~mark[1:]
+    closes[:-1] |= opens[1:] & solid[1:-2]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     of = np.searchsorted(begin, first, side="right") - 1
     hashes = between(sums(mixed(code.astype(np.uint64) + np.uint64(1))), first, last)
-    return hashes, of, begin, end, np.searchsorted(first, np.append(begin, len(code)))
-
-
-def runs(text: str, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> tuple[np.ndarray, ...]:
-    """place, upto, start, end, hash of the shortest runs that begin at each sentence and of those that end there."""
-    hashes, of, start, end, first = words(text)
-    n = len(start)
-    if not n:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    sentence, size = np.arange(n), first
+    upto = last.copy()
+    upto[np.append(np.flatnonzero(np.diff(of)), len(of) - 1)[: len(begin)]] = end
+    return hashes, np.where(alone[first], 1, 2), of, first, upto
+
+
+def pieces(hashes: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The first word of each piece. Cuts depend on a few words around them, so that copies are cut alike wherever they are embedded."""
+    least = np.bincount(of, weights=size)[of] > 2 * CUT_WORDS
+    for d in range(1, NEAR + 1):
+        near = of[d:] == of[:-d]
+        least[d:] &= ~near | (hashes[d:] <= hashes[:-d])
+        least[:-d] &= ~near | (hashes[:-d] <= hashes[d:])
+    least[0] = True
+    least[1:] |= of[1:] != of[:-1]
+    return np.flatnonzero(least)
+
+
+def runs(texts: list[str], min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> tuple[np.ndarray, ...]:
+    """text, place, upto, start, end, hash of the shortest runs that begin at each piece and of those that end there; places count from each text's start."""
+    hashes, size, of, start, end = words("\n".join(texts))
+    if not len(hashes):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    first = pieces(hashes, size, of)
+    n, sentence = len(first), of[first]
+    offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    inside = np.searchsorted(offset, start[first], side="right") - 1
+    begin = np.minimum(np.searchsorted(inside, np.arange(len(texts))), n - 1)
+    first = np.append(first, len(hashes))
+    size = np.append(0, np.cumsum(size))[first]
     i = j = np.arange(n)
-    after = np.append(np.searchsorted(sentence, sentence, side="right"), n)
     # j: the first that completes the run from i on; the other way round, the last i from which a run up to j is complete
-    forth = np.minimum(np.searchsorted(size, size[i] + lone_words) - 1, np.maximum(np.searchsorted(size, size[i] + min_words) - 1, after[i]))
-    back = np.maximum(np.searchsorted(size, size[j + 1] - lone_words, side="right") - 1, np.minimum(np.searchsorted(size, size[j + 1] - min_words, side="right") - 1, np.searchsorted(sentence, sentence) - 1))
+    forth = np.minimum(np.searchsorted(size, size[i] + 2 * lone_words) - 1, np.maximum(np.searchsorted(size, size[i] + 2 * min_words) - 1, np.searchsorted(sentence, sentence, side="right")))
+    back = np.maximum(np.searchsorted(size, size[j + 1] - 2 * lone_words, side="right") - 1, np.minimum(np.searchsorted(size, size[j + 1] - 2 * min_words, side="right") - 1, np.searchsorted(sentence, sentence) - 1))
     pairs = np.unique(np.concatenate([(i * n + forth)[forth < n], (back * n + j)[back >= 0]]))
     i, j = pairs // n, pairs % n
+    i, j = i[inside[i] == inside[j]], j[inside[i] == inside[j]]
+    k = inside[i]
     run = between(sums(hashes), first[i], first[j + 1]).view(np.int64)
-    return (sentence[i] << 32) + i, (sentence[j] << 32) + j + 1, start[i], end[j], run
+    place = (sentence[i] - sentence[begin[k]] << 32) + i - begin[k]
+    upto = (sentence[j] - sentence[begin[k]] << 32) + j + 1 - begin[k]
+    return k, place, upto, start[first[i]] - offset[k], end[first[j + 1] - 1] - offset[k], run
 
 
 def run_table(df: DataFrame, text: str = "text", doc: str = "doc_id", min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
@@ -96,16 +132,16 @@ def run_table(df: DataFrame, text: str = "text", doc: str = "doc_id", min_words:
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         names = [c.split()[0] for c in RUN.split(", ")]
         for batch in batches:
-            rows, found, held = [], [], 0
-            for k, t in enumerate(batch.column(2)):
-                found.append(runs(t.as_py() or "", min_words, lone_words))
-                rows.append(np.full(len(found[-1][0]), k))
-                held += len(rows[-1])
-                if held > 200_000 or k == len(batch) - 1:
-                    at = pa.array(np.concatenate(rows))
-                    columns = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), types)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=names)
-                    rows, found, held = [], [], 0
+            texts, at, held = [], 0, 0
+            for k, t in enumerate(batch.column(2), 1):
+                texts.append(t.as_py() or "")
+                held += len(texts[-1])
+                if k == len(batch) or held > CHUNK_CHARS:
+                    which, *found = runs(texts, min_words, lone_words)
+                    rows = pa.array(which + at)
+                    columns = [pa.array(c, t) for c, t in zip(found, types)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=names)
+                    texts, at, held = [], k, 0
 
     rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), row_key(doc, text)[0].alias("key"), F.col(f"`{text}`").alias("text"))
     return written(rows.mapInArrow(task, RUN), "sentence-runs")
@@ -146,7 +182,7 @@ def stretches(df: DataFrame, text: str = "text", doc: str = "doc_id", **options)
             out.append(joined)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_sentences", pa.int32()), ("first_doc_id", pa.int64())])))
 
-    # a document's own runs, at most two for each sentence
+    # a document's own runs, at most two for each piece
     gathered = repeated_runs(df, text, doc, **options).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "upto", "start", "end", "first_doc_id")).alias("spans"))
     return gathered.select("doc_id", "key", F.explode(merged("spans")).alias("s")).select("doc_id", "key", "s.*")
 

@@ -162,6 +162,31 @@ def test_every_run_length_counts(spark):
     assert got == want and len(got) == 24
 
 
+def test_passages_within_long_sentences(spark):
+    """Passages embedded in text without marks are covered but for a few words at their ends; other scripts' marks end sentences."""
+    rng = random.Random(23)
+    rows, where = [], {}
+    for g in range(40):
+        passage = prose(rng, 60)
+        for k in range(2):
+            head = prose(rng, 200 + rng.randint(0, 50)) + " "
+            rows.append((2 * g + k, head + passage + " " + prose(rng, 150)))
+            where[2 * g + k] = (len(head), len(head) + len(passage))
+    chinese = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(24)) + mark for mark in "。！？。"]
+    own = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(24)) + "。" for _ in range(6)]
+    rows += [(100, "".join([*own[:2], *chinese, own[2]])), (101, "".join([own[3], *chinese, *own[4:]])), (102, "। ".join([prose(rng, 9), *["क ख ग घ ङ च छ ज झ ञ ट"] * 2, "ठ"])), (103, "क ख ग घ ङ च छ ज झ ञ ट। क ख ग घ ङ च छ ज झ ञ ट।")]
+    got, text = {}, dict(rows)
+    for r in substrings.stretches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for d in range(1, 80, 2):
+        (start, end), = got[d]
+        first, last = where[d]
+        assert first <= start and end <= last + 1 and len(text[d][start:end].split()) > 36
+    assert sum(len(text[d][s:e].split()) for d in range(1, 80, 2) for s, e in got[d]) > 0.85 * 60 * 40
+    assert [text[101][s:e] for s, e in got[101]] == ["".join(chinese)] and 103 in got
+    assert not set(got) & {100, 102, *range(0, 80, 2)}
+
+
 # --- shingle sets ---
 
 
