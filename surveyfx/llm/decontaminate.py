@@ -1,8 +1,8 @@
 """Benchmark passages in training documents, by built-in functions only.
 
 Fixed masks pick some of the token positions of a window and ignore the rest, so a window still hits where ignored tokens were replaced. All windows
-of the benchmark items are hashed under every mask, and every `STRIDE`-th window of every document; equal hashes are hits. A hit fixes how item and
-document lie to each other. Around it the tokens are compared one by one, and the pair counts if some stretch of `WINDOW` item tokens (the whole
+of the benchmark items and of every document are hashed under every mask; equal hashes are hits. The masks are chosen so that some window hits wherever
+the substitutions stand that `AGREE` allows in a stretch, at any position. A hit fixes how item and document lie to each other. Around it the tokens are compared one by one, and the pair counts if some stretch of `WINDOW` item tokens (the whole
 item, if shorter) agrees in at least `AGREE` of its places: substitutions are allowed, chance hits are not.
 
 A document's share of the work is its own tokens. Benchmark hashes go to every task if they are few (counted first) and are joined by shuffle if
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from surveyfx.llm.common import row_key, written
 
-#: Positions that count, by mask; every mask fits a window of `SPAN` tokens.
-MASKS = ((0, 1, 3, 5, 8), (0, 2, 3, 7, 8), (0, 1, 4, 6, 7), (1, 2, 5, 6, 8))
-SPAN, STRIDE = 9, 2
+#: Positions that count, by mask; every mask fits a window of `SPAN` tokens. Together they hit every placement of 2 substitutions in 9 to 11 tokens and of
+#: 3 in 12 or 13.
+MASKS = ((0, 1, 2, 6), (0, 1, 5, 7), (0, 3, 4, 8), (1, 3, 4, 8), (2, 5, 6, 7))
+SPAN = 9
 WINDOW, AGREE = 13, 0.75
 #: Rows up to which a written table is sent to every task.
 BROADCAST_ROWS = 1_000_000
@@ -30,13 +31,17 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(words: Column, stride: int) -> Column:
-    """Hashes of the windows at every `stride`-th token under each mask: window by window, mask by mask."""
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def seeds(words: Column) -> Column:
+    """Hashes of the windows of hashed tokens under each mask: window by window, mask by mask."""
 
     def window(i: Column) -> Column:
         return F.array(*[F.xxhash64(F.lit(m), *[F.get(words, i + F.lit(o)) for o in mask]) for m, mask in enumerate(MASKS)])
 
-    starts = F.sequence(F.lit(0), F.size(words) - SPAN, F.lit(stride))
+    starts = F.sequence(F.lit(0), F.size(words) - SPAN)
     return F.when(F.size(words) >= SPAN, F.flatten(F.transform(starts, window)))
 
 
@@ -49,13 +54,13 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "
     """One row for each document row and item that overlap: key1, key2 (the row's key), doc, item, n_words, compared, n_equal, at (first token)."""
     tests = written(items.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{item_text}`")).alias("test")).distinct(), "benchmark-tokens")
     at = F.col("pos")
-    probe = tests.select("item", F.posexplode(seeds(F.col("test"), 1)).alias("pos", "seed")).select("item", F.floor(at / len(MASKS)).alias("there"), "seed")
+    probe = tests.select("item", hashed(F.col("test")).alias("hashed")).select("item", F.posexplode(seeds(F.col("hashed"))).alias("pos", "seed")).select("item", F.floor(at / len(MASKS)).alias("there"), "seed")
     seeded = sized(written(probe.distinct(), "benchmark-seeds"))
     keyed = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"), *[k.alias(f"key{i}") for i, k in enumerate(row_key(doc, text), 1)])
     # the text itself is not carried along its windows
-    split = keyed.select("key1", "key2", tokens(F.col("text")).alias("words"))
-    found = split.select("key1", "key2", F.posexplode(seeds(F.col("words"), STRIDE)).alias("pos", "seed")).join(seeded, "seed")
-    places = found.select("key1", "key2", "item", (F.floor(at / len(MASKS)) * STRIDE - F.col("there")).cast("int").alias("shift"))
+    split = keyed.select("key1", "key2", hashed(tokens(F.col("text"))).alias("hashed"))
+    found = split.select("key1", "key2", F.posexplode(seeds(F.col("hashed"))).alias("pos", "seed")).join(seeded, "seed")
+    places = found.select("key1", "key2", "item", (F.floor(at / len(MASKS)) - F.col("there")).cast("int").alias("shift"))
     hits = written(places.distinct(), "benchmark-hits")
     rows = keyed.join(sized(hits), ["key1", "key2"]).select("key1", "key2", "doc", "item", "shift", tokens(F.col("text")).alias("words"))
     # the document's tokens beside the item, as far as the document goes; an argument of a higher-order function is evaluated once, a lambda's body each time

@@ -1,6 +1,7 @@
 """Joins, searches and removals against brute force, with awkward rows."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -99,6 +100,21 @@ def test_passages_with_substitutions_are_found(spark, monkeypatch, few):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_every_allowed_substitution_is_found(spark):
+    """All placements of the substitutions that a stretch may hold, at even and odd positions of the document."""
+    item = {n: [f"t{n}x{i}" for i in range(n)] for n in (9, 10, 11, 12, 13)}
+    docs, want = [], set()
+    for n, words in item.items():
+        for places in [(), *itertools.combinations(range(n), 3 if n > 11 else 2)]:
+            for head in (4, 5):
+                copy = ["qqqq" if i in places else w for i, w in enumerate(words)]
+                want.add((len(docs), n))
+                docs.append((len(docs), " ".join(["ff"] * head + copy + ["gg"] * 3)))
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in item.items()], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 # --- sentence runs ---
 
 
