@@ -2,7 +2,8 @@
 
 A text is scanned for three kinds of secret. Then a worklist takes it apart: URL escapes and Unicode escapes are undone over the whole layer; runs
 of base64 letters are decoded and, where they turn out compressed, unpacked. Every layer that comes out is scanned in the same way and taken apart in
-turn, until nothing new comes up; layers seen before are not visited again. What is found in a layer is mapped back, layer by layer, to the
+turn, until nothing new comes up. A layer that stands at several places is taken apart once and counts at each; only a layer within itself is not
+taken apart again. What is found in a layer is mapped back, layer by layer, to the
 characters of the original text that it came from. Spans count code points, ends are exclusive.
 
 A null or empty text has no spans. Texts are scanned whole. A compressed layer is unpacked up to `LAYER_BYTES`; beyond, it is left packed and counted
@@ -177,24 +178,45 @@ def layers(text: str) -> tuple[list[tuple[str, Origin]], int]:
 
 def spans(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
     """(start, kind, end, depth) by start and kind, depth 0 for what stands in the text itself; and the number of layers too large to unpack."""
-    found = {span: 0 for span in scan(text)}
-    seen, large = {text}, 0
-    work: list[tuple[str, int, tuple[Origin, ...]]] = [(text, 0, ())]
-    while work:
-        layer, depth, back = work.pop()
+    large = 0
+    known: dict[str, dict[tuple[int, int, int], int]] = {}
+    # a frame: layer, layers under it that remain, spans so far, way to the frame above, lowest frame that a cycle led back to
+    frames: list[list] = []
+    opened: dict[str, int] = {}
+
+    def enter(layer: str, origin: Origin | None) -> int:
         under, over = layers(layer)
-        large += over
-        for inner, origin in under:
-            way = (origin, *back)
-            inner_spans = scan(inner)
-            for start, kind, end in inner_spans:
-                for step in way:
-                    start, end = step(start, end)
-                found.setdefault((start, kind, end), depth + 1)
-            if inner not in seen:
-                seen.add(inner)
-                work.append((inner, depth + 1, way))
-    return sorted((s, k, e, d) for (s, k, e), d in found.items()), large
+        opened[layer] = len(frames)
+        frames.append([layer, under, dict.fromkeys(scan(layer), 0), origin, len(frames)])
+        return over
+
+    def add(found: dict, inner: dict, origin: Origin) -> None:
+        for (start, kind, end), depth in inner.items():
+            start, end = origin(start, end)
+            found[start, kind, end] = min(depth + 1, found.get((start, kind, end), depth + 1))
+
+    large += enter(text, None)
+    while True:
+        layer, under, found, back, low = frames[-1]
+        if under:
+            inner, origin = under.pop()
+            if inner in known:
+                add(found, known[inner], origin)
+            elif inner in opened:
+                add(found, dict.fromkeys(scan(inner), 0), origin)
+                frames[-1][4] = min(low, opened[inner])
+            else:
+                large += enter(inner, origin)
+            continue
+        frames.pop()
+        del opened[layer]
+        if not frames:
+            return sorted((s, k, e, d) for (s, k, e), d in found.items()), large
+        if low >= len(frames):
+            known[layer] = found
+        else:
+            frames[-1][4] = min(frames[-1][4], low)
+        add(frames[-1][2], found, back)
 
 
 def find(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:

@@ -141,3 +141,14 @@ def test_secrets_base_rules(spark):
 def test_layer_bombs_are_counted(monkeypatch):
     monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
     assert secrets.spans(base64.b64encode(gzip.compress(b"a" * 5000)).decode()) == ([], 1)
+
+
+@pytest.mark.parametrize("inner", [base64.b64encode(SECRET.encode()).decode(), urllib.parse.quote(SECRET, safe="")])
+def test_secrets_hidden_twice_at_several_places(inner):
+    hidden = base64.b64encode(inner.encode()).decode()
+    text = f"one {hidden} two {hidden} three {inner} four"
+    found, large = secrets.spans(text)
+    places = [m.start() for m in re.finditer(re.escape(hidden), text)]
+    assert large == 0 and len(places) == 2
+    for at in [*places, text.index(inner)]:
+        assert any(k == 0 and at <= s < e <= at + len(hidden) for s, k, e, _ in found)
