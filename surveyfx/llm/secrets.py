@@ -40,7 +40,12 @@ LAYER_BYTES = 1 << 26
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-PIECE = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}|[A-Za-z0-9]{16,}={0,2}")
+#: Where a run decodes to no text: what stands between its separators, all ways to read it.
+PIECES = [re.compile(p) for p in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}", r"[A-Za-z0-9]{16,}={0,2}")]
+SEPARATOR = re.compile(r"[+/_-]")
+#: Text within decoded bytes, and how compressed bytes begin.
+READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){8,}")
+PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ")
 UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
 
 Origin = Callable[[int, int], tuple[int, int]]
@@ -158,6 +163,39 @@ def decoded_run(text: str, start: int, end: int) -> tuple[str | None, Origin | N
     return layer, origin, False
 
 
+def decoded_parts(text: str, start: int, end: int) -> tuple[list[tuple[str, Origin]], int]:
+    """The layers in a run that decodes to no text as a whole: between its separators, behind one of them, and at every alignment; and how many were too large."""
+    run, under, large = text[start:end], [], 0
+    places = {(start + x.start(), start + x.end()) for pattern in PIECES for x in pattern.finditer(run)} - {(start, end)}
+    # compressed bytes may hold separators themselves
+    for x in SEPARATOR.finditer(run):
+        head = run[x.end() : x.end() + 8].replace("-", "+").replace("_", "/")
+        if len(head) == 8 and "=" not in head and binascii.a2b_base64(head).startswith(PACKED):
+            places.add((start + x.end(), end))
+    taken = []
+    for first, last in sorted(places):
+        layer, origin, over = decoded_run(text, first, last)
+        large += over
+        if layer:
+            under.append((layer, origin))
+            taken.append((first, last))
+    for shift in range(4):
+        letters = run[shift:].rstrip("=").replace("-", "+").replace("_", "/")
+        letters = letters[: len(letters) - (len(letters) % 4 == 1)]
+        raw = binascii.a2b_base64(letters + "=" * (-len(letters) % 4))
+        for x in READABLE.finditer(raw):
+            layer = x[0].decode(errors="ignore")
+            first, last = start + shift + x.start() // 3 * 4, min(end, start + shift + -(-x.end() // 3) * 4)
+            if len(layer.encode()) < x.end() - x.start() or any(a <= first and last <= b for a, b in taken):
+                continue
+
+            def origin(a: int, b: int, at: int = x.start(), layer: str = layer, base: int = start + shift) -> tuple[int, int]:
+                return base + (at + len(layer[:a].encode())) // 3 * 4, min(end, base + -(-(at + len(layer[:b].encode())) // 3) * 4)
+
+            under.append((layer, origin))
+    return under, large
+
+
 def layers(text: str) -> tuple[list[tuple[str, Origin]], int]:
     """The layers directly under a text, and how many were too large."""
     under, large = [], 0
@@ -165,14 +203,14 @@ def layers(text: str) -> tuple[list[tuple[str, Origin]], int]:
         if sign in text and (got := unescaped(text, pattern)):
             under.append(got)
     for m in BASE64.finditer(text):
-        places = [(m.start(), m.end())]
-        places += [p for x in PIECE.finditer(m[0]) if (p := (m.start() + x.start(), m.start() + x.end())) != places[0]]
-        for start, end in places:
-            layer, origin, over = decoded_run(text, start, end)
-            large += over
-            if layer:
-                under.append((layer, origin))
-                break
+        layer, origin, over = decoded_run(text, m.start(), m.end())
+        if layer:
+            under.append((layer, origin))
+        elif not over:
+            inner, more = decoded_parts(text, m.start(), m.end())
+            under += inner
+            over = more
+        large += over
     return under, large
 
 

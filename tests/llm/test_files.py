@@ -152,3 +152,20 @@ def test_secrets_hidden_twice_at_several_places(inner):
     assert large == 0 and len(places) == 2
     for at in [*places, text.index(inner)]:
         assert any(k == 0 and at <= s < e <= at + len(hidden) for s, k, e, _ in found)
+
+
+@pytest.mark.parametrize("head", ["com/cb/", "key_", "a-", "x/y_z-", "abc", "QUJDREVGR0hJSktMTU5P/"])
+@pytest.mark.parametrize("body", [SECRET.encode(), ("é?>~~~" + SECRET).encode(), gzip.compress(SECRET.encode(), mtime=0), base64.b64encode(SECRET.encode())])
+def test_base64_behind_other_letters(head, body):
+    if head == "abc" and body[:2] == b"\x1f\x8b":
+        return  # no sign where the compressed bytes begin
+    hidden = base64.b64encode(body).decode()
+    found, large = secrets.spans(f"at {head}{hidden} end")
+    assert large == 0 and any(k == 0 and 3 + len(head) - 4 <= s < e <= 3 + len(head) + len(hidden) for s, k, e, _ in found)
+
+
+def test_every_piece_of_a_run_is_decoded():
+    one, two = (base64.b64encode(f"token: {v}EFGH1234".encode()).decode().rstrip("=") for v in ("abcd", "wxyz"))
+    text = f"{one}/x/{two}"
+    starts = [s for s, k, _, d in secrets.spans(text)[0] if k == 0 and d]
+    assert any(s < len(one) for s in starts) and any(s >= len(one) + 3 for s in starts)
