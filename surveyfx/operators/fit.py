@@ -1,37 +1,30 @@
-"""Maximum-likelihood fits per group: binary logit and cumulative (ordinal) logit.
+"""Maximum-likelihood fits per group: binary, cumulative (ordinal) and multinomial logit.
 
-Newton's method needs three sums per step: log-likelihood, score and information. They are additive over rows, so the
-same code serves two execution shapes:
+Newton's method needs three sums per step: log-likelihood, score and information. They are additive over rows, which
+allows two execution shapes:
 
 * closed covariate lists: rows are reduced to cell totals in one distributed aggregation, and every group's cells (a
   number bounded by the specification, whatever the data size) are fitted in one `applyInPandas` call;
-* open covariates: the rows stay where they are; each step is one partially aggregated pass over them (built-in sums
-  for the logit, `mapInPandas` for the ordinal model, whose number of thresholds differs by group) and a small update.
-  Only sums and coefficients move.
+* open covariates: the rows stay where they are; each step of all models and groups is one partially aggregated pass of
+  built-in sums over them and a small update (`rowfit`). Only sums and coefficients move.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Generator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyfx.functions.dist import normal_quantile
-from surveyfx.operators.cells import cell_totals, count_columns, is_compressed, is_marked, row_weight
+from surveyfx.operators.cells import cell_totals, count_columns, is_compressed, is_marked
 from surveyfx.operators.spec import ModelSpec
 
 MAX_STEPS = 50
-#: Groups whose sums a task holds before it passes them on.
-GROUPS_HELD = 1000
 #: A fit has settled when a step would raise the log-likelihood by less than this share of its size.
 TOLERANCE = 1e-20
 
@@ -119,7 +112,40 @@ class Ordinal:
         return float(np.sum(w * np.log(p))), score, -hess
 
 
-FAMILIES = {"logit": Logit, "ordinal": Ordinal}
+class Softmax:
+    """Unordered classes: log-odds of each observed class against the first one observed."""
+
+    def __init__(self, spec: ModelSpec):
+        self.spec = spec
+
+    def labels(self, classes: Sequence[int]) -> list[str]:
+        known = list(self.spec.ordered.values())
+        return [known[c - 1] for c in classes]
+
+    def names(self, classes: Sequence[int]) -> list[str]:
+        return [f"{label}:{name}" for label in self.labels(classes)[1:] for name in self.spec.names()]
+
+    def start(self, classes: Sequence[int], class_weights: np.ndarray) -> np.ndarray:
+        return np.zeros((len(classes) - 1) * len(self.spec.names()))
+
+    def probabilities(self, x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        eta = x @ theta.reshape(-1, x.shape[1]).T
+        eta = np.column_stack([np.zeros(len(x)), eta])
+        e = np.exp(eta - eta.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, classes: Sequence[int]):
+        p = self.probabilities(x, theta)
+        rank = np.searchsorted(np.asarray(classes), y)
+        loglik = float(np.sum(w * np.log(np.maximum(p[np.arange(len(x)), rank], 1e-300))))
+        off = w[:, None] * ((rank[:, None] == np.arange(1, len(classes))) - p[:, 1:])
+        k = len(classes) - 1
+        curve = w[:, None, None] * p[:, 1:, None] * (np.eye(k) - p[:, None, 1:])
+        info = np.einsum("nkl,ni,nj->kilj", curve, x, x)
+        return loglik, (off.T @ x).ravel(), info.reshape(k * x.shape[1], -1)
+
+
+FAMILIES = {"logit": Logit, "ordinal": Ordinal, "multinomial": Softmax}
 
 
 # ---- Newton as a state machine ------------------------------------------------------------------------------------
@@ -170,26 +196,60 @@ def advance(s: State, loglik: float, score: np.ndarray, info: np.ndarray, max_st
     return s
 
 
-def newton(evaluate: Callable[[np.ndarray], tuple], start: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> State:
+#: A search yields the point at which it wants the sums, is sent them, and returns its result.
+Search = Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], object]
+
+
+def newton_search(start: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Search:
     s = State(start, start)
     while s.status == "run":
-        s = advance(s, *evaluate(s.candidate), max_steps, tolerance)
+        s = advance(s, *(yield s.candidate), max_steps, tolerance)
     return s
 
 
+def solved(search: Search, evaluate: Callable[[np.ndarray], tuple]):
+    """Run a search where the sums are at hand."""
+    try:
+        at = next(search)
+        while True:
+            at = search.send(evaluate(at))
+    except StopIteration as done:
+        return done.value
+
+
+def replay(search: Search, answers: Sequence[tuple]) -> tuple[np.ndarray | None, object]:
+    """The point a search wants next after the answers so far, or its result. A search needs no other memory, so one
+    that waits for a pass over the rows is kept as its answers."""
+    try:
+        at = next(search)
+        for answer in answers:
+            at = search.send(answer)
+        return at, None
+    except StopIteration as done:
+        return None, done.value
+
+
+def newton(evaluate: Callable[[np.ndarray], tuple], start: np.ndarray, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> State:
+    return solved(newton_search(start, max_steps, tolerance), evaluate)
+
+
 # ---- fitted model and reports -------------------------------------------------------------------------------------
 
 @dataclass
 class Fitted:
-    """What a report may use. `sums` is `report_sums` added up over the rows, so both execution shapes can supply it."""
+    """What a report may use. `sums` is `report_sums` added up over the rows, so both execution shapes can supply it;
+    profile bounds come from `evaluate` or, where they were found before, from `bounds` by parameter and side."""
 
-    family: Logit | Ordinal | Linear
+    family: Logit | Ordinal | Softmax | Linear
     classes: list[int]
     theta: np.ndarray
     vcov: np.ndarray
     sums: np.ndarray | None = None
     evaluate: Callable | None = None
     loglik: float = math.nan
+    max_steps: int = MAX_STEPS
+    tolerance: float = TOLERANCE
+    bounds: Mapping[tuple[int, int], float] | None = None
 
     def se(self, gradient: np.ndarray) -> float:
         return math.sqrt(float(gradient @ self.vcov @ gradient))
@@ -262,12 +322,36 @@ class AverageSlope:
         return [{"term": f"slope({self.variable})", "estimate": slope / total, "std_error": fit.se(gradient / total)}]
 
 
-Report = Coefficients | Contrast | AverageSlope
+@dataclass(frozen=True)
+class Probabilities:
+    """Probability of each class of a multinomial fit with `treat` at 0 and at 1, and the change between them; other
+    covariates at their typical value (or `at`)."""
+
+    treat: str
+    at: dict = field(default_factory=dict)
+
+    def rows(self, fit: Fitted) -> list[dict]:
+        spec = fit.family.spec
+        base = typical_values(spec, fit.sums) | self.at
+        x = spec.matrix(pd.DataFrame([base | {self.treat: t} for t in (0.0, 1.0)]))
+        p = fit.family.probabilities(x, fit.theta)
+        k = np.arange(len(fit.classes))
+        # ∂p_c / ∂β_d = p_c (1[c = d] − p_d) x
+        slope = [(p[t, :, None] * ((k[:, None] == k[None, 1:]) - p[t, None, 1:]))[:, :, None] * x[t] for t in (0, 1)]
+        slope = [g.reshape(len(k), -1) for g in slope]
+        out = []
+        for c, label in enumerate(fit.family.labels(fit.classes)):
+            parts = ((f"{self.treat}=0", p[0, c], slope[0][c]), (f"{self.treat}=1", p[1, c], slope[1][c]), (self.treat, p[1, c] - p[0, c], slope[1][c] - slope[0][c]))
+            out += [{"subgroup": label, "term": term, "estimate": value, "std_error": fit.se(gradient)} for term, value, gradient in parts]
+        return out
+
+
+Report = Coefficients | Contrast | AverageSlope | Probabilities
 
 
 @dataclass(frozen=True)
 class Model:
-    """A specification, its family ("logit" or "ordinal") and what to report of the fit."""
+    """A specification, its family ("logit", "ordinal" or "multinomial") and what to report of the fit."""
 
     spec: ModelSpec
     family: str
@@ -322,44 +406,52 @@ def typical_values(spec: ModelSpec, sums: np.ndarray) -> dict:
     return out
 
 
-def profile_bounds(fit: Fitted, k: int, level: float) -> tuple[float, float]:
-    """Values of one parameter where the likelihood, maximised over the others, has dropped by the χ² quantile / 2."""
-    z = normal_quantile(level)
-    free = np.arange(len(fit.theta)) != k
-    se = math.sqrt(fit.vcov[k, k])
-
-    def excess(value: float, warm: np.ndarray) -> tuple[float, np.ndarray]:
-        def evaluate(rest: np.ndarray):
-            theta = np.empty(len(fit.theta))
-            theta[free], theta[k] = rest, value
-            loglik, score, info = fit.evaluate(theta)
-            return loglik, score[free], info[np.ix_(free, free)]
-
-        s = newton(evaluate, warm)
+def bound_search(
+    top: np.ndarray, vcov: np.ndarray, loglik: float, k: int, side: int, level: float, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE
+) -> Search:
+    """Search for the value of parameter k, below (-1) or above (1) its estimate, where the likelihood, maximised over
+    the other parameters, has dropped by the χ² quantile / 2."""
+    z, se = normal_quantile(level), math.sqrt(vcov[k, k])
+    free = np.arange(len(top)) != k
+
+    def excess(value: float, warm: np.ndarray) -> Generator:
+        search = newton_search(warm, max_steps, tolerance)
+        try:
+            rest = next(search)
+            while True:
+                theta = np.empty(len(top))
+                theta[free], theta[k] = rest, value
+                at, score, info = yield theta
+                rest = search.send((at, score[free], info[np.ix_(free, free)]))
+        except StopIteration as done:
+            s = done.value
         if s.status != "ok":
             return math.nan, warm
-        return math.sqrt(max(2 * (fit.loglik - s.loglik), 0.0)) - z, s.theta
-
-    def bound(side: int) -> float:
-        near, far, rest = fit.theta[k], fit.theta[k] + side * z * se, fit.theta[free]
-        f_near, (f_far, rest) = -z, excess(far, rest)
-        while f_far < 0:
-            near, f_near, far = far, f_far, far + side * z * se / 2
-            f_far, rest = excess(far, rest)
-        if math.isnan(f_far):
-            return math.nan
-        for _ in range(60):  # secant inside the bracket; the root of the deviance is close to linear
-            mid = near + (far - near) * -f_near / (f_far - f_near)
-            f_mid, rest = excess(mid, rest)
-            if math.isnan(f_mid) or abs(f_mid) < 1e-11:
-                return mid if not math.isnan(f_mid) else math.nan
-            if f_mid < 0:
-                near, f_near, f_far = mid, f_mid, f_far / 2
-            else:
-                far, f_far, f_near = mid, f_mid, f_near / 2
-        return math.nan  # a bound that was not reached is no bound
+        return math.sqrt(max(2 * (loglik - s.loglik), 0.0)) - z, s.theta
+
+    near, far, rest = top[k], top[k] + side * z * se, top[free] + side * z * vcov[free, k] / se
+    f_near, (f_far, rest) = -z, (yield from excess(far, rest))
+    while f_far < 0:
+        near, f_near, far = far, f_far, far + side * z * se / 2
+        f_far, rest = yield from excess(far, rest)
+    if math.isnan(f_far):
+        return math.nan
+    for _ in range(60):  # secant inside the bracket; the root of the deviance is close to linear
+        mid = near + (far - near) * -f_near / (f_far - f_near)
+        f_mid, rest = yield from excess(mid, rest)
+        if math.isnan(f_mid) or abs(f_mid) < 1e-11:
+            return mid if not math.isnan(f_mid) else math.nan
+        if f_mid < 0:
+            near, f_near, f_far = mid, f_mid, f_far / 2
+        else:
+            far, f_far, f_near = mid, f_mid, f_near / 2
+    return math.nan  # a bound that was not reached is no bound
+
 
-    return bound(-1), bound(1)
+def profile_bounds(fit: Fitted, k: int, level: float) -> tuple[float, float]:
+    if fit.bounds is not None:
+        return fit.bounds[k, -1], fit.bounds[k, 1]
+    return tuple(solved(bound_search(fit.theta, fit.vcov, fit.loglik, k, side, level, fit.max_steps, fit.tolerance), fit.evaluate) for side in (-1, 1))
 
 
 # ---- cells in one call per group ----------------------------------------------------------------------------------
@@ -413,7 +505,7 @@ def _fit_frame(model: Model, frame: pd.DataFrame) -> list[dict]:
     fitted = None
     if s.status == "ok":
         sums = model.report_sums(frame, n, s.theta)
-        fitted = Fitted(family, classes, s.theta, scaled_inverse(s.info), sums, evaluate, s.loglik)
+        fitted = Fitted(family, classes, s.theta, scaled_inverse(s.info), sums, evaluate, s.loglik, model.max_steps, model.tolerance)
     return model.rows(s, fitted, used)
 
 
@@ -435,7 +527,9 @@ def fit(rows: DataFrame, model: Model, by: Sequence[str] = ("question",), by_row
     """
     keyed = model.spec.project(rows, by)
     if model.spec.cell_bound() is None if by_rows is None else by_rows:
-        return _finished(_fit_distributed(keyed, model, list(by)), {model.level}, drop_failed)
+        from surveyfx.operators.rowfit import fit_rows  # which builds on this module
+
+        return _finished(fit_rows(keyed, {"": model}, by, model.spec.weight is not None).drop("model"), {model.level}, drop_failed)
     keys = [*by, *model.spec.covariates, "_y"]
     cells = cell_totals(keyed, keys, "_weight" if model.spec.weight else None)
     return _finished(fit_by(cells, by, lambda frame: _fit_frame(model, frame)), {model.level}, drop_failed)
@@ -444,7 +538,8 @@ def fit(rows: DataFrame, model: Model, by: Sequence[str] = ("question",), by_row
 def fit_many(
     rows: DataFrame, models: Mapping[str, Model], by: Sequence[str] = ("question",), by_rows: bool | None = None, drop_failed: bool = False
 ) -> DataFrame:
-    """Fit several models of one outcome from one shared cell table. Columns: `by`, `model`, then FIT_FIELDS.
+    """Fit several models of one outcome from one shared cell table, or in shared passes over the rows. Columns: `by`,
+    `model`, then FIT_FIELDS.
 
     The shared cells are keyed by the covariates of all models, missing values included, because each model has its
     own complete cases. The models must agree on outcome, weight and closed lists.
@@ -458,12 +553,13 @@ def fit_many(
             listed = sp.levels.get(c, sp.codes.get(c))
             if columns.setdefault(c, listed) != listed:
                 raise ValueError(f"models disagree on the values of {c}")
-    if not all(columns.values()) if by_rows is None else by_rows:
-        parts = [fit(rows, m, by, True, drop_failed).select(*by, F.lit(name).alias("model"), *FIT_NAMES) for name, m in models.items()]
-        return reduce(DataFrame.unionByName, parts)
     exprs = {name: c for sp in specs for name, c in sp.columns().items()}
     weight = specs[0].weight
     keyed = rows.select(*by, *(c.alias(n) for n, c in exprs.items()), *([F.col(weight).alias("_weight")] if weight else []), *count_columns(rows))
+    if not all(columns.values()) if by_rows is None else by_rows:
+        from surveyfx.operators.rowfit import fit_rows
+
+        return _finished(fit_rows(keyed, models, by, weight is not None), {m.level for m in models.values()}, drop_failed)
     kept = keyed.dropna(subset=["_y", *(["_weight"] if weight else [])])
     cells = cell_totals(kept, [*by, *exprs], "_weight" if weight else None, complete=False)
 
@@ -479,164 +575,3 @@ def fit_many(
         return out
 
     return _finished(fit_by(cells, by, fn, "model string, " + FIT_FIELDS), {m.level for m in models.values()}, drop_failed)
-
-
-# ---- rows stay distributed ----------------------------------------------------------------------------------------
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder. Only a local session may fall back to a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="surveyfx-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return sc.getCheckpointDir()
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a small table and read it back: the lineage ends there, and the planner knows its true size."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _partial_sums(
-    data: DataFrame, state: DataFrame, by: list[str], width_of: Callable[[pd.DataFrame, np.ndarray, list[int]], np.ndarray]
-) -> DataFrame:
-    """Σ over rows of a vector that depends on the group's parameters: (by, slot, value), one row per slot."""
-    types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in by), "slot int, value double"])
-
-    def flushed(totals: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame({**dict(zip(by, key)), "slot": np.arange(len(v), dtype=np.int32), "value": v}) for key, v in totals.items()])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, frame in batch.groupby(by, sort=False):
-                key = key if isinstance(key, tuple) else (key,)
-                v = width_of(frame, np.asarray(frame["candidate"].iloc[0], float), [int(c) for c in frame["classes"].iloc[0]])
-                totals[key] = totals[key] + v if key in totals else v
-            if len(totals) > GROUPS_HELD:
-                yield flushed(totals)
-                totals = {}
-        if totals:
-            yield flushed(totals)
-
-    joined = data.join(state.select(*by, "candidate", "classes"), by)
-    return joined.mapInPandas(run, schema).groupBy(*by, "slot").agg(F.sum("value").alias("value"))
-
-
-def _logit_sums(data: DataFrame, state: DataFrame, by: list[str], spec: ModelSpec) -> DataFrame:
-    """The sums of a Newton step of a binary logit, (by, slot, value), as built-in aggregates.
-
-    Rows never leave the JVM, partial aggregation leaves one row of sums per task and group, and the parameters come
-    from a table of one row per group, which Spark broadcasts when it is small.
-    """
-    p = len(spec.names())
-    design = [c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns())]
-    eta = F.expr(" + ".join(f"candidate[{i}] * _x{i}" for i in range(p)))
-    mu = 1 / (1 + F.exp(-F.greatest(F.least(F.col("eta"), F.lit(700.0)), F.lit(-700.0))))
-    joined = data.join(state.select(*by, "candidate"), by).select(*by, "_w", "_y", "candidate", *design)
-    rows = joined.withColumn("eta", eta).withColumn("mu", mu).withColumns({"off": F.expr("_w * (_y - mu)"), "curve": F.expr("_w * mu * (1 - mu)")})
-    pairs = [(min(i, j), max(i, j)) for i in range(p) for j in range(p)]
-    sums = [
-        "sum(_w * (_y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta)))))",
-        *(f"sum(off * _x{i})" for i in range(p)),
-        *(f"sum(curve * _x{i} * _x{j})" for i, j in pairs),
-    ]
-    return rows.groupBy(*by).agg(F.expr(f"array({', '.join(sums)})").alias("v")).select(*by, F.posexplode("v").alias("slot", "value"))
-
-
-def _fit_distributed(keyed: DataFrame, model: Model, by: list[str]) -> DataFrame:
-    spec = model.spec
-    if any(isinstance(r, Coefficients) and r.profile for r in model.reports):
-        raise ValueError("profile intervals need covariates with closed value lists")
-    spark = keyed.sparkSession
-    folder = f"{shared_folder(spark)}/fit-{uuid.uuid4().hex}"
-    family = FAMILIES[model.family](spec)
-    w = row_weight(keyed, "_weight" if spec.weight else None).cast("double")
-    rows_behind = F.col("_n_used" if spec.weight else "_n") if is_compressed(keyed) else F.lit(1)
-    flat = keyed.select(*by, *spec.covariates, "_y", w.alias("_w"), rows_behind.cast("double").alias("_rows"))
-    data = flat.dropna().where(F.col("_w") > 0)
-    listed = [c for c in spec.covariates if c in spec.codes and c not in spec.levels]
-    outside = F.array(*(F.max(F.col(c) == float("inf")) for c in listed)).cast("array<boolean>")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
-    key_schema = ", ".join(f"`{k}` {types[k]}" for k in by)
-    state_schema = (
-        f"{key_schema}, classes array<int>, n bigint, theta array<double>, candidate array<double>, loglik double, "
-        "info array<double>, steps int, status string, error string"
-    )
-
-    def pack(key: tuple, classes: list[int], n: int, s: State) -> pd.DataFrame:
-        info = [] if s.info is None else s.info.ravel()
-        row = dict(zip(by, key)) | {
-            "classes": classes, "n": n, "theta": s.theta, "candidate": s.candidate, "loglik": s.loglik, "info": info,
-            "steps": s.steps, "status": s.status, "error": s.error,
-        }
-        return pd.DataFrame([row])
-
-    def unpack(row: pd.Series) -> State:
-        theta = np.asarray(row["theta"], float)
-        info = np.asarray(row["info"], float).reshape(len(theta), -1) if len(row["info"]) else None
-        return State(theta, np.asarray(row["candidate"], float), row["loglik"], info, int(row["steps"]), row["status"], row["error"])
-
-    def begin(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_y")
-        classes = [int(c) for c in frame["_y"]]
-        start = family.start(classes, frame["w"].to_numpy())
-        s = State(start, start)
-        if bad := [c for k, c in enumerate(listed) if any(flags[k] for flags in frame["outside"])]:
-            s.status, s.error = "failed", f"values outside the list of {', '.join(bad)}"
-        elif len(classes) < 2:
-            s.status, s.error = "failed", "needs at least two response classes"
-        return pack(key, classes, int(frame["n"].sum()), s)
-
-    def update(key: tuple, sums: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        row = old.iloc[0]
-        s = unpack(row)
-        if len(sums):
-            v = sums.sort_values("slot")["value"].to_numpy()
-            p = len(s.candidate)
-            s = advance(s, float(v[0]), v[1 : p + 1], v[p + 1 :].reshape(p, p), model.max_steps, model.tolerance)
-        return pack(key, [int(c) for c in row["classes"]], int(row["n"]), s)
-
-    def newton_sums(frame: pd.DataFrame, theta: np.ndarray, classes: list[int]) -> np.ndarray:
-        loglik, score, info = family.sums(spec.matrix(frame), frame["_y"].to_numpy(), frame["_w"].to_numpy(), theta, classes)
-        return np.concatenate([[loglik], score, info.ravel()])
-
-    def report_sums(frame: pd.DataFrame, theta: np.ndarray, classes: list[int]) -> np.ndarray:
-        return model.report_sums(frame, frame["_rows"].to_numpy(), theta)
-
-    try:
-        counts = data.groupBy(*by, "_y").agg(F.sum("_rows").cast("bigint").alias("n"), F.sum("_w").alias("w"), outside.alias("outside"))
-        state = _stored(counts.groupBy(*by).applyInPandas(begin, state_schema), f"{folder}/step-0")
-        for step in range(1, model.max_steps + 2):
-            running = state.where("status = 'run'")
-            if running.isEmpty():
-                break
-            sums = _logit_sums(data, running, by, spec) if model.family == "logit" else _partial_sums(data, running, by, newton_sums)
-            updated = sums.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(update, state_schema)
-            state = _stored(updated, f"{folder}/step-{step}")
-
-        if all(isinstance(r, Coefficients) for r in model.reports):
-            extra = spark.createDataFrame([], f"{key_schema}, slot int, value double")
-        else:
-            final = state.where("status = 'ok'").withColumn("candidate", F.col("theta"))
-            extra = _stored(_partial_sums(data, final, by, report_sums), f"{folder}/report")
-    finally:
-        data.unpersist()
-
-    def finish(key: tuple, sums: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        row = old.iloc[0]
-        s, classes = unpack(row), [int(c) for c in row["classes"]]
-        fitted = None
-        if s.status == "ok":
-            v = sums.sort_values("slot")["value"].to_numpy() if len(sums) else None
-            fitted = Fitted(family, classes, s.theta, scaled_inverse(s.info), v, None, s.loglik)
-        return result_frame([dict(zip(by, key)) | r for r in model.rows(s, fitted, int(row["n"]))], [*by, *FIT_NAMES])
-
-    return extra.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(finish, f"{key_schema}, {FIT_FIELDS}")

@@ -1,9 +1,12 @@
-"""Least squares for any term list, in one pass.
+"""Least squares for any term list.
 
 The normal equations only need second moments. They are computed by built-in aggregates in one partially aggregated
 groupBy, whatever the covariates are (coded or continuous), centred where the model has an intercept, and each group's
-p × p system is solved on the correlation scale where its one row of moments lies, without another shuffle. The lists
-in `codes` are not needed here: every number stays in the fit.
+p × p system is solved on the correlation scale where its one row of moments lies, without another shuffle.
+
+Without weights, the built-in co-moments are centred. With weights, columns of open values are taken around their group
+means, for which one pass over the rows comes first; levels and columns with a list in `codes` (the outcome may have
+one, too) need none. The lists do not filter: every number stays in the fit.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.operators.cells import co_moment, count_columns, row_count, row_weight, weighted_avg
+from surveyfx.operators.cells import centred, count_columns, from_state, inner_columns, is_compressed, never_varies, plain_mean, row_count, row_weight, state_of, weighted_moment
 from surveyfx.operators.fit import FIT_FIELDS, FIT_NAMES, Fitted, Linear, Report, result_frame
 from surveyfx.operators.spec import ModelSpec
 
@@ -38,6 +41,8 @@ def fit_linear(
     rows: DataFrame, spec: ModelSpec, reports: Sequence[Report], by: Sequence[str] = ("question",)
 ) -> DataFrame:
     """Columns: `by`, FIT_FIELDS and the residual degrees of freedom `df`. Contrasts are on the outcome's own scale."""
+    if state_of(rows, [spec.outcome]):
+        rows = from_state(rows, [spec.outcome], spec.weight)
     keyed = spec.project(rows, by, listed=False).dropna()
     weight = "_weight" if spec.weight else None
     w = row_weight(keyed, weight).cast("double")
@@ -46,20 +51,35 @@ def fit_linear(
         *by, *spec.covariates, *([weight] if weight else []), *count_columns(keyed), w.alias("_w"), F.col("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(spec.design_columns()))
     )
 
-    w, xs = F.col("_w"), [F.col(f"_x{i}") for i in range(p)]
-    y = F.col("_y")
-    # around their means where an intercept takes the means up; products as they are where none does
     first = 1 if spec.intercept else 0
-    slopes = xs[first:]
-    cross = co_moment if spec.intercept else lambda w, a, b: F.sum(w * a * b)
+    names = [f"_x{i}" for i in range(first, p)]
+    plain = not (weight or is_compressed(keyed))
+    far = [x for x, is_open in zip(names, spec.open_columns()[first:]) if is_open] + ([] if spec.outcome in spec.codes else ["_y"])
+    near = [] if plain or not spec.intercept else far
+    flat = centred(flat, by, near, small=is_compressed(keyed))
+    w = F.col("_w")
+    x0 = {c: F.col(f"{c}0") if c in near else F.lit(0.0) for c in [*names, "_y"]}
+    d = {c: F.col(c) - x0[c] for c in x0}
+
+    def cross(a: str, b: str) -> Column:
+        """Around the means where an intercept takes the means up; products as they are where none does."""
+        if not spec.intercept:
+            return F.sum(w * F.col(a) * F.col(b))
+        if plain:
+            return F.count(F.lit(1)) * F.covar_pop(a, b)
+        return F.when(never_varies(F.col(a)) | never_varies(F.col(b)), 0.0).otherwise(weighted_moment(w, d[a], d[b]))
+
+    def mean(a: str) -> Column:
+        return plain_mean(F.col(a)) if plain else F.max(x0[a]) + F.try_divide(F.sum(w * d[a]), F.sum(w))
+
     sums = flat.groupBy(*by).agg(
         row_count(flat, weight, used=True).alias("n"),
         F.sum(w).alias("w"),
-        F.array(*(cross(w, slopes[i], slopes[j]) for i in range(len(slopes)) for j in range(i, len(slopes)))).cast("array<double>").alias("gram"),
-        F.array(*(cross(w, x, y) for x in slopes)).cast("array<double>").alias("xy"),
-        cross(w, y, y).alias("yy"),
-        F.array(*(weighted_avg(w, x) for x in slopes)).cast("array<double>").alias("x_mean"),
-        weighted_avg(w, y).alias("y_mean"),
+        F.array(*(cross(a, b) for i, a in enumerate(names) for b in names[i:])).cast("array<double>").alias("gram"),
+        F.array(*(cross(a, "_y") for a in names)).cast("array<double>").alias("xy"),
+        (cross("_y", "_y") + sum((F.sum(c) for c in inner_columns(flat)), F.lit(0.0))).alias("yy"),
+        F.array(*(mean(a) for a in names)).cast("array<double>").alias("x_mean"),
+        mean("_y").alias("y_mean"),
         F.array(*_typical_columns(spec, row_weight(flat))).alias("typical"),
     )
     types = dict(sums.dtypes)

@@ -21,11 +21,11 @@ from surveyfx.operators.reshape import gather, picked
 # ---- linear -------------------------------------------------------------------------------------------------------
 
 def _linear_arms(
-    rows: DataFrame, outcome: str, treat: str, question: str, by: str | None, weight: str | None, control: str | None
+    rows: DataFrame, outcome: str, treat: str, question: str, by: str | None, weight: str | None, control: str | None, coded: bool = False
 ) -> DataFrame:
     """Adjusted mean pieces per arm, with the question's residual variance and degrees of freedom on every row."""
     keys = [question, *([by] if by else []), treat]
-    arms = moments(rows, keys, outcome, weight, control).where(F.col("w") > 0)
+    arms = moments(rows, keys, outcome, weight, control, coded).where(F.col("w") > 0)
     if not control:
         arms = arms.withColumns({k: F.lit(0.0) for k in ("smean", "css", "csy")})
     q = Window.partitionBy(question)
@@ -52,12 +52,16 @@ def linear_effects(
     reference: str = "normal",
     level: float = 0.95,
     question: str = "question",
+    coded: bool = False,
+    arm_means: bool = False,
 ) -> DataFrame:
     """Treatment effect of a least-squares fit of outcome on treat (× by) (+ one numeric control), per subgroup.
 
-    The control is partialled out within the cells, which gives exactly the coefficients of the joint fit.
+    The control is partialled out within the cells, which gives exactly the coefficients of the joint fit. `coded` says
+    that outcome and control have a few values each, so that one pass is enough for a weighted fit as well. `arm_means` adds
+    the outcome's (weighted) means in both arms.
     """
-    arms = _linear_arms(rows, outcome, treat, question, by, weight, control)
+    arms = _linear_arms(rows, outcome, treat, question, by, weight, control, coded)
     keys = [question, *([by] if by else [])]
     on, off = F.col(treat) == 1, F.col(treat) == 0
     wide = arms.groupBy(*keys).agg(
@@ -74,8 +78,10 @@ def linear_effects(
         F.sqrt(F.col("s2") * (1 / F.col("w1") + 1 / F.col("w0") + shift)).alias("std_error"),
         "df",
         F.col("tn").alias("n"),
+        F.col("mean0").alias("control_mean"),
+        F.col("mean1").alias("treatment_mean"),
     ).withColumn("converged", F.col("estimate").isNotNull() & F.col("std_error").isNotNull())
-    return with_inference(fits, [question, "subgroup", "term"], reference, level)
+    return with_inference(fits, [question, "subgroup", "term"], reference, level, extra=("control_mean", "treatment_mean") if arm_means else ())
 
 
 def linear_did(

@@ -30,7 +30,8 @@ class ModelSpec:
     levels   categorical covariates: closed list, first entry is the reference; other values count as missing
     codes    numeric covariates with a closed list of values, which bounds the covariate patterns of a group. A group
              that holds another value is not fitted and says so. A numeric covariate without a list is allowed, but
-             then the number of patterns is unbounded and the fit runs as distributed passes over the rows.
+             then the number of patterns is unbounded and the fit runs as distributed passes over the rows. An outcome
+             with a list saves a weighted least-squares fit a pass.
     ordered  outcome codes in rank order with their labels (ordinal models)
     """
 
@@ -123,6 +124,25 @@ class ModelSpec:
             parts += products
         return parts
 
+    def slope_columns(self, column: str) -> list[Column]:
+        """`slope_matrix` as Column expressions."""
+        parts = [F.lit(0.0)] if self.intercept else []
+        for term in self.terms:
+            inner = replace(self, terms=(tuple(c for c in term if c != column),), intercept=False)
+            products = inner.design_columns()
+            parts += products if column in term else [F.lit(0.0)] * len(products)
+        return parts
+
+    def open_columns(self) -> list[bool]:
+        """Whether a column of the design has a factor of open values, which may lie far from zero."""
+        parts = [False] if self.intercept else []
+        for term in self.terms:
+            width = 1
+            for c in term:
+                width *= len(self.levels[c]) - 1 if c in self.levels else 1
+            parts += [any(c not in self.levels and c not in self.codes for c in term)] * width
+        return parts
+
     def slope_matrix(self, frame: pd.DataFrame, column: str) -> np.ndarray:
         """Derivative of the design matrix with respect to one numeric covariate."""
         parts = [np.zeros(len(frame))] if self.intercept else []

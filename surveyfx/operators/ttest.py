@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyfx.functions import dist
 from surveyfx.functions.recode import ratio
-from surveyfx.operators.cells import co_moment, count_columns, is_compressed, moments, row_count, weighted_avg
+from surveyfx.operators.cells import count_columns, is_compressed, moments, plain_mean, row_count, weighted_moment
 from surveyfx.operators.reshape import picked
 
 
@@ -46,8 +46,8 @@ def welch(
         sums = moments(rows, [*by, arm], outcome)
         arms = sums.select(*by, arm, "n", "mean", ratio(F.col("cyy"), F.col("n") - 1).alias("var"))
     else:
-        arms = rows.dropna(subset=[outcome, arm]).groupBy(*by, arm).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.var_samp(outcome).alias("var")
+        arms = rows.dropna(subset=[*by, outcome, arm]).groupBy(*by, arm).agg(
+            F.count(F.lit(1)).alias("n"), plain_mean(F.col(outcome).cast("double")).alias("mean"), F.var_samp(outcome).alias("var")
         )
     return _from_arms(arms, by, arm, first, second, level)
 
@@ -69,8 +69,10 @@ def welch_many(rows: DataFrame, tests: Mapping[str, tuple[Column, Column]], leve
         )
     )
     tall = cells.select("n", F.explode(parts).alias("part")).select("n", "part.*").dropna()
-    n, y = F.col("n").cast("double"), F.col("y")
+    # the combinations are few, so a mean to take moments around comes from a window over them
+    tall = tall.withColumn("near", F.avg("y").over(Window.partitionBy("test", "g")))
+    n, d = F.col("n").cast("double"), F.col("y") - F.col("near")
     arms = tall.groupBy("test", "g").agg(
-        F.sum("n").alias("n"), weighted_avg(n, y).alias("mean"), ratio(co_moment(n, y, y), F.sum("n") - 1).alias("var")
+        F.sum("n").alias("n"), (F.max("near") + ratio(F.sum(n * d), F.sum("n"))).alias("mean"), ratio(weighted_moment(n, d, d), F.sum("n") - 1).alias("var")
     )
     return _from_arms(arms, ["test"], "g", 1, 2, level)

@@ -6,7 +6,7 @@ steps is fixed; the starting point is close enough that they all converge to rou
 
 from __future__ import annotations
 
-from surveyfx.plans.oracle import SQL
+from surveyfx.plans.oracle import SQL, WELCH_SELECT, linear, welch_cte
 from surveyfx.plans.oracle_base import Z95, result, survey
 
 LOGIT_STEPS = 8
@@ -465,6 +465,172 @@ SQL["certainty_wls_ctrl_means"] = f"SELECT e.*, m.control_mean, m.treatment_mean
 SQL["snapshot_question"] = survey(
     "SELECT question, treat, response, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 6) + 0.0 AS weight FROM long WHERE question = 'q3' GROUP BY ALL"
 )
+
+# ---- open covariates ----------------------------------------------------------------------------------------------
+
+OPEN = "((caseid * 7919) % 1000003) / 1e6"
 SQL["direction_open_covariate"] = survey(
-    result("fit"), logit(["1", "treat", "((caseid * 7919) % 1000003) / 1e6"], "agree_opinion", "true"), coefficients({1: "(Intercept)", 2: "treat", 3: "open"})
+    result("fit"), logit(["1", "treat", OPEN], "agree_opinion", "true"), coefficients({1: "(Intercept)", 2: "treat", 3: "open"})
+)
+_design = ["1", OPEN, "treat"]
+SQL["direction_open_covariate_profile"] = survey(
+    _with_bounds(result("bounds", extra=("low", "high"))),
+    logit(_design, "agree_opinion", "true", "weight"),
+    coefficients({3: "treat"}),
+    *last_parameter_bounds(3, _logit_parts(_design, "agree_opinion", "true", "weight", "question")[1]),
+    "bounds AS (SELECT fit.*, l.b3 AS low, h.b3 AS high FROM fit JOIN low l USING (question) JOIN high h USING (question))",
+)
+
+
+def average_slope(p: int, k: int, name: str) -> str:
+    """CTEs `slopes` and `ame`: average derivative of the fitted probability by the k-th design column alone."""
+    eta = " + ".join(f"b{i} * x{i}" for i in range(1, p + 1))
+    grad = ", ".join(f"sum(n * {_dmu} * (1 - 2 * mu) * b{k} * x{i}){f' + sum(n * {_dmu})' if i == k else ''} AS d{i}" for i in range(1, p + 1))
+    var = " + ".join(f"d{i} * d{j} * v{i}_{j}" for i in range(1, p + 1) for j in range(1, p + 1))
+    return f"""
+slopes AS (
+  SELECT question, sum(n) AS m, b{k} * sum(n * {_dmu}) AS s, {grad}
+  FROM (SELECT dat.*, est.* EXCLUDE (question), 1 / (1 + exp(-({eta}))) AS mu FROM dat JOIN est USING (question)) GROUP BY question, b{k}
+),
+ame AS (
+  SELECT question, CAST(NULL AS VARCHAR) AS subgroup, 'slope({name})' AS term, s / m AS estimate, sqrt({var}) / m AS std_error, m AS n, true AS converged
+  FROM slopes JOIN est USING (question)
+)"""
+
+
+SQL["slope_open_covariate"] = survey(
+    result("(FROM fit UNION ALL BY NAME FROM ame)"),
+    logit(["1", "treat", S, f"treat * {S}", OPEN], "agree_opinion", "true"),
+    contrast(
+        5,
+        {s: (["1", "1", v, v, "c"], ["1", "0", v, "0", "c"]) for s, v in (("No", "0"), ("Yes", "1"))},
+        f"SELECT question, avg({OPEN}) AS c FROM used GROUP BY question",
+    ),
+    average_slope(5, 5, "open"),
+)
+SQL["ordinal_open_covariate"] = survey(
+    result("fit", extra=("round(loglik, 6) + 0.0 AS loglik",)), ordinal(["treat", "rep", OPEN], AGREE_RANK, 3), coefficients(AGREE_CUTS | {3: "treat", 4: "rep", 5: "open"})
+)
+_STACK = {
+    "treat": (["1", "treat"], "true", {1: "(Intercept)", 2: "treat"}),
+    "open": (["1", "treat", OPEN], "true", {1: "(Intercept)", 2: "treat", 3: "open"}),
+    "party": (["1", "treat", R, I, OPEN], "party3 IS NOT NULL", {1: "(Intercept)", 2: "treat", 3: "party[Rep]", 4: "party[Ind]", 5: "open"}),
+}
+SQL["open_model_stack"] = survey("\nUNION ALL\n".join(
+    f"SELECT * FROM (WITH {(logit(design, 'agree_opinion', where) + ', ' + coefficients(names, key=f'{chr(39)}{model}{chr(39)} AS model')).strip()} "
+    f"{result('fit', keys=('model', 'question', 'term'))})"
+    for model, (design, where, names) in _STACK.items()
+))
+
+
+# ---- multinomial with covariates ----------------------------------------------------------------------------------
+
+def softmax(design: list[str], code: str, classes: int, weight: str) -> str:
+    """CTEs of a multinomial logit against class 1; parameter (c - 2) q + i belongs to design column i of class c."""
+    q = len(design)
+    xs = ", ".join(f"x{i}" for i in range(1, q + 1))
+    place = [(c, i) for c in range(2, classes + 1) for i in range(1, q + 1)]
+    number = {ci: k for k, ci in enumerate(place, 1)}
+    e = ", ".join(f"exp({' + '.join(f'b{number[c, i]} * x{i}' for i in range(1, q + 1))}) AS e{c}" for c in range(2, classes + 1))
+    total = "1 + " + " + ".join(f"e{c}" for c in range(2, classes + 1))
+    mu = ", ".join(f"e{c} / ({total}) AS m{c}" for c in range(2, classes + 1))
+    own = "CASE y WHEN 1 THEN 1 " + " ".join(f"WHEN {c} THEN e{c}" for c in range(2, classes + 1)) + f" END / ({total})"
+    sums = ", ".join(
+        [f"sum(w * ((y = {c})::INT - m{c}) * x{i}) AS g{number[c, i]}" for c, i in place]
+        + [f"sum(w * m{c} * ({int(c == d)} - m{d}) * x{i} * x{j}) AS h{number[c, i]}_{number[d, j]}" for c, i in place for d, j in place if number[c, i] <= number[d, j]]
+        + ["sum(w * ln(pr)) AS ll"]
+    )
+    start = ", ".join(f"0.0::DOUBLE AS b{k}" for k in number.values())
+    step = f"SELECT {{keep}}, {sums} FROM (SELECT *, {mu}, {own} AS pr FROM (SELECT *, {e} FROM dat JOIN {{b}} USING (question))) GROUP BY {{keep}}"
+    return f"""
+used AS (
+  SELECT *, {', '.join(f'CAST({d} AS DOUBLE) AS x{i}' for i, d in enumerate(design, 1))}, {code} AS y, CAST({weight} AS DOUBLE) AS ww FROM obs WHERE {code} IS NOT NULL
+),
+dat AS MATERIALIZED (SELECT question, {xs}, y, sum(ww) AS w, count(*) AS n FROM used GROUP BY question, {xs}, y),
+size AS (SELECT question, sum(n) AS n FROM dat GROUP BY question),
+b_0 AS (SELECT DISTINCT question, {start} FROM dat),
+{_newton(len(place), step, "question", LOGIT_STEPS)}"""
+
+
+def class_probabilities(q: int, labels: dict[int, str], grid: tuple[list[str], list[str]], typical: str) -> str:
+    """CTE `fit`: coefficients against class 1, and each class's probability at the rows of `grid` (treated, control)."""
+    k = len(labels)
+    number = {(c, i): (c - 2) * q + i for c in range(2, k + 1) for i in range(1, q + 1)}
+    ctes = [f"place AS (SELECT est.*, {', '.join(f'CAST({x} AS DOUBLE) AS {t}{i}' for t, row in zip('uo', grid) for i, x in enumerate(row, 1))} FROM est JOIN ({typical}) USING (question))"]
+    e = ", ".join(f"exp({' + '.join(f'b{number[c, i]} * {t}{i}' for i in range(1, q + 1))}) AS e{t}{c}" for t in "uo" for c in range(2, k + 1))
+    ctes.append(f"lifted AS (SELECT *, 1.0 AS eu1, 1.0 AS eo1, {e} FROM place)")
+    p = ", ".join(f"e{t}{c} / ({' + '.join(f'e{t}{d}' for d in range(1, k + 1))}) AS p{t}{c}" for t in "uo" for c in range(1, k + 1))
+    ctes.append(f"shares AS (SELECT *, {p} FROM lifted)")
+    parts = []
+
+    def part(label: str, term: str, value: str, grad: dict[int, str]) -> str:
+        var = " + ".join(f"({a}) * ({b}) * v{i}_{j}" for i, a in grad.items() for j, b in grad.items())
+        return f"SELECT question, '{label}' AS subgroup, '{term}' AS term, {value} AS estimate, sqrt({var}) AS std_error, n, true AS converged FROM shares JOIN size USING (question)"
+
+    for c, label in labels.items():
+        slope = {t: {m: f"p{t}{c} * ({int(c == d)} - p{t}{d}) * {t}{i}" for (d, i), m in number.items()} for t in "uo"}
+        parts.append(part(label, "treat=0", f"po{c}", slope["o"]))
+        parts.append(part(label, "treat=1", f"pu{c}", slope["u"]))
+        parts.append(part(label, "treat", f"pu{c} - po{c}", {m: f"{slope['u'][m]} - {slope['o'][m]}" for m in number.values()}))
+    ctes.append("prob AS (" + "\nUNION ALL ".join(parts) + ")")
+    return ",\n".join(ctes)
+
+
+def _multinomial(design: list[str], names: list[str], weight: str, grid: tuple[list[str], list[str]], typical: str) -> str:
+    labels = {1: "Yes", 2: "No", 3: "Not sure"}
+    q = len(design)
+    return survey(
+        result("(FROM fit UNION ALL BY NAME FROM prob)"),
+        softmax(design, "response", 3, weight),
+        coefficients({(c - 2) * q + i: f"{labels[c]}:{name}" for c in (2, 3) for i, name in enumerate(names, 1)}),
+        class_probabilities(q, labels, grid, typical),
+    )
+
+
+SQL["multinom_control"] = _multinomial(
+    ["1", "treat", "sawf"], ["(Intercept)", "treat", "saw"], "weight", (["1", "1", "s"], ["1", "0", "s"]),
+    "SELECT question, CASE WHEN avg(sawf) > 0.5 THEN 1 ELSE 0 END AS s FROM used GROUP BY question",
+)
+SQL["multinom_open_covariate"] = _multinomial(
+    ["1", "treat", OPEN], ["(Intercept)", "treat", "open"], "1.0", (["1", "1", "s"], ["1", "0", "s"]), f"SELECT question, avg({OPEN}) AS s FROM used GROUP BY question"
+)
+
+
+# ---- moment states, hook, snapshot, audit -------------------------------------------------------------------------
+
+_far = "(caseid * 37 % 1009) / 100.0 + treat * response / 10.0"
+_z3 = "((caseid * 7919) % 1000003) / 1e3"
+_answered = "response IS NOT NULL"
+_cross = ["1", "treat", "(party = 'Rep')::INT", "treat * (party = 'Rep')::INT"]
+_fit_sql = {
+    "adjusted": f"SELECT * EXCLUDE (question_type) FROM ({linear(_far, weight='weight', control=_z3, reference='t')})",
+    "by_party": f"SELECT * EXCLUDE (question_type) FROM ({linear(_far, by='party', weight='weight', reference='t')})",
+    "crossed": f"SELECT * FROM ({least_squares(_cross, ['(Intercept)', 'treat', 'party[Rep]', 'treat:party[Rep]'], f'({_far})', _answered + ' AND party IS NOT NULL', 'weight')}) WHERE term <> '(Intercept)'",
+}
+SQL["moment_states"] = "\nUNION ALL BY NAME\n".join(f"SELECT '{k}' AS analysis, * FROM ({sql})" for k, sql in _fit_sql.items())
+SQL["moment_states_welch"] = survey(
+    f"SELECT * EXCLUDE (m1, m2) FROM (SELECT question, {WELCH_SELECT.format(m1='m1', m2='m2')}, CAST(n AS BIGINT) AS n FROM welch)",
+    f"tests AS (SELECT question, 2 - treat AS g, {_far} AS y FROM obs WHERE {_answered})," + welch_cte("tests", "question"),
+)
+SQL["snapshot_replace"] = survey(
+    """SELECT question, treat, CASE WHEN question = 'q3' THEN CASE response WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE response END ELSE response END AS response,
+    count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 6) + 0.0 AS weight FROM long GROUP BY ALL"""
+)
+SQL["saved_table"] = SQL["ordinal_table"]
+SQL["codebook_audit"] = survey(
+    """SELECT coalesce(o.var_name, k.var_name) AS var_name, coalesce(o.code, k.code) AS code, value_label, coalesce(n, 0) AS n,
+    CASE WHEN n IS NULL THEN 'unused' WHEN o.code IS NULL THEN 'missing' WHEN value_label IS NULL THEN 'unlabelled' ELSE 'labelled' END AS status
+    FROM (SELECT var_name, CAST(code AS BIGINT) AS code, count(*) AS n FROM (
+            SELECT unnest([""" + ", ".join(f"'q{j}'" for j in range(1, 9)) + """]) AS var_name,
+              unnest([q1, q2, CASE WHEN caseid % 50 = 0 THEN 9 ELSE q3 END, CASE WHEN q4 <> 2 THEN q4 END, q5, q6, q7, q8]) AS code FROM wide) GROUP BY ALL) o
+    FULL JOIN (SELECT 'q' || j AS var_name, CAST(c AS BIGINT) AS code,
+                 CASE WHEN c = 3 THEN 'Not sure' WHEN j = 6 THEN CASE c WHEN 1 THEN 'Was justified' ELSE 'Was not justified' END WHEN c = 1 THEN 'Yes' ELSE 'No' END AS value_label
+               FROM range(1, 9) a(j), range(1, 4) b(c)) k ON o.var_name = k.var_name AND o.code = k.code"""
+)
+SQL["folded_median"] = survey(
+    """SELECT question, treat, round(max(total), 6) + 0.0 AS total, CAST(min(bin) FILTER (below >= total / 2 - 1e-9) AS INTEGER) AS median, CAST(count(*) AS INTEGER) AS bins,
+    true AS converged, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT *, sum(w) OVER (PARTITION BY question, treat ORDER BY bin) AS below, sum(w) OVER (PARTITION BY question, treat) AS total
+          FROM (SELECT question, treat, CAST(floor(((caseid * 7919) % 1000003) / 1e6 * 1000) AS INTEGER) AS bin, sum(CAST(weight AS DOUBLE)) AS w
+                FROM long WHERE response IS NOT NULL GROUP BY ALL)) GROUP BY question, treat"""
 )

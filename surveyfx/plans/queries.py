@@ -12,14 +12,17 @@ from surveyfx.functions.recode import (
     cases, collapse, flag, flag_in, indicator, known_level, level_rank, recode, relabel, strip_suffix, swap_codes,
 )
 from surveyfx.operators import cells, descriptive, reshape, saturated, ttest
-from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, fit, fit_many, shared_folder
+from surveyfx.operators.fit import AverageSlope, Coefficients, Contrast, Model, Probabilities, fit, fit_many
+from surveyfx.operators.fold import fold_by
 from surveyfx.operators.linear import fit_linear
 from surveyfx.operators.inference import RESULT_COLUMNS, flip_sign, with_inference
-from surveyfx.operators.report import effect_table
+from surveyfx.operators.report import effect_table, write_table
 from surveyfx.operators.spec import ModelSpec, crossed
 from surveyfx.plans.survey_view import CODEBOOK, PARTY, PARTY3, YES_NO, survey_long, survey_wide
-from surveyfx.sources.codebook import codebook_from_metadata, decode_labelled, join_value_labels
+from surveyfx.sources.codebook import audit_codes, codebook_from_metadata, decode_labelled, join_value_labels
 from surveyfx.sources.longform import read_long, write_long
+from surveyfx.sources.scratch import shared_folder
+from surveyfx.sources.snapshot import read_snapshot, write_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -156,20 +159,17 @@ def recode_party(spark, sf_dir):
 def labelled_responses(spark, sf_dir):
     """Codes to labels twice: through column metadata on the wide table, and through a codebook join on the long one."""
     wide = survey_wide(spark, sf_dir)
-    decoded = decode_labelled(wide).where(F.col("treat").isNotNull()).select(
-        "caseid", *(relabel(q, {"Was justified": "Yes", "Was not justified": "No"}).alias(q) for q in CODEBOOK.names)
-    )
-    by_metadata = reshape.gather(decoded, ["caseid"], CODEBOOK.names, "question", "answer")
-    long = survey_long(spark, sf_dir).select("question", "response")
-    by_join = join_value_labels(long, codebook_from_metadata(wide))
-    counts = reshape.stack(
-        {
-            "metadata": by_metadata.groupBy("question", "answer").agg(F.count(F.lit(1)).alias("n")),
-            "join": by_join.groupBy("question", F.col("value_label").alias("answer")).agg(F.count(F.lit(1)).alias("n")),
-        },
-        "source",
-    )
-    return counts
+    names = CODEBOOK.names
+    # the codes travel beside their decoded labels
+    both = decode_labelled(wide.select("*", *(F.col(q).alias(f"{q}_code", metadata={}) for q in names))).where(F.col("treat").isNotNull())
+    short = {"Was justified": "Yes", "Was not justified": "No"}
+    pairs = [F.struct(F.lit(q).alias("question"), F.col(f"{q}_code").alias("response"), relabel(q, short).alias("decoded")) for q in names]
+    tall = both.select(F.explode(F.array(*pairs)).alias("a")).select("a.*")
+    # the answers are counted once, and both ways of labelling name the counts
+    counts = tall.groupBy("question", "response", "decoded").agg(F.count(F.lit(1)).alias("n"))
+    named = join_value_labels(counts, codebook_from_metadata(wide))
+    ways = F.array(F.struct(F.lit("metadata").alias("source"), F.col("decoded").alias("answer")), F.struct(F.lit("join").alias("source"), F.col("value_label").alias("answer")))
+    return named.select("question", "n", F.explode(ways).alias("way")).groupBy("way.source", "question", "way.answer").agg(F.sum("n").alias("n"))
 
 
 @query
@@ -337,10 +337,11 @@ def randomization_checks_respondent(spark, sf_dir):
     return rounded(_randomization(survey_wide(spark, sf_dir).where(F.col("treat").isNotNull())))
 
 
-def _certainty(spark, sf_dir, by=None, weight=None, control=None, reference="normal", **columns) -> DataFrame:
+def _certainty(spark, sf_dir, by=None, weight=None, control=None, reference="normal", arm_means=False, **columns) -> DataFrame:
     rows = survey_long(spark, sf_dir).select("question", "treat", "weight", not_sure().alias("not_sure"), *(c.alias(k) for k, c in columns.items()))
-    out = saturated.linear_effects(rows, "not_sure", by=by, weight=weight, control=control, reference=reference)
-    return result(flip_sign(out).withColumn("question_type", question_type()), "question_type")
+    out = saturated.linear_effects(rows, "not_sure", by=by, weight=weight, control=control, reference=reference, coded=True, arm_means=arm_means)
+    means = ("control_mean", "treatment_mean") if arm_means else ()
+    return result(flip_sign(out).withColumn("question_type", question_type()), "question_type", *means)
 
 
 @query
@@ -400,7 +401,10 @@ def certainty_coefficients(spark, sf_dir):
     rows = survey_long(spark, sf_dir).select(
         "question", "treat", "weight", not_sure().alias("not_sure"), party3().alias("party"), saw_flag().alias("saw")
     )
-    spec = ModelSpec("not_sure", (*crossed("treat", "party"), ("saw",)), levels={"party": ("Dem", "Rep", "Ind")}, weight="weight")
+    spec = ModelSpec(
+        "not_sure", (*crossed("treat", "party"), ("saw",)), levels={"party": ("Dem", "Rep", "Ind")},
+        codes={"treat": BINARY, "saw": BINARY, "not_sure": BINARY}, weight="weight",
+    )
     return result(with_inference(fit_linear(rows, spec, [Coefficients()]), ["question", "subgroup", "term"], "t"))
 
 
@@ -413,11 +417,48 @@ def linear_continuous(spark, sf_dir):
         (F.lit(1e8) + (case * 37 % 1009) / 100 + F.col("treat") * F.col("response") / 10).alias("y"),
         (F.lit(1.7e9) + case * 7919 % 1000003).alias("seconds"),
     )
-    spec = ModelSpec("y", (*crossed("treat", "party"), ("seconds",)), levels={"party": PARTIES}, weight="weight")
+    spec = ModelSpec("y", (*crossed("treat", "party"), ("seconds",)), levels={"party": PARTIES}, codes={"treat": BINARY}, weight="weight")
     fits = with_inference(fit_linear(rows, spec, [Coefficients(only=("treat", "party[Rep]", "treat:party[Rep]", "seconds"))]), ["question", "subgroup", "term"], "t")
     return result(fits.withColumns({c: F.col(c) * F.when(F.col("term") == "seconds", 1e6).otherwise(1.0) for c in ("estimate", "std_error", "conf_low", "conf_high")}))
 
 
+def _open_outcome(spark, sf_dir) -> DataFrame:
+    """An outcome and a control of open values."""
+    case = F.col("caseid")
+    return survey_long(spark, sf_dir).where(F.col("response").isNotNull()).select(
+        "question", "treat", "weight", party().alias("party"), (F.lit(1e3) + (case * 37 % 1009) / 100 + F.col("treat") * F.col("response") / 10).alias("y"),
+        (case * 7919 % 1000003 / 1e3).alias("z"),
+    )
+
+
+@query
+def moment_states(spark, sf_dir):
+    """A Welch test and least squares, weighted and not, with and without a control, from one table of moment states."""
+    states = cells.compress(_open_outcome(spark, sf_dir), ["question", "treat", "party"], "weight", measures=["y", ("y", "z")])
+    folder = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    states.write.parquet(folder)
+    stored = spark.read.schema(states.schema).parquet(folder)
+    keys = ["question", "subgroup", "term"]
+    spec = ModelSpec("y", crossed("treat", "party"), levels={"party": PARTIES}, codes={"treat": BINARY}, weight="weight")
+    only = Coefficients(only=("treat", "party[Rep]", "treat:party[Rep]"))
+    stacked = reshape.stack(
+        {
+            "adjusted": flip_sign(saturated.linear_effects(stored, "y", weight="weight", control="z", reference="t")),
+            "by_party": flip_sign(saturated.linear_effects(stored, "y", by="party", weight="weight", reference="t")),
+            "crossed": with_inference(fit_linear(stored, spec, [only]), keys, "t"),
+        },
+        "analysis",
+    )
+    return result(stacked, keys=("analysis", *keys))
+
+
+@query
+def moment_states_welch(spark, sf_dir):
+    """Welch's test of an open outcome from unweighted moment states."""
+    states = cells.compress(_open_outcome(spark, sf_dir), ["question", "treat", "party"], measures=["y"])
+    return rounded(ttest.welch(states, "y", "treat", first=1, second=0).drop("mean1", "mean2"))
+
+
 @query
 def linear_undeclared_code(spark, sf_dir):
     """A numeric control with a value that its list leaves out: least squares keep every row."""
@@ -460,9 +501,8 @@ def nested_logit_ordered(spark, sf_dir):
 
 @query
 def certainty_wls_ctrl_means(spark, sf_dir):
-    """Weighted, controlled effects beside the weighted means of both arms; both tables have one row per question."""
-    means = weighted_means(spark, sf_dir)
-    return certainty_wls_ctrl(spark, sf_dir).join(means, "question")
+    """Weighted, controlled effects beside the weighted means of both arms, from the same moments."""
+    return _certainty(spark, sf_dir, reference="t", weight="weight", control="saw", arm_means=True, saw=saw_flag())
 
 
 @query
@@ -474,6 +514,58 @@ def snapshot_question(spark, sf_dir):
     return kept.groupBy("question", "treat", "response").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("double").alias("weight")).transform(rounded)
 
 
+@query
+def snapshot_replace(spark, sf_dir):
+    """Write a snapshot, replace one question's answers by their mirror image, and count what is then read back."""
+    folder = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    long = survey_long(spark, sf_dir).select("caseid", "question", "treat", "response", "weight")
+    write_snapshot(long, folder)
+    write_snapshot(read_snapshot(spark, folder, ["q3"]).withColumn("response", recode("response", {new: (old,) for old, new in SWAP.items()})), folder, merge=True)
+    kept = read_snapshot(spark, folder)
+    return kept.groupBy("question", "treat", "response").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("double").alias("weight")).transform(rounded)
+
+
+@query
+def codebook_audit(spark, sf_dir):
+    """Codes against labels, with a stray code in one question and a label that nobody chose in another."""
+    wide = survey_wide(spark, sf_dir)
+    odd = {"q3": F.when(F.col("caseid") % 50 == 0, 9).otherwise(F.col("q3")), "q4": F.when(F.col("q4") != 2, F.col("q4"))}
+    dirty = CODEBOOK.attach(wide.withColumns(odd))
+    return audit_codes(dirty)
+
+
+@query
+def saved_table(spark, sf_dir):
+    """The publication table, saved as a text file and read again."""
+    table = ordinal_table(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    write_table(table, folder)
+    return spark.read.option("header", True).schema(table.schema).csv(folder)
+
+
+@query
+def folded_median(spark, sf_dir):
+    """Weighted median of an open value by question and arm, by a user's own functions on pieces of a group."""
+    rows = survey_long(spark, sf_dir).where(F.col("response").isNotNull()).select(
+        "question", "treat", F.col("weight").cast("double").alias("weight"), F.floor(open_value() * 1000).cast("int").alias("bin")
+    )
+
+    def partial(frame):
+        return frame.groupby("bin")["weight"].sum().to_dict()
+
+    def merge(a, b):
+        return {k: a.get(k, 0.0) + b.get(k, 0.0) for k in a.keys() | b.keys()}
+
+    def finish(state):
+        total, below = sum(state.values()), 0.0
+        for k in sorted(state):
+            below += state[k]
+            if below >= total / 2 - 1e-9:
+                return [{"total": total, "median": k, "bins": len(state), "converged": True}]
+
+    return rounded(fold_by(rows, ["question", "treat"], partial, merge, finish, "total double, median int, bins int, converged boolean, error string"))
+
+
 # ---- logit with closed forms --------------------------------------------------------------------------------------
 
 @query
@@ -662,12 +754,51 @@ def _party_score(spark, sf_dir, profile: bool) -> DataFrame:
     return result(out.withColumn("question_type", question_type()), "question_type")
 
 
+def open_value() -> Column:
+    """A covariate without a list of values."""
+    return F.col("caseid") * 7919 % 1000003 / 1e6
+
+
+def _open_direction(spark, sf_dir) -> DataFrame:
+    return survey_long(spark, sf_dir).select(
+        "question", "treat", "weight", agree_opinion().alias("agree"), saw_yes_no().alias("seen"), party3().alias("party"), open_value().alias("open")
+    )
+
+
 @query
 def direction_open_covariate(spark, sf_dir):
     """A logit with a covariate of any value, fitted by passes over the rows."""
-    rows = survey_long(spark, sf_dir).select("question", "treat", agree_opinion().alias("agree"), (F.col("caseid") * 7919 % 1000003 / 1e6).alias("open"))
     spec = ModelSpec("agree", (("treat",), ("open",)), codes={"treat": BINARY})
-    return result(with_inference(fit(rows, Model(spec, "logit", (Coefficients(),))), ["question", "subgroup", "term"]))
+    fits = fit(_open_direction(spark, sf_dir), Model(spec, "logit", (Coefficients(),)))
+    return result(with_inference(fits, ["question", "subgroup", "term"]))
+
+
+@query
+def direction_open_covariate_profile(spark, sf_dir):
+    """Profile-likelihood bounds over the rows: one pass serves all open searches."""
+    spec = ModelSpec("agree", (("treat",), ("open",)), codes={"treat": BINARY}, weight="weight")
+    fits = fit(_open_direction(spark, sf_dir), Model(spec, "logit", (Coefficients(profile=True, only=("treat",)),)))
+    return result(with_inference(fits, ["question", "subgroup", "term"]))
+
+
+@query
+def slope_open_covariate(spark, sf_dir):
+    """Average slope of an open covariate and treatment contrasts at its mean, from one fit over the rows."""
+    spec = ModelSpec("agree", (*crossed("treat", "seen"), ("open",)), levels={"seen": SEEN}, codes={"treat": BINARY})
+    fits = fit(_open_direction(spark, sf_dir), Model(spec, "logit", (AverageSlope("open"), Contrast("treat", "seen"))))
+    return result(with_inference(fits, ["question", "subgroup", "term"]))
+
+
+@query
+def open_model_stack(spark, sf_dir):
+    """Three models with open covariates; each pass over the rows serves those that still run."""
+    def model(*terms):
+        levels = {"party": PARTY_LEVELS} if ("party",) in terms else {}
+        return Model(ModelSpec("agree", terms, levels=levels, codes={"treat": BINARY}), "logit", (Coefficients(),))
+
+    models = {"treat": model(("treat",)), "open": model(("treat",), ("open",)), "party": model(("treat",), ("party",), ("open",))}
+    fits = fit_many(_open_direction(spark, sf_dir), models, by_rows=True)
+    return result(with_inference(fits, ["model", "question", "term"]), keys=("model", "question", "term"))
 
 
 @query
@@ -772,6 +903,37 @@ def model_stack(spark, sf_dir):
     return result(with_inference(fits, ["model", "question", "term"]), keys=("model", "question", "term"))
 
 
+@query
+def ordinal_open_covariate(spark, sf_dir):
+    """An ordinal fit with a covariate of any value: thresholds and slopes from built-in sums over the rows."""
+    rows = survey_long(spark, sf_dir).where(F.col("pid7").isin(1, 2, 3, 5, 6, 7)).select(
+        "question", "response", "treat", flag_in("pid7", (5, 6, 7)).alias("rep"), open_value().alias("open")
+    )
+    spec = ModelSpec("response", (("treat",), ("rep",), ("open",)), codes={"treat": BINARY, "rep": BINARY}, ordered=AGREE_ORDER, intercept=False)
+    fits = fit(rows, Model(spec, "ordinal", (Coefficients(),)))
+    return result(with_inference(fits, ["question", "subgroup", "term"], extra=("loglik",)), "loglik")
+
+
+# ---- multinomial with covariates ----------------------------------------------------------------------------------
+
+@query
+def multinom_control(spark, sf_dir):
+    """Multinomial fit with a control, weighted: coefficients, and class probabilities at the control's mode."""
+    rows = survey_long(spark, sf_dir).select("question", "treat", "weight", "response", saw_flag().alias("saw"))
+    spec = ModelSpec("response", (("treat",), ("saw",)), codes={"treat": BINARY, "saw": BINARY}, ordered=YES_NO, weight="weight")
+    fits = fit(rows, Model(spec, "multinomial", (Coefficients(), Probabilities("treat"))))
+    return result(with_inference(fits, ["question", "subgroup", "term"]))
+
+
+@query
+def multinom_open_covariate(spark, sf_dir):
+    """The same with an open covariate, by passes over the rows; probabilities at its mean."""
+    rows = survey_long(spark, sf_dir).select("question", "treat", "response", open_value().alias("open"))
+    spec = ModelSpec("response", (("treat",), ("open",)), codes={"treat": BINARY}, ordered=YES_NO)
+    fits = fit(rows, Model(spec, "multinomial", (Coefficients(), Probabilities("treat"))))
+    return result(with_inference(fits, ["question", "subgroup", "term"]))
+
+
 # ---- one cell table, many analyses --------------------------------------------------------------------------------
 
 @query
@@ -785,13 +947,13 @@ def shared_cells_effects(spark, sf_dir):
         }
     )
     keys = ["question", "subgroup", "term"]
-    linear = saturated.linear_effects(cells_once, "not_sure", by="party", weight="weight", control="saw1")
+    linear = saturated.linear_effects(cells_once, "not_sure", by="party", weight="weight", control="saw1", coded=True)
     odds = saturated.saturated_logit(cells_once, "agree", "treat", weight="weight")
     contrasts = saturated.logit_contrasts(cells_once, "not_sure", "party", exponentiate=True)
     shares = saturated.multinomial_effects(cells_once, "response", weight="weight")
     spec = ModelSpec("agree", (("treat",), ("saw1",)), codes={"treat": BINARY, "saw1": BINARY}, weight="weight")
     logit = with_inference(fit(cells_once, Model(spec, "logit", (Coefficients(),))), keys)
-    least = with_inference(fit_linear(cells_once, ModelSpec("not_sure", (("treat",), ("rep",)), codes={"treat": BINARY, "rep": BINARY}), [Coefficients()]), keys, "t")
+    least = with_inference(fit_linear(cells_once, ModelSpec("not_sure", (("treat",), ("rep",)), codes={"treat": BINARY, "rep": BINARY, "not_sure": BINARY}), [Coefficients()]), keys, "t")
     stacked = reshape.stack(
         {
             "linear": flip_sign(linear), "odds": odds, "contrasts": contrasts, "logit": logit, "least_squares": least,

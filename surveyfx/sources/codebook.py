@@ -6,7 +6,7 @@ A question dimension is bounded by the number of columns of the wide table, so i
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,3 +120,22 @@ def join_value_labels(long: DataFrame, codes: DataFrame, question: str = "questi
     """
     dim = codes.select(F.col("var_name").alias(question), F.col("code").alias(response), "label", "value_label")
     return long.join(dim, [question, response], "left")
+
+
+def audit_codes(df: DataFrame, columns: Sequence[str] | None = None, var: str = "var_name", code: str = "code") -> DataFrame:
+    """Observed codes against the labels: `var_name`, `code`, `value_label`, `n` and `status` of every labelled column.
+
+    A code is "labelled", "unlabelled" (it would vanish from a table made from the codebook), "unused" (a label without
+    answers) or "missing" (null). All columns are counted in one pass: rows are unpivoted in the scan and reduced to the
+    codes that occur before anything is shuffled.
+    """
+    labels = codebook_from_metadata(df)
+    names = [f.name for f in df.schema.fields if is_labelled(f) and (columns is None or f.name in columns)]
+    tall = df.select(*(F.col(c).cast("long").alias(c) for c in names)).unpivot([], names, var, code)
+    seen = tall.groupBy(var, code).agg(F.count(F.lit(1)).alias("n"))
+    known = labels.where(F.col("var_name").isin(*names)).select(F.col("var_name").alias("_var"), F.col("code").cast("long").alias("_code"), "value_label")
+    both = seen.join(known, (F.col(var) == F.col("_var")) & (F.col(code) == F.col("_code")), "full")
+    status = F.when(F.col("n").isNull(), "unused").when(F.col(code).isNull(), "missing").when(F.col("value_label").isNull(), "unlabelled").otherwise("labelled")
+    return both.select(
+        F.coalesce(var, "_var").alias(var), F.coalesce(code, "_code").alias(code), "value_label", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status")
+    )

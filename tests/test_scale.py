@@ -1,11 +1,13 @@
 """Plan shape: what decides whether a query holds at a thousand times the data."""
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from surveyfx.operators import saturated
+import surveyfx
+from surveyfx.operators import rowsums, saturated
 from surveyfx.operators.cells import cell_totals
 from surveyfx.operators.fit import Coefficients, Model, fit
 from surveyfx.operators.spec import ModelSpec, crossed
@@ -32,8 +34,8 @@ def test_no_pairwise_plans_and_no_collected_groups(spark, sf_dir, key):
         assert bad not in text
 
 
-#: A query that writes and rereads, and one that sets two analyses side by side.
-OTHER_SCANS = {"snapshot_question", "certainty_wls_ctrl_means", "direction_open_covariate"}
+#: Queries that write and reread, and fits that pass over stored rows more than once.
+OTHER_SCANS = {"snapshot_question", "snapshot_replace", "direction_open_covariate"}
 
 
 @pytest.mark.parametrize("key", sorted(set(REGISTRY) - OTHER_SCANS))
@@ -101,16 +103,20 @@ def test_hot_question_reaches_python_as_cells(skewed):
 
 
 def test_no_local_checkpoints():
-    from pathlib import Path
-
-    root = Path(entry.__file__).parent / "surveyfx"
+    root = Path(surveyfx.__file__).parent
     assert all("localCheckpoint" not in p.read_text() for p in root.rglob("*.py"))
 
 
-def test_open_logit_step_has_no_python_below_its_sums(spark):
-    from surveyfx.operators.fit import _logit_sums
+@pytest.mark.parametrize("family", sorted(rowsums.FAMILY_SUMS))
+def test_open_steps_have_no_python_below_their_sums(spark, family):
+    data = spark.createDataFrame([("q", 1.0, 1.0, 1.0, [True], 1.0, 0.3)], "question string, _y double, _w double, _rows double, _use array<boolean>, _x0 double, _x1 double")
+    tasks = spark.createDataFrame([("q", 0, 0, [1, 2, 3], [0.0] * 6)], "question string, task int, model int, classes array<int>, candidate array<double>")
+    text = plan(rowsums.newton_sums(data, tasks, ["question"], rowsums.FAMILY_SUMS[family](2, ("a", "b", "c"))))
+    assert "partial_sum" in text and "Python" not in text and "Pandas" not in text
+
 
-    data = spark.createDataFrame([("q", 1.0, 0.3, 1.0, 1.0)], "question string, treat double, open double, _y double, _w double")
-    state = spark.createDataFrame([("q", [0.0, 0.0, 0.0])], "question string, candidate array<double>")
-    text = plan(_logit_sums(data, state, ["question"], ModelSpec("y", (("treat",), ("open",)))))
+def test_slopes_have_no_python_below_their_sums(spark):
+    data = spark.createDataFrame([("q", 1.0, 1.0, 1.0, [True], 0.3, 1.0)], "question string, _y double, _w double, _rows double, _use array<boolean>, _x0 double, _d0_0 double")
+    tasks = spark.createDataFrame([("q", 0, 0, [0, 1], [0.5])], "question string, task int, model int, classes array<int>, candidate array<double>")
+    text = plan(rowsums.slope_sums(data, tasks, ["question"], 1, [0]))
     assert "partial_sum" in text and "Python" not in text and "Pandas" not in text
