@@ -43,7 +43,7 @@ def digest(columns: Sequence[Column]) -> Column:
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with `idx`, their place in their `tree`, and `at`, their place among all; and per tree its first place, `n` rows and its own number.
+    """Rows with `idx`, their place in their `tree` of `n` rows, and `at`, their place among all; and per tree its first place and `n`.
 
     `order` begins with "tree". Rows that are equal in it may change places.
     """
@@ -56,25 +56,23 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, rows: int) -> tuple
     tasks = runs.groupBy("__task").agg(F.sum("here").alias("rows")).withColumn("start", F.sum("rows").over(Window.orderBy("__task")) - F.col("rows"))
     earlier = F.sum("here").over(Window.partitionBy("tree").orderBy("__task")) - F.col("here")
     low = F.col("start") + F.col("first") - F.shiftleft(F.col("__task"), 33)
-    runs = written(runs.join(tasks, "__task").select("__task", "tree", "first", "here", earlier.alias("before"), low.alias("low")), f"{name}-runs")
+    size = F.sum("here").over(Window.partitionBy("tree")).alias("n")
+    runs = written(runs.join(tasks, "__task").select("__task", "tree", "first", "here", size, earlier.alias("before"), low.alias("low")), f"{name}-runs")
     out = placed.join(runs, ["__task", "tree"]).withColumns({"idx": F.col("before") + F.col("__row") - F.col("first"), "at": F.col("low") + F.col("__row") - F.col("first")})
     trees = runs.groupBy("tree").agg(F.min("low").alias("start"), F.sum("here").alias("n"))
     return out.drop("__task", "__row", "first", "here", "before", "low"), trees
 
 
 def levels(nodes: DataFrame) -> DataFrame:
-    """All nodes above level 0 of all trees, (tree, level, idx, hash), from the nodes (tree, idx, hash) of level 0."""
+    """All nodes of all trees, (tree, level, idx, hash, n), from those of level 0; `n` is the size of the node's tree at its level."""
     joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda s: s["hash"]))
-    out, level = None, 0
-    more = nodes.filter("idx > 0").select("tree").distinct()  # trees of one node are done
-    while True:
+    out, level = nodes, 0
+    while not nodes.filter("n > 1").isEmpty():
         level += 1
-        nodes = nodes.join(more, "tree", "left_semi").groupBy("tree", F.floor(F.col("idx") / RUN).alias("idx")).agg(F.sha2(joined, 256).alias("hash"))
-        nodes = written(nodes.select("tree", F.lit(level).alias("level"), "idx", "hash"), "nodes")
-        out = nodes if out is None else out.unionByName(nodes)
-        more = written(nodes.filter("idx > 0").select("tree").distinct(), "open-trees")
-        if more.isEmpty():
-            return out
+        above = nodes.filter("n > 1").groupBy("tree", F.floor(F.col("idx") / RUN).alias("idx")).agg(F.sha2(joined, 256).alias("hash"), F.ceil(F.min("n") / RUN).alias("n"))
+        nodes = written(above.select("tree", F.lit(level).alias("level"), "idx", "hash", "n"), "nodes")
+        out = out.unionByName(nodes)
+    return out
 
 
 def edges(low: int, high: int, size: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -165,7 +163,7 @@ def expand(with_proofs: bool):
                 h = sha(f"{left}{h}{right}")
             out.append((built[tree].root, top.root, sha("".join([x for side in path for x in side])), h, h == top.root))
             paths.append([{"left": left, "right": right} for left, right in path] if with_proofs else None)
-        table = leaves.drop_columns(["part", "tree", "at", "idx", "altered"])
+        table = leaves.drop_columns(["part", "tree", "at", "idx", "n", "altered"])
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
         for f, column, kind in zip(PROVED.split(", "), zip(*out), kinds):
             table = table.append_column(f.split()[0], pa.array(column, kind))
@@ -195,16 +193,11 @@ def prove(
     placed = written(placed.withColumn("part", F.floor(F.col("at") / PART)), "numbered-leaves")
     trees = written(trees, "trees")
 
-    zero = placed.select("tree", F.lit(0).alias("level"), "idx", F.col("leaf").alias("hash"))
-    inner = levels(zero.drop("level"))
-    nodes = zero.unionByName(inner)
-    last = F.max(F.struct("level", "hash"))["hash"].alias("hash")
-    # a tree of one leaf has no inner node: its leaf, number 0, is its root
-    subroots = nodes.filter((F.col("level") > 0) | (F.col("idx") == 0)).groupBy("tree").agg(last)
-    roots, _ = numbered(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), "hash"), ["tree", "name"], "sorted-roots", trees.count())
+    nodes = levels(placed.select("tree", F.lit(0).alias("level"), "idx", F.col("leaf").alias("hash"), "n"))
+    subroots = nodes.filter("n = 1").select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), "hash")
+    roots, _ = numbered(subroots, ["tree", "name"], "sorted-roots", trees.count())
     roots = written(roots.drop("at"), "roots")
-    top = levels(roots.select("tree", "idx", "hash"))
-    nodes = nodes.unionByName(roots.select("tree", F.lit(0).alias("level"), "idx", "hash")).unionByName(top)
+    nodes = nodes.unionByName(levels(roots.select("tree", F.lit(0).alias("level"), "idx", "hash", "n")))
 
     start, end = F.col("start"), F.col("start") + F.col("n")
     part = F.explode(F.sequence(F.floor(start / PART), F.floor((end - 1) / PART))).alias("part")
@@ -215,7 +208,7 @@ def prove(
     spans = written(spans.crossJoin(n_trees).select("part", "tree", "n", "top", "n_trees", low.alias("low"), high.alias("high")), "spans")
 
     asked = written(spans.groupBy("part").applyInArrow(missing, ASKED), "asked-nodes")
-    got = asked.join(nodes, ["tree", "level", "idx"])
+    got = asked.join(nodes.drop("n"), ["tree", "level", "idx"])
     known = spans.unionByName(got, allowMissingColumns=True)
     id_type = dict(placed.dtypes)["doc_id"]
     schema = f"doc_id {id_type}, leaf string, {PROVED}" + (", proof array<struct<left: string, right: string>>" if with_proofs else "")
