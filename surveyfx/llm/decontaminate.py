@@ -8,7 +8,7 @@ item, if shorter) agrees in at least `AGREE` of its places: substitutions are al
 A document's share of the work is its own tokens. Benchmark hashes go to every task if they are few (counted first) and are joined by shuffle if
 not; the same holds for hits. Tokens are runs of letters and digits in lower case. Items of fewer tokens than a window find nothing, as do null
 and empty texts; repeated rows are found alike. Items are told apart by id: of rows that repeat an item id each is compared, and
-items without an id find nothing.
+items without an id find nothing. Other columns are not read, whatever their names, and `decontaminate` passes all columns through.
 """
 
 from __future__ import annotations
@@ -35,14 +35,15 @@ def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column) -> Column:
-    """Hashes of the windows of hashed tokens under each mask: window by window, mask by mask."""
+def seeds(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, seed): hashes under each mask of the windows of `hashed`, a column of hashed tokens; `pos` is a window's first token.
 
-    def window(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(m), *[F.get(words, i + F.lit(o)) for o in mask]) for m, mask in enumerate(MASKS)])
-
-    starts = F.sequence(F.lit(0), F.size(words) - SPAN)
-    return F.when(F.size(words) >= SPAN, F.flatten(F.transform(starts, window)))
+    Windows are laid side by side and become rows before anything is hashed, so that hashing is compiled code and no lambda.
+    """
+    beside = F.arrays_zip(*[F.slice("hashed", F.lit(o + 1), F.size("hashed")) for o in range(SPAN)])
+    rows = df.filter(F.size("hashed") >= SPAN).select(*keys, F.posexplode(beside).alias("pos", "w")).filter(F.col("w")[str(SPAN - 1)].isNotNull())
+    masked = [F.xxhash64(F.lit(m), *[F.col("w")[str(o)] for o in mask]) for m, mask in enumerate(MASKS)]
+    return rows.select(*keys, "pos", F.explode(F.array(*masked)).alias("seed"))
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -53,14 +54,13 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """One row for each document row and item that overlap: key1, key2 (the row's key), doc, item, n_words, compared, n_equal, at (first token)."""
     tests = written(items.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{item_text}`")).alias("test")).distinct(), "benchmark-tokens")
-    at = F.col("pos")
-    probe = tests.select("item", hashed(F.col("test")).alias("hashed")).select("item", F.posexplode(seeds(F.col("hashed"))).alias("pos", "seed")).select("item", F.floor(at / len(MASKS)).alias("there"), "seed")
+    probe = seeds(tests.select("item", hashed(F.col("test")).alias("hashed")), "item").withColumnRenamed("pos", "there")
     seeded = sized(written(probe.distinct(), "benchmark-seeds"))
     keyed = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"), *[k.alias(f"key{i}") for i, k in enumerate(row_key(doc, text), 1)])
     # the text itself is not carried along its windows
     split = keyed.select("key1", "key2", hashed(tokens(F.col("text"))).alias("hashed"))
-    found = split.select("key1", "key2", F.posexplode(seeds(F.col("hashed"))).alias("pos", "seed")).join(seeded, "seed")
-    places = found.select("key1", "key2", "item", (F.floor(at / len(MASKS)) - F.col("there")).cast("int").alias("shift"))
+    found = seeds(split, "key1", "key2").join(seeded, "seed")
+    places = found.select("key1", "key2", "item", (F.col("pos") - F.col("there")).alias("shift"))
     hits = written(places.distinct(), "benchmark-hits")
     rows = keyed.join(sized(hits), ["key1", "key2"]).select("key1", "key2", "doc", "item", "shift", tokens(F.col("text")).alias("words"))
     # the document's tokens beside the item, as far as the document goes; an argument of a higher-order function is evaluated once, a lambda's body each time
@@ -87,6 +87,7 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
     """The documents that overlap with no item."""
-    bad = sized(written(overlaps(docs, items, text=text, doc=doc, **options).select("key1", "key2").distinct(), "contaminated"))
+    found = overlaps(docs, items, text=text, doc=doc, **options).select(F.col("key1").alias("__key1"), F.col("key2").alias("__key2"))
+    bad = sized(written(found.distinct(), "contaminated"))
     k1, k2 = row_key(doc, text)
-    return docs.select("*", k1.alias("key1"), k2.alias("key2")).join(bad, ["key1", "key2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("*", k1.alias("__key1"), k2.alias("__key2")).join(bad, ["__key1", "__key2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
