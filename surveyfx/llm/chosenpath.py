@@ -3,14 +3,18 @@
 A document's set holds its distinct n-word shingles (64-bit hashes); documents of equal sets form a class, and everything below works on classes.
 A class keeps `SIGNATURE` minwise tokens: for each of so many hash orders the first shingle of its set.
 
-Trees. A tree branches classes by selected minwise tokens: the root selects two of the orders, and classes with the same first shingle in a selected
+Trees. A tree branches classes by selected minwise tokens: a node selects two of the orders, and classes with the same first shingle in a selected
 order share a child node. A pair of similarity s stays together in a child with probability s, so a node of two or more children loses a similar pair
-seldom, and independent trees make up for what one loses (`survival` gives the chance).
+seldom, and independent trees make up for what one loses (`survival` gives the chance). The first two levels, too wide to compare, are grown at once.
 
-Nodes. A node of few classes is compared exhaustively: the overlaps of all its sets are counted exactly on the full sets, and a spanning forest of the
-pairs that meet the threshold is reported, never all pairs. A larger node branches further; its classes are also dealt into blocks that are compared, so
-that a large group of near copies soon hangs together. Links join classes to components after each level, and a node within one component is
-finished: what it could still link is linked already. A node that is still large and mixed at the last depth is compared exhaustively, block by block.
+Nodes. A node of few classes is compared exhaustively: every pair of its classes is compared by sketches of their minwise tokens, and of the pairs that
+may meet the threshold all, where they are few, and otherwise a spanning forest, the likeliest first, are checked on the full sets. Nodes of which only
+a forest was checked wait until the trees have ended: most hang together by then. In those that do not, the pairs between components are checked, or,
+where they are many, the overlaps of all sets of the node are counted exactly and a forest of the true links is reported. So all pairs are compared,
+but never emitted. Several blocks of classes are compared pair of blocks by pair of blocks. A larger node branches further; its classes are also dealt into
+blocks that are compared, so that a large group of near copies soon hangs together. Links join classes to components after each level, and a node within one component is
+finished: what it could still link is linked already. A node that is still large and mixed at the last depth is compared block by block, each pair of
+blocks. `sketch_loss` gives the chance that a sketch hides a similar pair.
 
 Words are maximal runs of bytes other than ASCII white space, with A-Z in lower case. A text of fewer than n words is one shingle, the whole sequence;
 null texts and texts without words have the empty set, no links, and are kept. Repeated rows keep their rows. A null id counts as no id: a component is
@@ -21,22 +25,30 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.llm.common import tasks_for, written
+from surveyfx.llm.common import row_key, tasks_for, written
 from surveyfx.llm.jaccard import class_of, components, texts_to_sets
 
 N, PERCENT = 5, 85
 #: Minwise tokens of a class; trees that are grown together, one after the other.
-SIGNATURE, BATCHES = 48, ((0,), (1, 2), (3, 4, 5, 6, 7))
+SIGNATURE, BATCHES = 48, ((0,), (1, 2, 3, 4))
 #: Children of a node down to `WIDE` and below it; depth at which what is left is compared in full.
 WIDE, CHILDREN, DEEP_CHILDREN, DEPTH = 3, 2.0, 1.3, 12
-#: Classes and shingles of a node that is compared exhaustively, and shingles of a comparing task.
-NODE_CLASSES, NODE_TOKENS, TASK_TOKENS = 1000, 1_000_000, 4_000_000
+#: Classes and shingles of a block, and blocks of a node that is compared exhaustively rather than branched.
+NODE_CLASSES, NODE_TOKENS, PAIR_BLOCKS = 700, 2_000_000, 16
+#: Members or shingles of a comparing task; pairs a class that are checked one by one.
+TASK_MEMBERS, TASK_TOKENS, FEW = 100_000, 4_000_000, 4
+#: Rows up to which the classes whose texts are wanted are broadcast; beyond, the same join is shuffled.
+BROADCAST_ROWS = 500_000
+#: Largest chance that a sketch may hide a pair just at the threshold.
+SKETCH_LOSS = 1e-6
 ORDERS = [(np.uint64((k * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) % (1 << 64) | 1), np.uint64((k * 0xA0761D6478BD642F + 0x8EBC6AF09C88C6E3) % (1 << 64))) for k in range(1, SIGNATURE + 1)]
 
 
@@ -50,64 +62,76 @@ def survival(similarity: float, depth: int, trees: int) -> float:
     return 1 - lost**trees
 
 
+def sketch_loss(similarity: float, least: int) -> float:
+    """Chance that fewer than `least` of the minwise tokens of a pair of this similarity are equal."""
+    return sum(comb(SIGNATURE, k) * similarity**k * (1 - similarity) ** (SIGNATURE - k) for k in range(least))
+
+
+def least_equal(percent: int) -> int:
+    """Equal minwise tokens from which a pair may meet the threshold."""
+    return max(k for k in range(SIGNATURE) if sketch_loss(percent / 100, k) <= SKETCH_LOSS)
+
+
 def minwise(sets: Sequence[np.ndarray]) -> np.ndarray:
-    """(sets, SIGNATURE) first tokens of non-empty sets."""
+    """(sets, SIGNATURE) 32 bits of the first tokens of non-empty sets."""
     u = np.concatenate(sets)
     start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), SIGNATURE), dtype=np.uint64)
+    out = np.empty((len(sets), SIGNATURE), dtype=np.uint32)
     with np.errstate(over="ignore"):
         for k, (a, b) in enumerate(ORDERS):
             # an odd factor and a fold order the tokens anew without making two of them equal
             h = (u + b) * a
             h ^= h >> np.uint64(32)
-            out[:, k] = np.minimum.reduceat(h * a, start)
+            first = np.minimum.reduceat(h * a, start)
+            out[:, k] = (first ^ (first >> np.uint64(32))).astype(np.uint32)
     return out
 
 
-DESCRIBED = "doc_id long, n int, cid long, signature array<long>, shingles binary"
+DESCRIBED = "key long, doc_id long, n int, cid long, minwise binary, sketch binary"
 
 
 def described(rows: DataFrame, n: int) -> DataFrame:
-    """One row a document; the first document of a class within a task carries its signature and its set."""
+    """One row a document; the first document of a class within a task carries its minwise tokens."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
 
-        def out(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def out(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
             classes = [class_of(u) if len(u) else None for u in sets]
             new = []
             for k, cid in enumerate(classes):
                 if cid is not None and cid not in known:
                     known.add(cid)
                     new.append(k)
-            signature = dict(zip(new, minwise([sets[k] for k in new]).view(np.int64))) if new else {}
-            columns = [
-                ids, pa.array([len(u) for u in sets], pa.int32()), pa.array(classes, pa.int64()), pa.array([signature.get(k) for k in range(len(sets))], pa.list_(pa.int64())),
-                pa.array([sets[k].tobytes() if k in signature else None for k in range(len(sets))], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cid", "signature", "shingles"])
+            tokens = dict(zip(new, minwise([sets[k] for k in new]))) if new else {}
+            blobs = [[tokens[k].astype(kind).tobytes() if k in tokens else None for k in range(len(sets))] for kind in (np.uint32, np.uint8)]
+            columns = [part.column(0), part.column(1), pa.array([len(u) for u in sets], pa.int32()), pa.array(classes, pa.int64()), *[pa.array(b, pa.binary()) for b in blobs]]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "n", "cid", "minwise", "sketch"])
 
         for batch in batches:
             held, size, at = [], 0, 0
-            for k, u in texts_to_sets(batch, 1, n):
+            for k, u in texts_to_sets(batch, 2, n):
                 held.append(u)
                 size += len(u)
                 if size > 200_000:
-                    yield out(batch.column(0).slice(at, len(held)), held)
+                    yield out(batch.slice(at, len(held)), held)
                     held, size, at = [], 0, k + 1
             if held:
-                yield out(batch.column(0).slice(at, len(held)), held)
+                yield out(batch.slice(at, len(held)), held)
 
     return written(rows.mapInArrow(task, DESCRIBED), "described")
 
 
 def child(node: Column, order: Column) -> Column:
-    return F.xxhash64(node, order, F.element_at("signature", order + 1))
+    return F.xxhash64(node, order, F.substring("minwise", 4 * order + 1, F.lit(4)))
 
 
 def roots(signatures: DataFrame, trees: Sequence[int]) -> DataFrame:
-    """(node, cid, n): the nodes one level down; the trees' first orders differ."""
-    nodes = [child(F.lit(t), F.lit((2 * t + k) % SIGNATURE)) for t in trees for k in (0, 1)]
+    """(node, cid, n): the nodes two levels down, of orders that differ between the trees."""
+    first = 2 * sum(map(len, BATCHES))
+    nodes = [
+        child(child(F.lit(t), F.lit((2 * t + k) % SIGNATURE)), F.lit((first + 4 * t + 2 * k + j) % SIGNATURE)) for t in trees for k in (0, 1) for j in (0, 1)
+    ]
     return signatures.select(F.explode(F.array(*nodes)).alias("node"), "cid", "n")
 
 
@@ -118,7 +142,7 @@ def branches(large: DataFrame, signatures: DataFrame, depth: int) -> DataFrame:
     children = CHILDREN if depth < WIDE else DEEP_CHILDREN
     both = F.pmod(F.xxhash64("node", F.lit(depth), F.lit("both")), F.lit(1000)) < int(1000 * (children - 1))
     orders = F.when(both, F.array(first, second)).otherwise(F.array(first))
-    rows = large.select("node", "cid", "n").join(signatures.select("cid", "signature"), "cid")
+    rows = large.select("node", "cid", "n").join(signatures.select("cid", "minwise"), "cid")
     return rows.withColumn("order", F.explode(orders)).select(child(F.col("node"), F.col("order")).alias("node"), "cid", "n")
 
 
@@ -152,108 +176,222 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def forest(similar: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that hold each connected part of the graph together."""
-    out, new = [], np.ones(len(similar), dtype=bool)
-    for root in range(len(similar)):
-        if not new[root]:
-            continue
-        new[root] = False
-        waiting = [root]
-        while waiting:
-            i = waiting.pop()
-            near = np.flatnonzero(similar[i] & new)
-            new[near] = False
-            out += [(i, j) for j in near.tolist()]
-            waiting += near.tolist()
+def forest(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph, the heaviest where there is a choice; a negative weight is no edge."""
+    m = len(weight)
+    out, best, by, new = [], np.full(m, -1.0), np.full(m, -1), np.ones(m, dtype=bool)
+    for _ in range(m):
+        i = int(np.argmax(np.where(new, best, -2.0)))
+        new[i] = False
+        if best[i] >= 0:
+            out.append((int(by[i]), i))
+        better = new & (weight[i] > best)
+        best[better], by[better] = weight[i][better], i
     return out
 
 
-def compared(members: DataFrame, shingles: DataFrame, tokens: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different components within each `cell`, from the full sets, as a written table."""
+PAIRS = "cell long, a long, b long"
+
+
+def values(column: pa.Array) -> list:
+    """Python values of a column, lists as arrays."""
+    return [x.values.to_numpy() for x in column] if pa.types.is_list(column.type) else column.to_pylist()
 
-    def links(cids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        if len(cids) < 2 or (comps == comps[0]).all():
-            return []
-        size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        similar = (100 * both >= percent * (size[:, None] + size[None, :] - both)) | (comps[:, None] == comps[None, :])
-        np.fill_diagonal(similar, False)
-        return [(int(cids[i]), int(cids[j])) for i, j in forest(similar) if comps[i] != comps[j]]
+
+def by_cell(members: DataFrame, columns: Sequence[str], tasks: int, pairs_of) -> DataFrame:
+    """Apply `pairs_of` to the members of each cell, one cell in memory at a time; (cell, a, b) as a written table."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, cids, comps, sets = None, [], [], []
+        cell, held = None, []
 
         def finish() -> pa.RecordBatch:
-            found = links(np.array(cids, np.int64), np.array(comps, np.int64), sets)
+            found = pairs_of(*zip(*held)) if len(held) > 1 else []
             a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([cell] * len(found), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cell", "a", "b"])
 
         for batch in batches:
-            for name, cid, comp, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for name, *member in zip(*map(values, batch.columns)):
                 if name != cell:
-                    if len(cids) > 1:
-                        yield finish()
-                    cell, cids, comps, sets = name, [], [], []
-                cids.append(cid)
-                comps.append(comp)
-                sets.append(np.frombuffer(blob.as_py(), np.uint64))
-        if len(cids) > 1:
-            yield finish()
+                    yield finish()
+                    cell, held = name, []
+                held.append(member)
+        yield finish()
+
+    rows = members.select("cell", *columns).repartition(tasks, "cell").sortWithinPartitions("cell")
+    return written(rows.mapInArrow(task, PAIRS), "pairs")
 
-    rows = members.join(shingles, "cid").select("cell", "cid", "comp", "shingles")
-    rows = rows.repartition(tasks_for(members, tokens, TASK_TOKENS), "cell").sortWithinPartitions("cell")
-    return written(rows.mapInArrow(task, "a long, b long"), "links")
+
+def likely(percent: int, last: bool):
+    """Pairs of different components in a cell that may be similar by their sketches and sizes: all where they are few, or a forest of them.
+
+    A pair of nulls says that there are more; with `last`, it comes instead of the forest.
+    """
+    least = least_equal(percent)
+
+    def pairs_of(cids: Sequence[int], comps: Sequence[int], sizes: Sequence[int], sketches: Sequence[bytes]) -> list[tuple]:
+        m = len(cids)
+        comp, n = np.array(comps), np.array(sizes)
+        same = comp[:, None] == comp[None, :]
+        if same.all():
+            return []
+        equal = np.zeros((m, m), dtype=np.uint8)
+        for row in np.stack([np.frombuffer(x, np.uint8) for x in sketches], axis=1):
+            equal += (row[:, None] == row[None, :]).view(np.uint8)
+        maybe = (equal >= least) & ~same
+        shortest = -(-percent * n // 100)
+        maybe &= (n[:, None] >= shortest[None, :]) & (n[None, :] >= shortest[:, None])
+        total = int(maybe.sum()) // 2
+        if total <= FEW * m:
+            return [(cids[i], cids[j]) for i, j in zip(*np.nonzero(np.triu(maybe)))]
+        if last:
+            return [(None, None)]
+        weight = np.where(maybe, equal.astype(np.int16), -1)
+        weight[same] = SIGNATURE + 1
+        return [*((cids[i], cids[j]) for i, j in forest(weight) if comp[i] != comp[j]), (None, None)]
+
+    return pairs_of
+
+
+def exact(percent: int):
+    """A forest of the links between different components in a cell, from the full sets."""
+
+    def pairs_of(cids: Sequence[int], comps: Sequence[int], sets: Sequence[np.ndarray]) -> list[tuple]:
+        comp = np.array(comps)
+        same = comp[:, None] == comp[None, :]
+        if same.all():
+            return []
+        size = np.array([len(s) for s in sets])
+        both = overlaps(sets)
+        similar = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        return [(cids[i], cids[j]) for i, j in forest(np.where(same, 2, np.where(similar, 1, -1))) if comp[i] != comp[j]]
+
+    return pairs_of
 
 
 def cells(mixed_nodes: DataFrame, last: bool) -> DataFrame:
-    """Members by the cell in which they are compared: the node, a block of a large one, or, at the last depth, each pair of its blocks."""
+    """Members by the cell in which they are compared: a pair of the node's blocks, or one block of a node that branches further."""
     block = F.pmod(F.xxhash64("cid", "node"), F.col("blocks"))
-    if not last:
-        return mixed_nodes.withColumn("cell", F.xxhash64("node", block))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = mixed_nodes.withColumn("block", block).withColumn("other", other)
+    whole = F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS)
+    other = F.when(whole, F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.col("block").cast("int")))
+    pairs = mixed_nodes.withColumn("block", block).withColumn("other", F.explode(other))
     return pairs.withColumn("cell", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
 
 
-def link_classes(signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+class Linker:
+    """Links found so far and the components they make."""
+
+    def __init__(self, texts: DataFrame, signatures: DataFrame, n: int, percent: int):
+        self.texts, self.signatures, self.n, self.percent = texts, signatures, n, percent
+        self.links: DataFrame | None = None
+        self.comps: DataFrame | None = None
+        self.tried: DataFrame | None = None
+
+    def with_comp(self, rows: DataFrame) -> DataFrame:
+        if self.comps is None:
+            return rows.withColumn("comp", F.col("cid"))
+        return rows.join(self.comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cid, shingles) of the wanted classes, each once."""
+        n = self.n
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, u in texts_to_sets(batch, 1, n):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([u.view(np.int64)], pa.list_(pa.int64()))], names=["cid", "shingles"])
+
+        wanted = written(self.signatures.select("cid", "key").join(wanted.distinct(), "cid", "left_semi"), "wanted")
+        few = wanted.count() <= BROADCAST_ROWS
+        # one text a class, also where its row is repeated
+        texts = self.texts.join(F.broadcast(wanted) if few else wanted, "key").groupBy("cid").agg(F.min("text").alias("text"))
+        return written(texts.mapInArrow(task, "cid long, shingles array<long>"), "wanted-sets")
+
+    def add(self, found: DataFrame) -> None:
+        if not found.isEmpty():
+            self.links = found if self.links is None else written(self.links.unionByName(found), "links")
+            self.comps = components(self.links)
+
+    def check(self, pairs: DataFrame) -> None:
+        """Verify pairs on the full sets, each once."""
+        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        new = pairs.filter("a is not null").select(low, high).distinct()
+        new = written(new if self.tried is None else new.join(self.tried, ["a", "b"], "left_anti"), "new-pairs")
+        if new.isEmpty():
+            return
+        self.tried = new if self.tried is None else self.tried.unionByName(new)
+        sets = self.sets(new.select(F.explode(F.array("a", "b")).alias("cid")))
+        left, right = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+        # a row at a time, so that long sets never pile up in a batch
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        similar = both * 100 >= (F.size("a_set") + F.size("b_set") - both) * self.percent
+        self.add(written(new.join(right, "b").join(left, "a").filter(similar).select("a", "b"), "similar-pairs"))
+
+    def compare(self, members: DataFrame, size: int, last: bool = False) -> DataFrame:
+        """Find links within the cells of `members` (cell, cid, n); returns the cells with more pairs than were checked."""
+        rows = self.with_comp(members.join(self.signatures.select("cid", "sketch"), "cid"))
+        pairs = by_cell(rows, ("cid", "comp", "n", "sketch"), tasks_for(members, size, TASK_MEMBERS), likely(self.percent, last))
+        self.check(pairs)
+        return written(pairs.filter("a is null").select("cell"), "dense-cells")
+
+    def finish(self, waiting: list[tuple[DataFrame, bool, DataFrame]]) -> None:
+        """Settle the cells of which only a forest was checked and which still hold several components."""
+        parts = []
+        for members, last, dense in waiting:
+            # most nodes hang together by now; only the others are laid out in cells again
+            comps = self.with_comp(members).groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+            here = members.join(comps.filter("low <> high").select("node"), "node", "left_semi")
+            parts.append(cells(here, last).select("cell", "cid", "n").join(dense, "cell", "left_semi"))
+        if not parts:
+            return
+        dense = written(reduce(DataFrame.unionByName, parts), "dense-members")
+        rows = self.with_comp(dense)
+        mixed = rows.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell")
+        members = written(dense.join(mixed, "cell", "left_semi"), "mixed-members")
+        if (size := members.count()) == 0:
+            return
+        dense = self.compare(members, size, last=True)
+        if dense.isEmpty():
+            return
+        members = members.join(dense, "cell", "left_semi")
+        tokens = members.agg(F.sum("n")).first()[0]
+        rows = self.with_comp(members.join(self.sets(members.select("cid")), "cid"))
+        self.add(by_cell(rows, ("cid", "comp", "shingles"), tasks_for(members, tokens, TASK_TOKENS), exact(self.percent)).select("a", "b"))
+
+
+def link_classes(signatures: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame | None:
     """(cid, comp) of all classes that are similar to another; None where none is."""
-    every = [t for batch in BATCHES for t in batch]
-    candidates = roots(signatures, every).groupBy("node").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("node")
-    candidates = roots(signatures, every).join(candidates, "node", "left_semi").select("cid").distinct()
-    # one row a class: the set that some task wrote first
-    shingles = written(sets.join(candidates, "cid", "left_semi").dropDuplicates(["cid"]), "candidate-sets")
-    links, comps = None, None
+    linker, waiting = Linker(texts, signatures, n, percent), []
     for batch in BATCHES:
-        frontier, depth = roots(signatures, batch), 1
+        frontier, depth = roots(signatures, batch), 2
         while True:
-            rows = frontier.withColumn("comp", F.col("cid")) if comps is None else frontier.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            rows = linker.with_comp(frontier)
             stats = rows.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
             blocks = F.greatest(F.ceil(F.col("m") / NODE_CLASSES), F.ceil(F.col("tokens") / NODE_TOKENS)).alias("blocks")
             nodes = written(stats.select("node", blocks), "mixed-nodes")
-            mixed_rows = written(rows.join(nodes, "node"), "mixed-members")
-            total = mixed_rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.max("blocks"), F.lit(0)).alias("blocks")).first()
-            if not total["blocks"]:
-                break
+            members = written(rows.join(nodes, "node").drop("comp"), "mixed-members")
             last = depth == DEPTH
-            found = compared(cells(mixed_rows, last), shingles, total["tokens"] * (total["blocks"] if last else 1), percent)
-            if not found.isEmpty():
-                links = found if links is None else written(links.unionByName(found), "all-links")
-                comps = components(links)
-            if last or total["blocks"] == 1:
+            copies = F.when(F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS), F.col("blocks")).otherwise(1)
+            total = members.agg(F.sum(copies).alias("size"), F.max("blocks").alias("blocks")).first()
+            if not total["size"]:
+                break
+            dense = linker.compare(cells(members, last).select("cell", "cid", "n"), total["size"])
+            if not dense.isEmpty():
+                waiting.append((members, last, dense))
+            if last or total["blocks"] <= PAIR_BLOCKS:
                 break
-            frontier = written(branches(mixed_rows.filter("blocks > 1"), signatures, depth), "children")
+            frontier = written(branches(members.filter(F.col("blocks") > PAIR_BLOCKS), signatures, depth), "children")
             depth += 1
-    return comps
+    linker.finish(waiting)
+    return linker.comps
 
 
 def near_copies(df: DataFrame, text: str = "text", doc: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row `doc_id`, `n_shingles`, `component_id` (smallest id reachable over links, its own included) and `kept`."""
-    rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(row_key(doc, text)[0].alias("key"), F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     all_rows = described(rows, n)
-    docs, classes = all_rows.select("doc_id", "n", "cid"), all_rows.filter("shingles is not null")
-    signatures = written(classes.groupBy("cid").agg(F.min("n").alias("n"), F.first("signature").alias("signature")), "signatures")
-    comps = link_classes(signatures, classes.select("cid", "shingles"), percent)
+    docs, classes = all_rows.select("doc_id", "n", "cid"), all_rows.filter("minwise is not null")
+    signatures = written(classes.groupBy("cid").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.min("minwise").alias("minwise"), F.min("sketch").alias("sketch")), "signatures")
+    comps = link_classes(signatures, rows.select("key", "text"), n, percent)
     # one row a class before anything is joined to it
     named = docs.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     if comps is not None:

@@ -61,9 +61,10 @@ def found(df, **how):
     return sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["kept"]) for r in chosenpath.near_copies(df, **how).collect())
 
 
-@pytest.mark.parametrize("node_classes, depth", [(1000, 12), (6, 12), (4, 2)])
-def test_near_copies_whatever_the_node_size(spark, monkeypatch, node_classes, depth):
+@pytest.mark.parametrize("node_classes, pair_blocks, depth", [(700, 16, 12), (6, 16, 12), (6, 2, 12), (4, 1, 3)])
+def test_near_copies_whatever_the_node_size(spark, monkeypatch, node_classes, pair_blocks, depth):
     monkeypatch.setattr(chosenpath, "NODE_CLASSES", node_classes)
+    monkeypatch.setattr(chosenpath, "PAIR_BLOCKS", pair_blocks)
     monkeypatch.setattr(chosenpath, "DEPTH", depth)
     rng = random.Random(5)
     rows = []
