@@ -57,8 +57,11 @@ def remove_boilerplate(df: DataFrame, text: str = "text", site: str = "source",
     gone = written(lines.join(common, ["h1", "h2"], "left_semi").groupBy("__key1", "__key2").agg(F.collect_set("place").alias("__gone")), "removed-lines")
     size = gone.agg(F.coalesce(F.sum(F.size("__gone") + 4), F.lit(0)).alias("n")).first()["n"]
     marked = keyed.join(F.broadcast(gone) if size <= BROADCAST_LINES else gone, ["__key1", "__key2"], "left")
-    parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    # the lines that stay, by set difference of places: linear in the lines of a text
+    marked = marked.withColumn("__parts", F.split(F.col(f"`{text}`"), "\n", -1))
+    parts = F.col("__parts")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n")
     removed = F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long")
     n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts)).cast("long")
     return marked.select(*[F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_lines", "n_removed")], n_lines.alias("n_lines"), removed.alias("n_removed"))
