@@ -14,7 +14,7 @@ A document's set holds its distinct n-word shingles (64-bit hashes). Documents o
 
 Words are maximal runs of bytes other than ASCII white space, with A-Z in lower case. A text of fewer than n words is one shingle, the whole sequence;
 null texts and texts without words have the empty set and no links. Repeated rows keep their rows. A null id counts as no id: a component is named by the
-smallest id in it. Other columns pass through; `n_shingles` and `component_id` replace columns of these names.
+smallest id in it. Other columns are not read, whatever their names; a row comes out as its key, `doc_id`, `n_shingles` and `component_id`.
 """
 
 from __future__ import annotations
@@ -185,22 +185,30 @@ def count_bucket(buckets: int, parts: int):
         raw = b"".join(x.as_py() for x in table.column("tokens"))
         of = np.repeat(np.arange(len(d)), d["count"])
         if bucket >= buckets:
-            token, df = np.frombuffer(raw, np.int64), np.full(len(of), COMMON_DF, np.int64)
-            keep = np.arange(len(of))
+            token, df, keep = np.frombuffer(raw, np.int64), np.full(len(of), COMMON_DF, np.int64), slice(None)
         else:
+            # token and place in one word each, sorted where they lie
             wide = np.zeros((len(of), 8), np.uint8)
-            wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-            token = wide.view(np.int64).ravel() | bucket << 40
-            order = np.lexsort((d["cid"][of], token))
-            t, c = token[order], d["cid"][of][order]
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-            order, t = order[new], t[new]
-            start = np.concatenate([[True], t[1:] != t[:-1]])
-            group = np.cumsum(start) - 1
-            df = np.bincount(group)[group]
-            keep, df = order[df > 1], df[df > 1]
-            token = token[keep]
-        e = np.zeros(len(keep), dtype=ENTRY)
+            wide[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            both = wide.view(np.uint64).ravel()
+            _, same = np.unique(d["cid"], return_inverse=True)
+            if len(d) >= 1 << 24:
+                raise ValueError("a token bucket holds too many blocks; make BUCKET_TOKENS smaller")
+            both |= same.astype(np.uint64)[of]
+            del raw, of
+            both.sort()
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])]  # copies of a class that several tasks packed
+            start = np.flatnonzero(np.concatenate([[True], (both[1:] ^ both[:-1]) >> np.uint64(24) != 0]))
+            times = np.diff(np.append(start, len(both)))
+            keep = np.repeat(times > 1, times)
+            df = np.repeat(times[times > 1], times[times > 1])
+            both = both[keep]
+            token = (both >> np.uint64(24)).view(np.int64) | bucket << 40
+            # one entry of the class will do: they say the same
+            any_of = np.zeros(int(same.max(initial=-1)) + 1, np.int64)
+            any_of[same] = np.arange(len(d))
+            of, keep = any_of[(both & np.uint64((1 << 24) - 1)).astype(np.int64)], slice(None)
+        e = np.zeros(len(token), dtype=ENTRY)
         for f in ("cid", "n", "rare"):
             e[f] = d[f][of[keep]]
         e["token"], e["df"] = token, df
@@ -267,8 +275,9 @@ def blobs(rows: DataFrame, sets: DataFrame, index: DataFrame, n: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["cid", "shingles"])
 
     few = wanted.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "key").select("cid", "text")
-    return written(texts.mapInArrow(task, "cid long, shingles binary").dropDuplicates(["cid"]) if not few else texts.mapInArrow(task, "cid long, shingles binary"), "candidate-shingles")
+    # one text a class, also where its row is repeated
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "key").groupBy("cid").agg(F.min("text").alias("text"))
+    return written(texts.mapInArrow(task, "cid long, shingles binary"), "candidate-shingles")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
