@@ -24,7 +24,7 @@ from surveyfx.llm.common import without
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN_PATTERN = re.compile(rf"[{LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{LATIN}0-9]+")
 #: Texts whose words are looked up together, and distinct words whose ids a worker remembers; beyond, it starts anew.
-GROUP, CACHE_WORDS = 64, 400_000
+GROUP, CACHE_WORDS = 16, 400_000
 
 
 class WordEncoder:
@@ -41,8 +41,8 @@ class WordEncoder:
 
     def words(self, text: str) -> list[str]:
         # letter by letter: a final capital sigma gets no form of its own
-        low = text.replace("Σ", "σ").lower()
-        if not OTHER.search(low):
+        low = text.lower() if (plain := text.isascii()) else text.replace("Σ", "σ").lower()
+        if plain or not OTHER.search(low):
             return PLAIN_PATTERN.findall(low)
         return PATTERN.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
@@ -54,6 +54,10 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split, cache = [self.pieces(t) for t in texts], self.cache
+        try:
+            return [b"".join(map(cache.__getitem__, words)) for words in split]
+        except KeyError:  # a word that is new to this worker
+            pass
         new = list({w for words in split for w in words if w not in cache})
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
