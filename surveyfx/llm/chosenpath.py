@@ -277,6 +277,31 @@ def cells(mixed_nodes: DataFrame, last: bool) -> DataFrame:
     return pairs.withColumn("cell", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
 
 
+def cells_of_nodes(nodes: DataFrame, last: bool) -> DataFrame:
+    """(node, cell): the same cells, from the nodes alone."""
+    whole = F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS)
+    rows = nodes.select("node", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("a"))
+    rows = rows.select("node", "a", F.explode(F.when(whole, F.sequence("a", F.col("blocks") - 1)).otherwise(F.array("a"))).alias("b"))
+    return rows.select("node", F.xxhash64("node", "a", "b").alias("cell"))
+
+
+def cells_by_component(rows: DataFrame, last: bool) -> DataFrame:
+    """Members (node, cid, n, comp, blocks) by cell, once components are known.
+
+    Classes of a node's largest component need not meet each other: each stands in one block, and only the others are laid out beside every block.
+    Where the others are many, all blocks meet in pairs as before.
+    """
+    counts = rows.groupBy("node", "comp").agg(F.count("*").alias("here")).groupBy("node").agg(F.max(F.struct("here", "comp")).alias("main"), F.sum("here").alias("m"))
+    mixed = counts.filter("m > main.here").select("node", F.col("main.comp").alias("main"), (F.col("m") - F.col("main.here")).alias("others"))
+    rows = written(rows.join(mixed, "node"), "open-members")
+    many = F.col("others") > NODE_CLASSES
+    whole = F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS)
+    block = F.pmod(F.xxhash64("cid", "node"), F.col("blocks"))
+    beside = F.when(whole & (F.col("comp") != F.col("main")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
+    few = rows.filter(~many).select("node", "cid", "n", F.explode(beside).alias("block")).select(F.xxhash64("node", "block", F.lit("main")).alias("cell"), "cid", "n")
+    return few.unionByName(cells(rows.filter(many), last).select("cell", "cid", "n"))
+
+
 class Linker:
     """Links found so far and the components they make."""
 
@@ -333,14 +358,12 @@ class Linker:
         self.check(pairs)
         return written(pairs.filter("a is null").select("cell"), "dense-cells")
 
-    def finish(self, waiting: list[tuple[DataFrame, bool, DataFrame]]) -> None:
-        """Settle the cells of which only a forest was checked and which still hold several components."""
+    def finish(self, waiting: list[tuple[DataFrame, DataFrame, bool, DataFrame]]) -> None:
+        """Settle the nodes in which only a forest of some cell was checked and which still hold several components."""
         parts = []
-        for members, last, dense in waiting:
-            # most nodes hang together by now; only the others are laid out in cells again
-            comps = self.with_comp(members).groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-            here = members.join(comps.filter("low <> high").select("node"), "node", "left_semi")
-            parts.append(cells(here, last).select("cell", "cid", "n").join(dense, "cell", "left_semi"))
+        for nodes, members, last, dense in waiting:
+            unsettled = cells_of_nodes(nodes, last).join(dense, "cell", "left_semi").select("node").distinct()
+            parts.append(cells_by_component(self.with_comp(members.join(unsettled, "node", "left_semi")), last))
         if not parts:
             return
         dense = written(reduce(DataFrame.unionByName, parts), "dense-members")
@@ -376,7 +399,7 @@ def link_classes(signatures: DataFrame, texts: DataFrame, n: int, percent: int)
                 break
             dense = linker.compare(cells(members, last).select("cell", "cid", "n"), total["size"])
             if not dense.isEmpty():
-                waiting.append((members, last, dense))
+                waiting.append((nodes, members, last, dense))
             if last or total["blocks"] <= PAIR_BLOCKS:
                 break
             frontier = written(branches(members.filter(F.col("blocks") > PAIR_BLOCKS), signatures, depth), "children")
