@@ -7,8 +7,9 @@ over all documents; the first place of a run, by document id and position, is ke
 piece of a longer repeated run lies in one of these within it: the run forth from its first piece, the run back from its last, or the run forth from
 the piece itself. Of a passage that begins or ends within a sentence, the words up to its first and from its last common cut stay.
 
-Only hashes and places are shuffled. First places are found by partial aggregation, and a run that very many documents share is an ordinary skewed
-join key, whose large side Spark splits; one document's runs are what is ever gathered. White space between words does not matter; letters of scripts
+Only hashes and places are shuffled, once: rows lie by run for the first places and for the join with them, and both stream through the sorted rows, so
+that a run that very many documents share (one of a document's many) takes time in its task but no memory; one document's runs are what is ever
+gathered. White space between words does not matter; letters of scripts
 without spaces count as half a word each. Null and empty texts have no runs; texts of fewer words than a run are left alone. A null id sorts before all
 others. Rows that repeat both id and text count as one document; with one id and different texts they are different documents.
 """
@@ -144,16 +145,16 @@ def run_table(df: DataFrame, text: str = "text", doc: str = "doc_id", min_words:
                     texts, at, held = [], k, 0
 
     rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), row_key(doc, text)[0].alias("key"), F.col(f"`{text}`").alias("text"))
-    return written(rows.mapInArrow(task, RUN), "sentence-runs")
+    return rows.mapInArrow(task, RUN)
 
 
 def repeated_runs(df: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
     """The runs that stand elsewhere first: doc_id, key, place, upto, start, end, first_doc_id."""
-    table = run_table(df, text, doc, **options)
-    where = F.struct("doc_id", "key", "place")
+    # one exchange by run serves the first places and the join with them; a struct of all columns keeps it the same for both
+    table = run_table(df, text, doc, **options).repartition("run")
+    where = F.struct("doc_id", "key", "place", "upto", "start", "end")
     # places counted twice, of rows that repeat, go below
-    firsts = table.groupBy("run").agg(F.min(where).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    firsts = written(firsts.select("run", "first"), "first-runs")
+    firsts = table.groupBy("run").agg(F.min(where).alias("first"), F.count("*").alias("times")).filter("times > 1").select("run", "first")
     later = table.join(firsts, "run").filter(~where.eqNullSafe(F.col("first")))
     return later.select("doc_id", "key", "place", "upto", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
 

@@ -178,6 +178,14 @@ def test_every_run_length_counts(spark):
     assert got == want and len(got) == 24
 
 
+def test_runs_are_exchanged_once(spark):
+    passage = " ".join(f"w{n}." if n % 10 == 9 else f"w{n}" for n in range(60))
+    found = substrings.repeated_runs(spark.createDataFrame([(n, passage) for n in range(9)], "doc_id long, text string"))
+    assert {r["doc_id"] for r in found.collect()} == set(range(1, 9))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("MapInArrow") == 1
+
+
 def test_passages_within_long_sentences(spark):
     """Passages embedded in text without marks are covered but for a few words at their ends; other scripts' marks end sentences."""
     rng = random.Random(23)
