@@ -122,6 +122,17 @@ def store(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
+def rename(system: arrow_fs.FileSystem, waiting: str, final: str) -> None:
+    """Give a complete file its name. A repeated task replaces what it wrote before, also where a file system renames onto no existing file."""
+    try:
+        system.move(waiting, final)
+    except OSError:
+        if system.get_file_info(final).type == arrow_fs.FileType.NotFound:
+            raise
+        system.delete_file(final)
+        system.move(waiting, final)
+
+
 def commit(folder: str, name: str, data: bytes) -> None:
     """Write a file under a temporary name, then rename it: readers never meet half a file."""
     system, root = store(folder)
@@ -129,7 +140,7 @@ def commit(folder: str, name: str, data: bytes) -> None:
     waiting = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(waiting) as out:
         out.write(data)
-    system.move(waiting, f"{root}/{name}")
+    rename(system, waiting, f"{root}/{name}")
 
 
 def write_ids(df: DataFrame, folder: str, doc: str = "doc_id", ids: str = "ids", end_id: int | None = None, bits: bool = False, level: int = 3, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:

@@ -103,6 +103,55 @@ def test_archives(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def archive_files(spark, folder):
+    return {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in spark.read.format("binaryFile").load(f"{folder}/files/*.warc.gz").collect()}
+
+
+def test_archives_are_the_same_for_any_partitions(spark):
+    texts = [f"page {n % 90} " * (n % 40) for n in range(400)]
+    rows = [(None if n == 7 else 3 if n < 60 else n * n, f"u{n}", t) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    made = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (3, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            folder = shared_folder(spark, "test-warc")
+            warc.write_warc(df.repartition(n), folder, file_bytes=6000, shard_bytes=9000)
+            made.append(archive_files(spark, folder))
+            got = warc.read_warc(spark, folder).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert made[0] == made[1] and len({name[:12] for name in made[0]}) > 3 and len(made[0]) > len({name[:12] for name in made[0]})
+    # of each payload the largest id is the response, wherever shards begin
+    last = {}
+    for page, _, t in rows:
+        last[t] = max(last.get(t, -1), -1 if page is None else page)
+    by = {r["url"]: r for r in got}
+    assert len(got) == len(by) == len(rows)
+    for page, url, t in rows:
+        if page is not None and page != last[t]:
+            assert (by[url]["record_type"], by[url]["refers_to"]) == ("revisit", last[t])
+    assert sum(r["record_type"] == "response" for r in got) == len(last)
+
+
+def test_only_the_manifest_counts(spark):
+    df = spark.createDataFrame([(n, "u", f"text {n}") for n in range(50)], "page_id long, url string, html string")
+    folder = shared_folder(spark, "test-warc")
+    warc.write_warc(df, folder)
+    files = archive_files(spark, folder)
+    system, root = idfiles.store(f"{folder}/files")
+    with system.open_output_stream(f"{root}/pages-000009-000000.warc.gz") as out:
+        out.write(next(iter(files.values())))
+    assert warc.read_warc(spark, folder).count() == 50
+    with system.open_output_stream(f"{root}/{next(iter(files))}") as out:
+        out.write(next(iter(files.values()))[:-9])
+    with pytest.raises(Exception, match="the manifest says"):
+        warc.read_warc(spark, folder).count()
+
+
 SECRET = "token: abcdEFGH1234"
 
 
