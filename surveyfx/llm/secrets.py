@@ -1,7 +1,7 @@
 """Secrets in texts, also where they hide in encoded layers.
 
 A text is scanned for three kinds of secret. Then a worklist takes it apart: URL escapes and Unicode escapes are undone over the whole layer; runs
-of base64 letters are decoded and, where they turn out compressed, unpacked. Every layer that comes out is scanned in the same way and taken apart in
+of base64 letters, wrapped into lines or not, are decoded (UTF-8 or UTF-16) and, where they turn out compressed, unpacked with all members. Every layer that comes out is scanned in the same way and taken apart in
 turn, until nothing new comes up. A layer that stands at several places is taken apart once and counts at each; only a layer within itself is not
 taken apart again. What is found in a layer is mapped back, layer by layer, to the
 characters of the original text that it came from. Spans count code points, ends are exclusive.
@@ -20,6 +20,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,9 @@ LAYER_BYTES = 1 << 26
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 in lines, as mail and key files wrap it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,128}(?:\r?\n[A-Za-z0-9+/_-]{2,128})+={0,2}(?![A-Za-z0-9+/_=-])")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Where a run decodes to no text: what stands between its separators, all ways to read it.
 PIECES = [re.compile(p) for p in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}", r"[A-Za-z0-9]{16,}={0,2}")]
 SEPARATOR = re.compile(r"[+/_-]")
@@ -67,9 +71,9 @@ def plain_escape(run: str) -> str | None:
     """What a run of escapes stands for; None if it is no text."""
     try:
         if run[0] == "%":
-            return bytes.fromhex(run.replace("%", "")).decode()
+            return bytes.fromhex(run.replace("%", "")).decode(errors="replace")
         if run.startswith("\\x"):
-            return bytes.fromhex(run.replace("\\x", "")).decode()
+            return bytes.fromhex(run.replace("\\x", "")).decode(errors="replace")
         if run.startswith("\\u{"):
             return chr(int(run[3:-1], 16)).encode().decode()
         if run[0] == "\\":
@@ -110,28 +114,42 @@ def unescaped(text: str, pattern: re.Pattern) -> tuple[str, Origin] | None:
 
 
 def unpacked(data: bytes) -> bytes | None:
-    """Compressed bytes in plain; the bytes themselves if they are not compressed; None if the plain layer is too large."""
+    """Compressed bytes in plain, all members; the bytes themselves if they are not compressed; None if the plain layer is too large."""
+    parts, rest, room = [], data, LAYER_BYTES
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            unzip = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            unzip = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            unzip = lzma.LZMADecompressor()
-        else:
-            return data
-        out = unzip.decompress(data, LAYER_BYTES)
-        return out if unzip.eof or len(out) < LAYER_BYTES else None
+        while rest:
+            if rest[:2] == b"\x1f\x8b" or rest[:1] == b"\x78" and len(rest) > 2 and int.from_bytes(rest[:2], "big") % 31 == 0:
+                unzip = zlib.decompressobj(47)
+            elif rest[:3] == b"BZh":
+                unzip = bz2.BZ2Decompressor()
+            elif rest[:6] == b"\xfd7zXZ\x00":
+                unzip = lzma.LZMADecompressor()
+            else:
+                break
+            if room <= 0:
+                return None
+            parts.append(unzip.decompress(rest, room))
+            room -= len(parts[-1])
+            if not unzip.eof and room <= 0:
+                return None
+            rest = unzip.unused_data if unzip.eof else b""
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return data
+        pass
+    return b"".join(parts) if parts else data
 
 
-def printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if UNPRINTABLE.search(text) else text
+def printable(data: bytes) -> tuple[str, str] | None:
+    """Text and its encoding. UTF-16 is tried where at least half of the high bytes are zero."""
+    for codec, high in (("utf-8", None), ("utf-16-le", 1), ("utf-16-be", 0)):
+        if high is not None and (len(data) % 2 or 4 * data[high::2].count(0) < len(data)):
+            continue
+        try:
+            text = data.decode(codec)
+        except UnicodeDecodeError:
+            continue
+        if text and not UNPRINTABLE.search(text):
+            return text, codec
+    return None
 
 
 def decoded_run(text: str, start: int, end: int) -> tuple[str | None, Origin | None, bool]:
@@ -150,14 +168,15 @@ def decoded_run(text: str, start: int, end: int) -> tuple[str | None, Origin | N
         if inner is None:
             return None, None, True
         plain = inner
-    layer = printable(plain)
+    # what was packed was meant; bytes that are no text stay as marks in it
+    layer, codec = printable(plain) or (plain.decode(errors="replace") if packed else "", "utf-8")
     if not layer:
         return None, None, False
 
     def origin(a: int, b: int) -> tuple[int, int]:
         if packed:
             return start, end
-        first, last = len(layer[:a].encode()), len(layer[:b].encode())
+        first, last = len(layer[:a].encode(codec)), len(layer[:b].encode(codec))
         return start + first // 3 * 4, min(end, start + -(-last // 3) * 4)
 
     return layer, origin, False
@@ -196,12 +215,38 @@ def decoded_parts(text: str, start: int, end: int) -> tuple[list[tuple[str, Orig
     return under, large
 
 
+def wrapped_run(text: str, start: int, end: int) -> tuple[str | None, Origin | None, bool]:
+    """As `decoded_run`, of base64 letters that are wrapped into lines."""
+    lines = [(start + m.start(), m[0]) for m in LINE.finditer(text[start:end])]
+    at = [0, *accumulate(len(line) for _, line in lines)]
+    layer, inner, over = decoded_run("".join(line for _, line in lines), 0, at[-1])
+
+    def place(k: int) -> int:
+        j = bisect_right(at, k) - 1
+        return lines[j][0] + k - at[j]
+
+    def origin(a: int, b: int) -> tuple[int, int]:
+        first, last = inner(a, b)
+        return place(first), place(last - 1) + 1
+
+    return layer, origin, over
+
+
 def layers(text: str) -> tuple[list[tuple[str, Origin]], int]:
     """The layers directly under a text, and how many were too large."""
     under, large = [], 0
     for sign, pattern in (("%", PERCENT), ("\\", ESCAPE), ("&#", ESCAPE)):
         if sign in text and (got := unescaped(text, pattern)):
             under.append(got)
+            # forms write a blank as a plus sign
+            if sign == "%" and "+" in got[0]:
+                under.append((got[0].replace("+", " "), got[1]))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            layer, origin, over = wrapped_run(text, m.start(), m.end())
+            large += over
+            if layer:
+                under.append((layer, origin))
     for m in BASE64.finditer(text):
         layer, origin, over = decoded_run(text, m.start(), m.end())
         if layer:

@@ -1,8 +1,10 @@
 """Encoders, token files, archives and secrets against the public library or plain Python."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -166,6 +168,16 @@ SECRET = "token: abcdEFGH1234"
         (base64.b64encode(zlib.compress(base64.b64encode(SECRET.encode()))).decode(), 2),
         ("".join(f"\\u{ord(c):04x}" for c in SECRET), 1),
         ("".join(f"&#x{ord(c):x};" for c in SECRET), 1),
+        ("%ff" + "".join(f"%{b:02x}" for b in SECRET.encode()), 1),
+        ("".join(f"\\x{b:02x}" for b in b"\xff" + SECRET.encode()), 1),
+        ("token+%3D+%61bcdEFGH1234", 1),
+        (base64.b64encode(SECRET.encode("utf-16-le")).decode(), 1),
+        (base64.b64encode(SECRET.encode("utf-16-be")).decode(), 1),
+        (base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(), 1),
+        (base64.b64encode(bz2.compress(b"first") + bz2.compress(SECRET.encode())).decode(), 1),
+        (base64.b64encode(gzip.compress(b"\x00\xff" + SECRET.encode())).decode(), 1),
+        (base64.encodebytes(gzip.compress(random.Random(1).randbytes(150) + b" " + SECRET.encode())).decode().rstrip(), 1),
+        (base64.encodebytes(b"a word or two, then some more of them " + SECRET.encode() + b" and " * 20).decode().rstrip(), 1),
     ],
 )
 def test_secrets_in_layers(hidden, depth):
@@ -176,6 +188,11 @@ def test_secrets_in_layers(hidden, depth):
     assert 5 <= start < end <= 5 + len(hidden)
 
 
+def test_members_count_towards_the_size_of_a_layer(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    assert secrets.spans(base64.b64encode(gzip.compress(b"a" * 900) + gzip.compress(b"a" * 900)).decode()) == ([], 1)
+
+
 def test_secrets_base_rules(spark):
     rows = ["token: secret: abcdefgh12", "PASSWD='abcdefgh' x", "ſecret=abcdefgh", "AKIA" + "A" * 11, "AKIA" + "A" * 12, "f" * 31, "f" * 32, "z" + "0a" * 20 + "z", "", "%", "%zz \\u12 &#; &#99999999;", "A" * 5000]
     kinds = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
