@@ -31,7 +31,7 @@ from surveyfx.llm.idfiles import rename, store
 SUFFIX = ".warc.gz"
 FILE_BYTES = 1 << 25
 #: Payload bytes that fill a shard, and the most shards there can be.
-SHARD_BYTES, SLOTS = 1 << 25, 1 << 16
+SHARD_BYTES, SLOTS = 1 << 25, 1 << 13
 #: Records carry a date that is the same in every run.
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, n_records long, n_bytes long"
@@ -96,7 +96,7 @@ def sharded(keys: DataFrame, shard_bytes: int) -> tuple[Column, DataFrame]:
     # a row a slot, at most SLOTS + 1
     sizes = keys.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.orderBy("slot")) - F.col("size")
-    return slot, sizes.select("slot", F.floor(before / shard_bytes).alias("shard"))
+    return slot, written(sizes.select("slot", F.floor(before / shard_bytes).alias("shard")), "shards")
 
 
 def write_warc(df: DataFrame, folder: str, page: str = "page_id", url: str = "url", text: str = "html", file_bytes: int = FILE_BYTES, level: int = 3, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -112,7 +112,9 @@ def write_warc(df: DataFrame, folder: str, page: str = "page_id", url: str = "ur
     rows = pages.select("page", "url", "text", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("response"))
     placed = notes.unionByName(rows).withColumn("slot", slot).join(F.broadcast(shards), "slot").select("page", "url", "text", "sha", "response", "shard")
     order = F.col("shard"), F.col("page").asc_nulls_first(), F.col("sha").asc_nulls_last(), F.col("url").asc_nulls_first(), F.xxhash64("text")
-    ordered = placed.repartition("shard").sortWithinPartitions(*order)
+    # a number of partitions of their own, or small shards would be put together again
+    tasks = tasks_for(shards, shards.select("shard").distinct().count(), 1)
+    ordered = placed.repartition(tasks, "shard").sortWithinPartitions(*order)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out = None, 0, None
