@@ -185,7 +185,8 @@ def stretches(df: DataFrame, text: str = "text", doc: str = "doc_id", **options)
 
     # a document's own runs, at most two for each piece
     gathered = repeated_runs(df, text, doc, **options).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "upto", "start", "end", "first_doc_id")).alias("spans"))
-    return gathered.select("doc_id", "key", F.explode(merged("spans")).alias("s")).select("doc_id", "key", "s.*")
+    # written here, so that texts and lists go to the workers in batches of few bytes
+    return written(gathered.select("doc_id", "key", F.explode(merged("spans")).alias("s")).select("doc_id", "key", "s.*"), "stretches")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:

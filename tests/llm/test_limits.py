@@ -1,9 +1,13 @@
 """What operators hold at a time: batches by bytes, rows that grow with the input and not with its square."""
 
+import random
+from array import array
+
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from surveyfx.llm import common
+from surveyfx.llm import chosenpath, common, idfiles, substrings, words
 
 
 def test_written_tables_are_made_from_batches_of_few_bytes(spark):
@@ -16,3 +20,23 @@ def test_written_tables_are_made_from_batches_of_few_bytes(spark):
     got = common.written(texts.mapInArrow(sizes_of, "size long, rows long"), "sizes").agg(F.max("size").alias("most"), F.sum("rows").alias("rows")).first()
     assert got["rows"] == 400 and got["most"] <= 2 * common.BATCH_BYTES
     assert spark.conf.get(common.BATCH_SETTING) == before
+
+
+def long_texts(spark):
+    return spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 5_000).alias("text"))
+
+
+def test_repeats_are_looked_for_in_batches_of_few_bytes(spark, monkeypatch):
+    most, schema = 2 * common.BATCH_BYTES, substrings.RUN
+
+    def run_table(df, text, doc):
+        def task(batches):
+            for batch in batches:
+                if batch.nbytes > most:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield pa.RecordBatch.from_pylist([], schema=pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in schema.split(", ")]))
+
+        return df.mapInArrow(task, schema)
+
+    monkeypatch.setattr(substrings, "run_table", run_table)
+    assert substrings.stretches(long_texts(spark)).count() == 0
