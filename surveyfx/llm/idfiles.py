@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from surveyfx.llm.common import small_batches
+
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 23
@@ -174,7 +176,9 @@ def write_ids(df: DataFrame, folder: str, doc: str = "doc_id", ids: str = "ids",
             yield close()
 
     rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{ids}`"), F.array()).cast("array<int>").alias("ids"))
-    rows.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/manifest")
+    # a task's ids may be made by a second worker, from texts: batches of few bytes in both
+    with small_batches(df.sparkSession):
+        rows.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

@@ -22,7 +22,9 @@ from surveyfx.llm.common import without
 
 #: The word pattern of the tokenizer, and the same for ASCII and Latin letters only.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN_PATTERN = re.compile(rf"[{LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{LATIN}0-9]+")
+#: White space of the tokenizer: Python's own also counts the four separators from 1C to 1F.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PLAIN_PATTERN = re.compile(rf"[{LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}{LATIN}0-9]+")
 #: Texts whose words are looked up together, and distinct words whose ids a worker remembers; beyond, it starts anew.
 GROUP, CACHE_WORDS = 16, 400_000
 

@@ -40,3 +40,24 @@ def test_repeats_are_looked_for_in_batches_of_few_bytes(spark, monkeypatch):
 
     monkeypatch.setattr(substrings, "run_table", run_table)
     assert substrings.stretches(long_texts(spark)).count() == 0
+
+
+def test_token_files_are_made_from_batches_of_few_bytes(spark, tmp_path):
+    most = 2 * common.BATCH_BYTES
+
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: pa.Array) -> pa.Array:
+        if texts.nbytes > most:
+            raise ValueError(f"a batch of {texts.nbytes} bytes")
+        return pa.array([[1, 2]] * len(texts), pa.list_(pa.int32()))
+
+    docs = long_texts(spark).select("doc_id", ids_of("text").alias("ids"))
+    assert idfiles.write_ids(docs, f"file://{tmp_path}").agg(F.sum("n_ids")).first()[0] == 800
+
+
+def test_separators_that_only_python_takes_for_white_space():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = words.WordEncoder(path)
+    texts = ["a\x1cb c\x1d \x1e", "x\x1fy", "Ελλάς a\x1cb", "a\x85b\xa0c"]
+    want = [array("I", encoder.library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert encoder.encode(texts) == want
