@@ -9,12 +9,12 @@ seldom, and independent trees make up for what one loses (`survival` gives the c
 
 Nodes. A node of few classes is compared exhaustively: every pair of its classes is compared by sketches of their minwise tokens, and of the pairs that
 may meet the threshold all, where they are few, and otherwise a spanning forest, the likeliest first, are checked on the full sets. Nodes of which only
-a forest was checked wait until the trees have ended: most hang together by then. In those that do not, the pairs between components are checked, or,
-where they are many, the overlaps of all sets of the node are counted exactly and a forest of the true links is reported. So all pairs are compared,
-but never emitted. Several blocks of classes are compared pair of blocks by pair of blocks. A larger node branches further; its classes are also dealt into
+a forest was checked wait until the trees have ended: most hang together by then. The classes of those that do not are joined exactly, each class once:
+by the prefix index and the pivots of `jaccard.py`, with the components known so far. So all pairs are compared, but never emitted. A node of several
+blocks of classes is compared pair of blocks by pair of blocks. A larger node branches further; its classes are also dealt into
 blocks that are compared, so that a large group of near copies soon hangs together. Links join classes to components after each level, and a node within one component is
-finished: what it could still link is linked already. A node that is still large and mixed at the last depth is compared block by block, each pair of
-blocks. `sketch_loss` gives the chance that a sketch hides a similar pair.
+finished: what it could still link is linked already. The classes of a node that is still large and mixed at the last depth are joined exactly, too.
+`sketch_loss` gives the chance that a sketch hides a similar pair.
 
 Words are maximal runs of bytes other than ASCII white space, with A-Z in lower case. A text of fewer than n words is one shingle, the whole sequence;
 null texts and texts without words have the empty set, no links, and are kept. Repeated rows keep their rows. A null id counts as no id: a component is
@@ -34,17 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyfx.llm.common import row_key, tasks_for, written
-from surveyfx.llm.jaccard import class_of, components, texts_to_sets
+from surveyfx.llm.jaccard import class_of, components, describe, link_sets, texts_to_sets
 
 N, PERCENT = 5, 85
 #: Minwise tokens of a class; trees that are grown together, one after the other.
 SIGNATURE, BATCHES = 48, ((0,), (1, 2, 3, 4))
-#: Children of a node down to `WIDE` and below it; depth at which what is left is compared in full.
+#: Children of a node down to `WIDE` and below it; depth at which what is left is joined exactly.
 WIDE, CHILDREN, DEEP_CHILDREN, DEPTH = 3, 2.0, 1.3, 12
 #: Classes and shingles of a block, and blocks of a node that is compared exhaustively rather than branched.
 NODE_CLASSES, NODE_TOKENS, PAIR_BLOCKS = 700, 2_000_000, 16
-#: Members or shingles of a comparing task; pairs a class that are checked one by one.
-TASK_MEMBERS, TASK_TOKENS, FEW = 100_000, 4_000_000, 4
+#: Members of a comparing task; pairs a class that are checked one by one.
+TASK_MEMBERS, FEW = 100_000, 4
 #: Rows up to which the classes whose texts are wanted are broadcast; beyond, the same join is shuffled.
 BROADCAST_ROWS = 500_000
 #: Largest chance that a sketch may hide a pair just at the threshold.
@@ -146,36 +146,6 @@ def branches(large: DataFrame, signatures: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("order", F.explode(orders)).select(child(F.col("node"), F.col("order")).alias("node"), "cid", "n")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """(m, m) sizes of the intersections of all pairs, exactly."""
-    m = len(sets)
-    token = np.concatenate(sets)
-    of = np.repeat(np.arange(m), [len(s) for s in sets])
-    order = np.argsort(token, kind="stable")
-    token, of = token[order], of[order]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    df = np.diff(np.append(start, len(token)))
-    out = np.zeros(m * m, dtype=np.int64)
-    wide = max(8, m // 16)
-    # tokens of few sets add to each of their pairs; those of many are columns of a product
-    for size in np.unique(df[(df > 1) & (df < wide)]):
-        at = start[df == size]
-        for a in range(size - 1):
-            for b in range(a + 1, size):
-                i, j = of[at + a], of[at + b]
-                np.add.at(out, i * m + j, 1)
-    out = out.reshape(m, m)
-    out += out.T
-    often = np.flatnonzero((df >= wide) & (df > 1))
-    for a in range(0, len(often), 2048):
-        some = often[a : a + 2048]
-        x = np.zeros((m, len(some)), dtype=np.float32)
-        at = np.repeat(start[some], df[some]) + np.arange(df[some].sum()) - np.repeat(np.cumsum(df[some]) - df[some], df[some])
-        x[of[at], np.repeat(np.arange(len(some)), df[some])] = 1
-        out += (x @ x.T).astype(np.int64)
-    return out
-
-
 def forest(weight: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph, the heaviest where there is a choice; a negative weight is no edge."""
     m = len(weight)
@@ -193,11 +163,6 @@ def forest(weight: np.ndarray) -> list[tuple[int, int]]:
 PAIRS = "cell long, a long, b long"
 
 
-def values(column: pa.Array) -> list:
-    """Python values of a column, lists as arrays."""
-    return [x.values.to_numpy() for x in column] if pa.types.is_list(column.type) else column.to_pylist()
-
-
 def by_cell(members: DataFrame, columns: Sequence[str], tasks: int, pairs_of) -> DataFrame:
     """Apply `pairs_of` to the members of each cell, one cell in memory at a time; (cell, a, b) as a written table."""
 
@@ -210,7 +175,7 @@ def by_cell(members: DataFrame, columns: Sequence[str], tasks: int, pairs_of) ->
             return pa.RecordBatch.from_arrays([pa.array([cell] * len(found), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cell", "a", "b"])
 
         for batch in batches:
-            for name, *member in zip(*map(values, batch.columns)):
+            for name, *member in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != cell:
                     yield finish()
                     cell, held = name, []
@@ -221,10 +186,10 @@ def by_cell(members: DataFrame, columns: Sequence[str], tasks: int, pairs_of) ->
     return written(rows.mapInArrow(task, PAIRS), "pairs")
 
 
-def likely(percent: int, last: bool):
+def likely(percent: int):
     """Pairs of different components in a cell that may be similar by their sketches and sizes: all where they are few, or a forest of them.
 
-    A pair of nulls says that there are more; with `last`, it comes instead of the forest.
+    A pair of nulls says that there are more.
     """
     least = least_equal(percent)
 
@@ -243,8 +208,6 @@ def likely(percent: int, last: bool):
         total = int(maybe.sum()) // 2
         if total <= FEW * m:
             return [(cids[i], cids[j]) for i, j in zip(*np.nonzero(np.triu(maybe)))]
-        if last:
-            return [(None, None)]
         weight = np.where(maybe, equal.astype(np.int16), -1)
         weight[same] = SIGNATURE + 1
         return [*((cids[i], cids[j]) for i, j in forest(weight) if comp[i] != comp[j]), (None, None)]
@@ -252,56 +215,22 @@ def likely(percent: int, last: bool):
     return pairs_of
 
 
-def exact(percent: int):
-    """A forest of the links between different components in a cell, from the full sets."""
-
-    def pairs_of(cids: Sequence[int], comps: Sequence[int], sets: Sequence[np.ndarray]) -> list[tuple]:
-        comp = np.array(comps)
-        same = comp[:, None] == comp[None, :]
-        if same.all():
-            return []
-        size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        similar = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        return [(cids[i], cids[j]) for i, j in forest(np.where(same, 2, np.where(similar, 1, -1))) if comp[i] != comp[j]]
-
-    return pairs_of
-
-
-def cells(mixed_nodes: DataFrame, last: bool) -> DataFrame:
-    """Members by the cell in which they are compared: a pair of the node's blocks, or one block of a node that branches further."""
+def cells(mixed_nodes: DataFrame) -> DataFrame:
+    """Members by the cell in which they are compared: a pair of the node's blocks, or one block of a node of more than `PAIR_BLOCKS`."""
     block = F.pmod(F.xxhash64("cid", "node"), F.col("blocks"))
-    whole = F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS)
+    whole = F.col("blocks") <= PAIR_BLOCKS
     other = F.when(whole, F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.col("block").cast("int")))
     pairs = mixed_nodes.withColumn("block", block).withColumn("other", F.explode(other))
     return pairs.withColumn("cell", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
 
 
-def cells_of_nodes(nodes: DataFrame, last: bool) -> DataFrame:
+def cells_of_nodes(nodes: DataFrame) -> DataFrame:
     """(node, cell): the same cells, from the nodes alone."""
-    whole = F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS)
     rows = nodes.select("node", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("a"))
-    rows = rows.select("node", "a", F.explode(F.when(whole, F.sequence("a", F.col("blocks") - 1)).otherwise(F.array("a"))).alias("b"))
+    rows = rows.select("node", "a", F.explode(F.when(F.col("blocks") <= PAIR_BLOCKS, F.sequence("a", F.col("blocks") - 1)).otherwise(F.array("a"))).alias("b"))
     return rows.select("node", F.xxhash64("node", "a", "b").alias("cell"))
 
 
-def cells_by_component(rows: DataFrame, last: bool) -> DataFrame:
-    """Members (node, cid, n, comp, blocks) by cell, once components are known.
-
-    Classes of a node's largest component need not meet each other: each stands in one block, and only the others are laid out beside every block.
-    Where the others are many, all blocks meet in pairs as before.
-    """
-    counts = rows.groupBy("node", "comp").agg(F.count("*").alias("here")).groupBy("node").agg(F.max(F.struct("here", "comp")).alias("main"), F.sum("here").alias("m"))
-    mixed = counts.filter("m > main.here").select("node", F.col("main.comp").alias("main"), (F.col("m") - F.col("main.here")).alias("others"))
-    rows = written(rows.join(mixed, "node"), "open-members")
-    many = F.col("others") > NODE_CLASSES
-    whole = F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS)
-    block = F.pmod(F.xxhash64("cid", "node"), F.col("blocks"))
-    beside = F.when(whole & (F.col("comp") != F.col("main")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
-    few = rows.filter(~many).select("node", "cid", "n", F.explode(beside).alias("block")).select(F.xxhash64("node", "block", F.lit("main")).alias("cell"), "cid", "n")
-    return few.unionByName(cells(rows.filter(many), last).select("cell", "cid", "n"))
-
-
 class Linker:
     """Links found so far and the components they make."""
 
@@ -351,34 +280,28 @@ class Linker:
         similar = both * 100 >= (F.size("a_set") + F.size("b_set") - both) * self.percent
         self.add(written(new.join(right, "b").join(left, "a").filter(similar).select("a", "b"), "similar-pairs"))
 
-    def compare(self, members: DataFrame, size: int, last: bool = False) -> DataFrame:
+    def compare(self, members: DataFrame, size: int) -> DataFrame:
         """Find links within the cells of `members` (cell, cid, n); returns the cells with more pairs than were checked."""
         rows = self.with_comp(members.join(self.signatures.select("cid", "sketch"), "cid"))
-        pairs = by_cell(rows, ("cid", "comp", "n", "sketch"), tasks_for(members, size, TASK_MEMBERS), likely(self.percent, last))
+        pairs = by_cell(rows, ("cid", "comp", "n", "sketch"), tasks_for(members, size, TASK_MEMBERS), likely(self.percent))
         self.check(pairs)
         return written(pairs.filter("a is null").select("cell"), "dense-cells")
 
-    def finish(self, waiting: list[tuple[DataFrame, DataFrame, bool, DataFrame]]) -> None:
-        """Settle the nodes in which only a forest of some cell was checked and which still hold several components."""
+    def finish(self, waiting: list[tuple[DataFrame, DataFrame]]) -> None:
+        """Join the classes of unsettled nodes that still hold several components exactly, each class once in however many nodes it stands."""
         parts = []
-        for nodes, members, last, dense in waiting:
-            unsettled = cells_of_nodes(nodes, last).join(dense, "cell", "left_semi").select("node").distinct()
-            parts.append(cells_by_component(self.with_comp(members.join(unsettled, "node", "left_semi")), last))
+        for members, unsettled in waiting:
+            rows = self.with_comp(members.join(unsettled, "node"))
+            mixed = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node")
+            parts.append(rows.join(mixed, "node").select("cid"))
         if not parts:
             return
-        dense = written(reduce(DataFrame.unionByName, parts), "dense-members")
-        rows = self.with_comp(dense)
-        mixed = rows.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell")
-        members = written(dense.join(mixed, "cell", "left_semi"), "mixed-members")
-        if (size := members.count()) == 0:
-            return
-        dense = self.compare(members, size, last=True)
-        if dense.isEmpty():
+        wanted = written(self.signatures.select("cid", "key").join(reduce(DataFrame.unionByName, parts).distinct(), "cid", "left_semi"), "open-classes")
+        if (size := wanted.count()) == 0:
             return
-        members = members.join(dense, "cell", "left_semi")
-        tokens = members.agg(F.sum("n")).first()[0]
-        rows = self.with_comp(members.join(self.sets(members.select("cid")), "cid"))
-        self.add(by_cell(rows, ("cid", "comp", "shingles"), tasks_for(members, tokens, TASK_TOKENS), exact(self.percent)).select("a", "b"))
+        texts = self.texts.join(F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted, "key").groupBy("cid").agg(F.min("text").alias("text"))
+        rows = written(texts.select(F.col("cid").alias("key"), F.col("cid").alias("doc_id"), "text"), "open-texts")
+        self.comps = link_sets(rows, describe(rows, self.n), self.n, self.percent, self.links, self.comps)
 
 
 def link_classes(signatures: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame | None:
@@ -393,13 +316,15 @@ def link_classes(signatures: DataFrame, texts: DataFrame, n: int, percent: int)
             nodes = written(stats.select("node", blocks), "mixed-nodes")
             members = written(rows.join(nodes, "node").drop("comp"), "mixed-members")
             last = depth == DEPTH
-            copies = F.when(F.lit(last) | (F.col("blocks") <= PAIR_BLOCKS), F.col("blocks")).otherwise(1)
+            copies = F.when(F.col("blocks") <= PAIR_BLOCKS, F.col("blocks")).otherwise(1)
             total = members.agg(F.sum(copies).alias("size"), F.max("blocks").alias("blocks")).first()
             if not total["size"]:
                 break
-            dense = linker.compare(cells(members, last).select("cell", "cid", "n"), total["size"])
-            if not dense.isEmpty():
-                waiting.append((nodes, members, last, dense))
+            dense = linker.compare(cells(members).select("cell", "cid", "n"), total["size"])
+            unsettled = cells_of_nodes(nodes).join(dense, "cell", "left_semi").select("node")
+            if last:  # no branches follow that would compare what stands in different blocks
+                unsettled = unsettled.unionByName(nodes.filter(F.col("blocks") > PAIR_BLOCKS).select("node"))
+            waiting.append((members, written(unsettled.distinct(), "unsettled-nodes")))
             if last or total["blocks"] <= PAIR_BLOCKS:
                 break
             frontier = written(branches(members.filter(F.col("blocks") > PAIR_BLOCKS), signatures, depth), "children")

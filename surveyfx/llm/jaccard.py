@@ -323,10 +323,13 @@ def similar_sizes(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def link_components(index: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """(cid, comp) of all classes that are similar to another."""
-    own = index.withColumn("comp", F.col("cid"))
-    links, tried = None, None
+def link_components(index: DataFrame, shingles: DataFrame, percent: int, links: DataFrame | None = None, comps: DataFrame | None = None) -> DataFrame:
+    """(cid, comp) of all classes that are similar to another; `links` (a, b) known before, with the components they make, are kept."""
+
+    def labelled() -> DataFrame:
+        return index.withColumn("comp", F.col("cid")) if comps is None else index.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    own, tried = labelled(), None
     for final in [False] * STAR_ROUNDS + [True]:
         lists = mixed_lists(own)
         if final:
@@ -354,25 +357,31 @@ def link_components(index: DataFrame, shingles: DataFrame, percent: int) -> Data
             continue
         links = found if links is None else written(links.unionByName(found), "all-links")
         comps = components(links)
-        own = index.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        own = labelled()
     return comps if links is not None else index.select("cid", F.col("cid").alias("comp")).limit(0)
 
 
-def join_components(df: DataFrame, text: str = "text", doc: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Add `n_shingles` and `component_id` (smallest id reachable over links, the row's own included)."""
-    rows = df.select(row_key(doc, text)[0].alias("key"), F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    described = describe(rows, n)
-    sets = described.filter("n is not null").select("key", "doc_id", "n", "cid")
+def link_sets(rows: DataFrame, described: DataFrame, n: int, percent: int, links: DataFrame | None = None, comps: DataFrame | None = None) -> DataFrame:
+    """(cid, comp) of all classes of `rows` (key, doc_id, text) that are similar to another, beside what is known before."""
+    sets = described.filter("n is not null").select("key", "n", "cid")
     size = sets.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     least = max(COMMON_LEAST, COMMON_SHARE * size["docs"])
     common = described.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least).orderBy(F.col("seen").desc(), "token").limit(COMMON_MOST)
     # bounded by COMMON_MOST; which shingles are treated as common decides the order only
     often = np.sort(common.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
-    buckets = tasks_for(df, size["tokens"], BUCKET_TOKENS)
+    buckets = tasks_for(rows, size["tokens"], BUCKET_TOKENS)
     packed = pack(rows, n, percent, often, buckets)
     back = packed.groupBy("bucket").applyInArrow(count_bucket(buckets, buckets), BACK)
     index = written(back.groupBy("part").applyInArrow(index_part(percent), INDEX), "prefix-index")
-    comps = link_components(index, blobs(rows, sets, index, n), percent)
+    return link_components(index, blobs(rows, sets, index, n), percent, links, comps)
+
+
+def join_components(df: DataFrame, text: str = "text", doc: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Add `n_shingles` and `component_id` (smallest id reachable over links, the row's own included)."""
+    rows = df.select(row_key(doc, text)[0].alias("key"), F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    described = describe(rows, n)
+    sets = described.filter("n is not null").select("key", "doc_id", "n", "cid")
+    comps = link_sets(rows, described, n, percent)
     labelled = sets.join(comps, "cid", "left").select("key", "doc_id", "n", F.coalesce("comp", "cid").alias("comp"))
     labelled = written(labelled, "labelled-sets")
     names = written(labelled.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-names")

@@ -61,3 +61,32 @@ def test_separators_that_only_python_takes_for_white_space():
     texts = ["a\x1cb c\x1d \x1e", "x\x1fy", "Ελλάς a\x1cb", "a\x85b\xa0c"]
     want = [array("I", encoder.library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
     assert encoder.encode(texts) == want
+
+
+def test_rows_of_a_large_mixed_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(chosenpath, "NODE_CLASSES", 12)
+    rows_of = {}
+
+    def counted(df, name):
+        out = common.written(df, name)
+        rows_of[name] = max(rows_of.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(chosenpath, "written", counted)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def edited(words, changes):
+        words = list(words)
+        for at in rng.sample(range(len(words)), changes):
+            words[at] = f"e{rng.randrange(10**9)}"
+        return words
+
+    # any two are much alike, but only the last pair is alike enough
+    texts = [edited(base, 8) for _ in range(120)]
+    texts.append(edited(texts[7], 1))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in chosenpath.near_copies(df).collect()}
+    assert got == {k: 7 if k == 120 else k for k in range(121)}
+    # what is settled at the end has each class once, not once for every block of its node
+    assert max(rows_of.get(name, 0) for name in ("dense-members", "open-classes")) <= 121 and "open-texts" in rows_of
