@@ -63,6 +63,16 @@ def test_separators_that_only_python_takes_for_white_space():
     assert encoder.encode(texts) == want
 
 
+def test_new_words_of_latin_letters_cost_no_more_than_their_merging():
+    encoder = words.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    letters = "abcdeéßøĀst'!?-09 \n\x01\x7f×÷ÀɎ"
+    texts = ["", "l'été<|endoftext|>They'RE 1x2", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(2000))]
+    want = [array("I", encoder.library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    encoder.library = None
+    assert encoder.encode(texts) == want
+
+
 def test_rows_of_a_large_mixed_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(chosenpath, "NODE_CLASSES", 12)
     rows_of = {}
