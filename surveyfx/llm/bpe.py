@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.llm.common import without
+from surveyfx.llm.common import without, worker_tables
 
 #: The pattern that byte-level tokenizers split a text with before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -180,12 +179,12 @@ class Offsets:
         return self.blob[at].tobytes()
 
 
-@lru_cache(maxsize=2)
+@worker_tables
 def tables(path: str) -> Backtracking:
     return Backtracking(path)
 
 
-@lru_cache(maxsize=2)
+@worker_tables
 def offsets(path: str) -> Offsets:
     return Offsets(path)
 

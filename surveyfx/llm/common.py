@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list = []
+
+
+def worker_tables(make: Callable) -> Callable:
+    """Remember the tables that a tokenizer's tasks need in a worker, until a task of another kind runs there."""
+
+    @lru_cache(maxsize=2)
+    @wraps(make)
+    def kept(*args):
+        made = make(*args)
+        release()  # what reading the vocabulary took
+        return made
+
+    _tables.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Give the system back what a worker holds but does not use; it stays behind, idle, when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def drop_tables() -> None:
+    """Let go of tokenizers' tables in this worker."""
+    if any(t.cache_info().currsize for t in _tables):
+        for t in _tables:
+            t.cache_clear()
+        gc.collect()
+        release()
+
+
+def lean(task: Callable) -> Callable:
+    """The task of a `mapInArrow` that runs without tokenizers' tables in its worker, and leaves no unused memory there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
+        yield from task(batches)
+        release()
+
+    return run
+
+
 def tasks_for(df: DataFrame, rows: int, per_task: int) -> int:
     """Partitions for `rows` rows of which a task should hold `per_task`, at least the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(rows / per_task))

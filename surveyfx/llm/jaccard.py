@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.llm.common import row_key, tasks_for, written
+from surveyfx.llm.common import lean, row_key, tasks_for, written
 from surveyfx.llm.wordhash import NOT_SPACE, Words, chunks, mixed
 
 N, PERCENT = 5, 75
@@ -108,7 +108,7 @@ def describe(rows: DataFrame, n: int) -> DataFrame:
         if held:
             yield common()
 
-    return written(rows.mapInArrow(task, schema), "shingle-sets")
+    return written(rows.mapInArrow(lean(task), schema), "shingle-sets")
 
 
 PACKED = "bucket int, docs binary, tokens binary"
@@ -168,7 +168,7 @@ def pack(rows: DataFrame, n: int, percent: int, common: np.ndarray, buckets: int
                     docs, tokens, plain, size, known = [], [], [], 0, set()
         yield flush()
 
-    return rows.select("text").mapInArrow(task, PACKED)
+    return rows.select("text").mapInArrow(lean(task), PACKED)
 
 
 BACK = "part int, body binary"
@@ -277,7 +277,7 @@ def blobs(rows: DataFrame, sets: DataFrame, index: DataFrame, n: int) -> DataFra
     few = wanted.count() <= BROADCAST_ROWS
     # one text a class, also where its row is repeated
     texts = rows.join(F.broadcast(wanted) if few else wanted, "key").groupBy("cid").agg(F.min("text").alias("text"))
-    return written(texts.mapInArrow(task, "cid long, shingles binary"), "candidate-shingles")
+    return written(texts.mapInArrow(lean(task), "cid long, shingles binary"), "candidate-shingles")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +294,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 
     left = shingles.select(F.col("cid").alias("a"), F.col("shingles").alias("u"))
     right = shingles.select(F.col("cid").alias("b"), F.col("shingles").alias("v"))
-    return written(pairs.join(right, "b").join(left, "a").select("a", "b", "u", "v").mapInArrow(task, "a long, b long"), "similar-pairs")
+    return written(pairs.join(right, "b").join(left, "a").select("a", "b", "u", "v").mapInArrow(lean(task), "a long, b long"), "similar-pairs")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyfx.llm.common import without
+from surveyfx.llm.common import drop_tables, lean, without
 from surveyfx.llm.wordhash import LETTERS, LOWER, Words, chunks, mixed
 
 #: Lengths in bytes of the beginnings that are tried; 0 stands for whole words.
@@ -82,7 +82,7 @@ def counted(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                     held, size = [], 0
         yield out()
 
-    return rows.select("text").mapInArrow(task, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(task), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -172,7 +172,7 @@ def origins(labelled: DataFrame, hashes: np.ndarray) -> tuple[dict[int, int], np
                     known = known[one]
                     yield pa.RecordBatch.from_arrays([pa.array(h[known].view(np.int64)), pa.array(np.full(len(known), length, np.int32)), pa.array(head(words, use[known]).astype(np.int32))], names=["feature", "length", "head"])
 
-    rows = labelled.filter("toxic = 1").select("text").mapInArrow(task, "feature long, length int, head int").distinct()
+    rows = labelled.filter("toxic = 1").select("text").mapInArrow(lean(task), "feature long, length int, head int").distinct()
     lengths, heads = {}, np.zeros(1 << 20, dtype=bool)
     for r in rows.toPandas().itertuples(index=False):
         lengths[int(np.int64(r.feature).view(np.uint64))] = int(r.length)
@@ -265,7 +265,7 @@ def learn(labelled: DataFrame) -> tuple[Lexicon | None, np.ndarray, float]:
                 found, hits, n = zip(*lexicon.hits(words))
                 yield pa.RecordBatch.from_arrays([pa.array([f.tolist() for f in found], pa.list_(pa.int32())), pa.array(hits, pa.int32()), pa.array(n, pa.int32()), pa.array(label[at : at + len(found)], pa.int32())], names=["found", "hits", "n", "toxic"])
 
-    seen = labelled.select("text", "toxic").mapInArrow(task, "found array<int>, hits int, n int, toxic int")
+    seen = labelled.select("text", "toxic").mapInArrow(lean(task), "found array<int>, hits int, n int, toxic int")
     # a bounded sample for the fits: FIT_ROWS rows by the order of a hash
     sample = seen.orderBy(F.xxhash64("found", "hits", "n"), "n").limit(FIT_ROWS).toPandas()
     rows = [(np.asarray(f, dtype=np.int64), int(h), int(n)) for f, h, n in zip(sample["found"], sample["hits"], sample["n"])]
@@ -281,6 +281,7 @@ def score(df: DataFrame, labelled: DataFrame, text: str = "text", out: str = "sc
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        drop_tables()
         if lexicon is None:
             return pa.array(np.full(len(texts), default))
         parts = [np.zeros(0)]

@@ -12,7 +12,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyfx.llm.bpe import LATIN, OTHER, PieceCache, byte_letters
-from surveyfx.llm.common import without
+from surveyfx.llm.common import without, worker_tables
 
 #: The word pattern of the tokenizer, and the same for ASCII and Latin letters only.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -74,7 +73,7 @@ class WordEncoder:
         return [b"".join(map(ids_of, self.pieces(t))) for t in texts]
 
 
-@lru_cache(maxsize=2)
+@worker_tables
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 

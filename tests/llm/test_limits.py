@@ -3,11 +3,12 @@
 import random
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from surveyfx.llm import chosenpath, common, idfiles, substrings, words
+from surveyfx.llm import bpe, chosenpath, common, idfiles, jaccard, substrings, words
 
 
 def test_written_tables_are_made_from_batches_of_few_bytes(spark):
@@ -73,6 +74,21 @@ def test_new_words_of_latin_letters_cost_no_more_than_their_merging():
     assert encoder.encode(texts) == want
 
 
+def test_tables_of_tokenizers_do_not_stay_in_a_worker_that_does_other_work():
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, task, _):  # noqa: N802
+            return task
+
+    task = jaccard.pack(Rows(), 5, 75, np.zeros(0, np.uint64), 4)
+    bpe.tables(public_tokenizers.path("byte_bpe_50k.json")), words.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    made = list(task(iter([pa.RecordBatch.from_pydict({"text": ["one two three four five six", None]})])))
+    assert sum(b.num_rows for b in made) > 0
+    assert not bpe.tables.cache_info().currsize and not words.encoder.cache_info().currsize
+
+
 def test_rows_of_a_large_mixed_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(chosenpath, "NODE_CLASSES", 12)
     rows_of = {}
