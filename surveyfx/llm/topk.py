@@ -1,12 +1,12 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
 Vectors are turned into integers, so that scores and ties are exact, and packed into cells that hold one dimension after the other. A block of
-queries meets a cell: partial scores are accumulated a block of dimensions at a time; after each block a candidate's score can grow by no more than
-the product of the remaining lengths of the two vectors, and candidates that can no longer reach the query's k-th best score are dropped and the
-rest moved together. A task carries the best known k-th score of each query on from cell to cell, so later cells give few rows.
+queries meets a cell, a strip of candidates at a time: partial scores are accumulated a block of dimensions at a time; after each block a candidate's
+score can grow by no more than the product of the remaining lengths of the two vectors. Candidates that can no longer reach the k-th best score of any
+query are dropped and the rest moved together; once few pairs are left, those alone go on. A task carries the best known k-th score of each query on
+from cell to cell, so later cells give few rows.
 
-The queries are a stated set that meets all rows in blocks: cells are spread over salts, each block of queries is sent to every salt, and no other
-pair of rows is ever made.
+The queries are a stated set that meets all rows in blocks over a grid of tasks (`grid.py`); no other pair of rows is ever made.
 
 Vectors that are null or hold null or non-finite components, and rows without an id, take no part; nor do empty vectors. Vectors meet only
 vectors of as many dimensions. Rows with the query's own id are no candidates of it; other repeated rows each count. A query id that repeats is
@@ -22,7 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyfx.llm.grid import met, narrow, packing, wide
+
 CELL, QUERIES, DIMS = 4096, 512, 16
+#: Candidates looked at together; below one of so many pairs alive the rest are looked at one by one.
+STRIP, SPARSE = 512, 64
+NONE = np.iinfo(np.int64).min
 PACK = "dim int, n int, ids binary, parts binary"
 HIT = "query_id long, vec_id long, score long"
 
@@ -34,9 +39,9 @@ def packer(per_cell: int, scale: float):
         waiting: dict[int, list] = {}
 
         def cell(dim: int, rows: list) -> pa.RecordBatch:
-            parts = np.ascontiguousarray(np.stack([v for _, v in rows], axis=1))
+            parts = np.stack([v for _, v in rows], axis=1)
             ids = np.array([i for i, _ in rows], dtype=np.int64)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(rows)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "parts": pa.array([parts.tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(rows)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "parts": pa.array([narrow(parts)], pa.binary())})
 
         for batch in batches:
             lists = batch.column(1)
@@ -58,40 +63,70 @@ def remaining(parts: np.ndarray, dims: int) -> np.ndarray:
     return np.sqrt(np.concatenate([np.cumsum(squares[::-1], axis=0)[::-1], np.zeros((1, parts.shape[1]))]))
 
 
+def first_k(j: np.ndarray, i: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to smaller ids."""
+    order = np.lexsort((ids[i], -score, j))
+    j, i, score = j[order], i[order], score[order]
+    best = np.arange(len(j)) - np.searchsorted(j, j) < k
+    return j[best], i[best], score[best]
+
+
 def search_cell(queries: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, score) of what may be among the k best; raises `least`, the known lower bounds of the k-th scores."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(cells).max(initial=0)) * len(cells)
-    kind = np.float64 if top < 2**53 else np.int64  # both exact
-    q, c = queries.astype(kind), cells.astype(kind)
     q_rest, c_rest = remaining(queries, dims), remaining(cells, dims)
-    first = q[:dims].T @ c[:dims]
-    # the longest candidates give a first bound
-    seed = np.argsort(-c_rest[0], kind="stable")[: 4 * k]
-    scores = (q.T @ c[:, seed]).astype(np.int64)
-    scores[query_ids[:, None] == ids[seed][None, :]] = np.iinfo(np.int64).min
-    if scores.shape[1] >= k:
-        np.maximum(least, np.partition(scores, -k, axis=1)[:, -k], out=least)
-    out = []
-    for j in range(q.shape[1]):
-        bound = first[j] + q_rest[1, j] * c_rest[1]
-        alive = np.flatnonzero((bound + 1 + 1e-9 * np.abs(bound) >= least[j]) & (ids != query_ids[j]))
-        score = first[j, alive]
-        for b in range(1, len(q_rest) - 1):
-            at = slice(b * dims, (b + 1) * dims)
-            score = score + q[at, j] @ c[at][:, alive]
-            bound = score + q_rest[b + 1, j] * c_rest[b + 1, alive]
-            keep = bound + 1 + 1e-9 * np.abs(bound) >= least[j]
-            alive, score = alive[keep], score[keep]
+    # no sum over some of the dimensions, in whatever order, passes the product of the lengths: below these bounds each kind is exact
+    top = float(q_rest[0].max(initial=0)) * float(c_rest[0].max(initial=0)) * (1 + 1e-9) + 1
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+    q, c = queries.astype(kind), cells.astype(kind)
+    if (least == NONE).any():
+        # the longest candidates give a first bound
+        seed = np.argsort(-c_rest[0], kind="stable")[: max(4 * k, STRIP)]
+        scores = (q.T @ c[:, seed]).astype(np.int64)
+        scores[query_ids[:, None] == ids[seed][None, :]] = NONE
+        if scores.shape[1] >= k:
+            np.maximum(least, np.partition(scores, -k, axis=1)[:, -k], out=least)
+    real = np.float32 if kind == np.float32 else np.float64
+    reach, c_rest = (q_rest * (1 + 1e-6)).astype(real), c_rest.astype(real)  # more than what rounding takes
+    found = []
+    for a in range(0, c.shape[1], STRIP):
+        at = np.arange(a, min(a + STRIP, c.shape[1]))
+        strip = c[:, at]
+        enough = (least - (2 + 1e-9 * np.abs(least.astype(np.float64)))).astype(real)[:, None]
+        score = q[:dims].T @ strip[:dims]
+        b = 1
+        while True:
+            # after b blocks of dimensions
+            alive = score + reach[b][:, None] * c_rest[b, at] >= enough
+            n = np.count_nonzero(alive)
+            if b == len(q_rest) - 1 or n * SPARSE < alive.size:
+                break
+            some = alive.any(axis=0)
+            if np.count_nonzero(some) < 0.75 * len(at):
+                at, strip, score = at[some], strip[:, some], score[:, some]
+            block = slice(b * dims, (b + 1) * dims)
+            score += q[block].T @ strip[block]
+            b += 1
+        if n > 8 * k * len(least) and top * STRIP < 2**62:
+            # copies: many of a strip reach the bound, of which the first k by score and id stay
+            place = np.argsort(np.argsort(ids[at], kind="stable"), kind="stable")
+            key = np.where(alive & (query_ids[:, None] != ids[at]), score.astype(np.int64) * len(at) - place, NONE)
+            alive = np.zeros_like(alive)
+            np.put_along_axis(alive, np.argpartition(key, -k, axis=1)[:, -k:], True, axis=1)
+            alive &= key != NONE
+        j, i = np.nonzero(alive)
+        score, i = score[j, i], at[i]
+        for b in range(b, len(q_rest) - 1):
+            block = slice(b * dims, (b + 1) * dims)
+            score = score + (q[block][:, j] * c[block][:, i]).sum(axis=0)
+            keep = score + reach[b + 1, j] * c_rest[b + 1, i] >= enough[j, 0]
+            j, i, score = j[keep], i[keep], score[keep]
         score = score.astype(np.int64)
-        keep = score >= least[j]
-        alive, score = alive[keep], score[keep]
-        if len(alive) > k:
-            best = np.lexsort((ids[alive], -score))[:k]
-            alive, score = alive[best], score[best]
-        if len(score) == k:
-            least[j] = max(least[j], score.min())
-        out.append((np.full(len(alive), j), alive, score))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        keep = (score >= least[j]) & (ids[i] != query_ids[j])
+        found.append((j[keep], i[keep], score[keep]))
+    j, i, score = first_k(*(np.concatenate(x) for x in zip(*found)), ids, k)
+    last = np.flatnonzero(np.arange(len(j)) - np.searchsorted(j, j) == k - 1)
+    np.maximum.at(least, j[last], score[last])
+    return j, i, score
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0, dims: int = DIMS) -> DataFrame:
@@ -100,21 +135,21 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     named = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = named.filter(F.col("id").isNotNull() & (F.size("v") > 0) & whole)
     asked = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cells = rows.select("id", "v").mapInArrow(packer(CELL, scale), PACK).withColumn("salt", (F.abs(F.xxhash64("ids")) % salts).cast("int"))
-    blocks = asked.mapInArrow(packer(QUERIES, scale), PACK).select("dim", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"))
+    n_rows, n_asked = rows.agg(F.count("*"), F.count_if("asks")).first()
+    cells = rows.select("id", "v").mapInArrow(packer(CELL, scale), PACK)
+    blocks = packing(asked, n_asked).mapInArrow(packer(QUERIES, scale), PACK)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for dim, q_ids, q_parts, c_ids, c_parts in zip(*batch.columns):
-                dim, name = dim.as_py(), q_ids.as_py()
-                qi, ci = np.frombuffer(name, np.int64), np.frombuffer(c_ids.as_py(), np.int64)
-                q, c = np.frombuffer(q_parts.as_py(), np.int64).reshape(dim, -1), np.frombuffer(c_parts.as_py(), np.int64).reshape(dim, -1)
-                least = known.setdefault(name, np.full(len(qi), np.iinfo(np.int64).min))
+            for row in zip(*batch.columns):
+                dim, name, q_parts, c_ids, c_parts = (x.as_py() for x in row)
+                qi, ci = np.frombuffer(name, np.int64), np.frombuffer(c_ids, np.int64)
+                q, c = wide(q_parts, dim, len(qi)), wide(c_parts, dim, len(ci))
+                least = known.setdefault(name, np.full(len(qi), NONE))
                 j, i, score = search_cell(q, c, qi, ci, least, k, dims)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[j]), pa.array(ci[i]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    pairs = cells.join(blocks, ["dim", "salt"]).select("dim", "q_ids", "q_parts", "ids", "parts")
+    pairs = met(blocks, cells, n_asked, n_rows, QUERIES, CELL).select("dim", "q_ids", "q_parts", "ids", "parts")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.mapInArrow(task, HIT).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from surveyfx.llm import decontaminate, jaccard, lines, substrings, topk
+from surveyfx.llm import decontaminate, grid, jaccard, lines, substrings, topk
 from surveyfx.llm.wordhash import NOT_SPACE, chunks
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "ra se ti no pu la me si to nu".split()]
@@ -43,6 +43,42 @@ def test_top_k_with_ties_and_gaps(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_blocks_of_queries_are_never_broadcast(spark):
+    """However small they look: they stand for a copy for each salt."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0, k=3)
+    assert len(found.collect()) == 12
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_what_is_dealt_out_stays_in_proportion_to_the_cells():
+    for rows in (10**3, 10**5, 10**7, 10**9):
+        for queries in (1, rows // 100, rows):
+            groups, salts = grid.sides(100 * rows // 10**6 + 12, queries, rows, 512, 4096)
+            assert 1 <= salts <= -(-rows // 4096) and 1 <= groups <= -(-queries // 512)
+            assert rows * groups + queries * salts <= 8 * rows + queries
+
+
+@pytest.mark.parametrize("size", [30, 1000, 10**7, 10**9])
+def test_cells_one_after_the_other_give_the_best(size):
+    rng = np.random.default_rng(size)
+    q_ids, q = np.arange(0, 300, 10), rng.integers(-size, size, (20, 30))
+    least, hits, cells, ids = np.full(30, topk.NONE), [], [], []
+    for c in range(4):
+        cell = rng.integers(-size, size, (20, 700))
+        cell[:, 300:600] = cell[:, [c * 10]] if c % 2 else q[:, [3]]  # more copies than are asked for
+        own = rng.permutation(700) + 700 * c
+        j, i, score = topk.search_cell(q, grid.wide(grid.narrow(cell), 20, 700), q_ids, own, least, 6, 8)
+        hits += zip(q_ids[j].tolist(), (-score).tolist(), own[i].tolist())
+        cells.append(cell), ids.append(own)
+    cell, own = np.concatenate(cells, axis=1), np.concatenate(ids)
+    for a, v in zip(q_ids, q.T):
+        best = sorted((-int(x), int(i)) for x, i in zip(v @ cell, own) if i != a)[:6]
+        assert sorted(h[1:] for h in hits if h[0] == a)[:6] == best
+
+
 # --- lines ---
 
 
