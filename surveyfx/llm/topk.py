@@ -22,12 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyfx.llm.grid import met, narrow, packing, wide
+from surveyfx.llm.grid import NONE, SPARSE, STRIP, first_k, met, narrow, packing, wide
 
 CELL, QUERIES, DIMS = 4096, 512, 16
-#: Candidates looked at together; below one of so many pairs alive the rest are looked at one by one.
-STRIP, SPARSE = 512, 64
-NONE = np.iinfo(np.int64).min
 PACK = "dim int, n int, ids binary, parts binary"
 HIT = "query_id long, vec_id long, score long"
 
@@ -63,14 +60,6 @@ def remaining(parts: np.ndarray, dims: int) -> np.ndarray:
     return np.sqrt(np.concatenate([np.cumsum(squares[::-1], axis=0)[::-1], np.zeros((1, parts.shape[1]))]))
 
 
-def first_k(j: np.ndarray, i: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query, ties to smaller ids."""
-    order = np.lexsort((ids[i], -score, j))
-    j, i, score = j[order], i[order], score[order]
-    best = np.arange(len(j)) - np.searchsorted(j, j) < k
-    return j[best], i[best], score[best]
-
-
 def search_cell(queries: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, score) of what may be among the k best; raises `least`, the known lower bounds of the k-th scores."""
     q_rest, c_rest = remaining(queries, dims), remaining(cells, dims)

@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from surveyfx.llm import chosenpath, merkle, negatives
+from surveyfx.llm.grid import narrow
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "ra se ti no pu la me si to nu".split()]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -275,3 +277,42 @@ def test_the_scan_drops_no_candidate_of_a_window():
     at, score = negatives.scan(anchor, cell, cell.min(axis=1), cell.max(axis=1), np.ones(500, bool), keep, 4)
     inside = np.flatnonzero((scores >= low) & (scores <= high))
     assert set(inside) <= set(at) and (score == scores[at]).all() and seen[-1] < seen[0]
+
+
+def test_blocks_of_anchors_are_never_broadcast(spark):
+    """However small they look: they stand for a copy for each salt."""
+    rng = np.random.default_rng(19)
+    df = spark.createDataFrame([(i, i % 3, rng.normal(0.5, 1, 8).tolist()) for i in range(200)], "vec_id long, label int, embedding array<double>")
+    found = negatives.mine(df, F.col("vec_id") % 50 == 0)
+    assert len(found.collect()) > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_known_scores_of_one_cell_spare_work_on_the_next():
+    """What a task gives for a second cell is little, as the first cell's best scores bound it; with many copies as well."""
+    rng = np.random.default_rng(23)
+    anchors, labels = rng.integers(-90, 90, (16, 60)), np.sort(rng.integers(0, 3, 60))
+    blobs = lambda ids, labels, parts, wanted: (ids.astype(np.int64).tobytes(), narrow(labels), narrow(parts), wanted.tobytes())
+    for windows in (0, 2):
+        pairs, cells = [], []
+        for c in range(4):
+            cell, own, lab = rng.integers(-90, 90, (16, 900)), 1000 + rng.permutation(900) + 900 * c, np.sort(rng.integers(0, 3, 900))
+            cell[:, 100:500] = cell[:, [0]]
+            cells.append((own, lab, cell))
+        scores = anchors.T @ np.concatenate([c for _, _, c in cells], axis=1)
+        wanted = -np.sort(-scores, axis=1)[:, [3, 400]][:, :windows].astype(np.int64)
+        for own, lab, cell in cells:
+            a, c = blobs(np.arange(60), labels, anchors, wanted), blobs(own, lab, cell, wanted[:0])
+            row = (16, *a, *c[:3])
+            pairs.append(pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if n == 0 else pa.binary()) for n, x in enumerate(row)], names=[f"c{n}" for n in range(8)]))
+        got = [b.to_pylist() for b in negatives.searcher(5, windows, 80, 100, 4)(iter(pairs))]
+        assert len(got[3]) < len(got[0]) * 0.8
+        ids, labs = np.concatenate([x[0] for x in cells]), np.concatenate([x[1] for x in cells])
+        for j in range(60):
+            for w in range(max(windows, 1)):
+                fit = labs != labels[j] if windows else labs == labels[j]
+                if windows:
+                    fit &= (100 * scores[j] >= 80 * wanted[j, w]) & (100 * scores[j] <= 100 * wanted[j, w])
+                best = sorted((-int(s), int(i)) for s, i in zip(scores[j][fit], ids[fit]))[:5]
+                assert sorted((-h["score"], h["id"]) for b in got for h in b if h["anchor_id"] == j and h["window"] == w)[:5] == best
