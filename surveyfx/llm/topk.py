@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyfx.llm.common import written
 from surveyfx.llm.grid import NONE, SPARSE, STRIP, first_k, met, narrow, packing, wide
 
 CELL, QUERIES, DIMS = 4096, 512, 16
@@ -60,9 +61,9 @@ def remaining(parts: np.ndarray, dims: int) -> np.ndarray:
     return np.sqrt(np.concatenate([np.cumsum(squares[::-1], axis=0)[::-1], np.zeros((1, parts.shape[1]))]))
 
 
-def search_cell(queries: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_cell(queries: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, dims: int, rests: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, score) of what may be among the k best; raises `least`, the known lower bounds of the k-th scores."""
-    q_rest, c_rest = remaining(queries, dims), remaining(cells, dims)
+    q_rest, c_rest = rests or (remaining(queries, dims), remaining(cells, dims))
     # no sum over some of the dimensions, in whatever order, passes the product of the lengths: below these bounds each kind is exact
     top = float(q_rest[0].max(initial=0)) * float(c_rest[0].max(initial=0)) * (1 + 1e-9) + 1
     kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
@@ -76,13 +77,14 @@ def search_cell(queries: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, i
             np.maximum(least, np.partition(scores, -k, axis=1)[:, -k], out=least)
     real = np.float32 if kind == np.float32 else np.float64
     reach, c_rest = (q_rest * (1 + 1e-6)).astype(real), c_rest.astype(real)  # more than what rounding takes
-    found = []
+    found, first = [], 1
     for a in range(0, c.shape[1], STRIP):
         at = np.arange(a, min(a + STRIP, c.shape[1]))
         strip = c[:, at]
         enough = (least - (2 + 1e-9 * np.abs(least.astype(np.float64)))).astype(real)[:, None]
-        score = q[:dims].T @ strip[:dims]
-        b = 1
+        # looks that dropped few of the last strip are left out, one fewer if the first that is taken drops nearly all
+        b = first
+        score = q[: b * dims].T @ strip[: b * dims]
         while True:
             # after b blocks of dimensions
             alive = score + reach[b][:, None] * c_rest[b, at] >= enough
@@ -95,6 +97,7 @@ def search_cell(queries: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, i
             block = slice(b * dims, (b + 1) * dims)
             score += q[block].T @ strip[block]
             b += 1
+        first = max(1, b - (n * SPARSE * SPARSE < alive.size))
         if n > 8 * k * len(least) and top * STRIP < 2**62:
             # copies: many of a strip reach the bound, of which the first k by score and id stay
             place = np.argsort(np.argsort(ids[at], kind="stable"), kind="stable")
@@ -129,16 +132,22 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     blocks = packing(asked, n_asked).mapInArrow(packer(QUERIES, scale), PACK)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        last = None
         for batch in batches:
             for row in zip(*batch.columns):
                 dim, name, q_parts, c_ids, c_parts = (x.as_py() for x in row)
                 qi, ci = np.frombuffer(name, np.int64), np.frombuffer(c_ids, np.int64)
                 q, c = wide(q_parts, dim, len(qi)), wide(c_parts, dim, len(ci))
-                least = known.setdefault(name, np.full(len(qi), NONE))
-                j, i, score = search_cell(q, c, qi, ci, least, k, dims)
+                if (dim, c_parts) != last:
+                    last, c_rest = (dim, c_parts), remaining(c, dims)
+                if name not in known:
+                    known[name] = np.full(len(qi), NONE), remaining(q, dims)
+                least, q_rest = known[name]
+                j, i, score = search_cell(q, c, qi, ci, least, k, dims, (q_rest, c_rest))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[j]), pa.array(ci[i]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     pairs = met(blocks, cells, n_asked, n_rows, QUERIES, CELL).select("dim", "q_ids", "q_parts", "ids", "parts")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.mapInArrow(task, HIT).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = pairs.mapInArrow(task, HIT).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return written(best, "best")  # for its batches of few bytes
