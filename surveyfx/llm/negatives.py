@@ -221,4 +221,5 @@ def mine(
     scores = kept.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("window", "positive_score"))), lambda s: s["positive_score"]).alias("scores"))
     wanting = asked.join(scores.withColumnRenamed("anchor_id", "id").hint("merge"), "id").select("id", "label", "v", "scores")
     hits = first_rows(pairs(wanting, searcher(negatives, positives, low, high, dims), positives), ["anchor_id", "window"], negatives)
+    hits = written(hits, "negatives")  # for its batches of few bytes
     return hits.join(kept.hint("merge"), ["anchor_id", "window"]).select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -279,8 +279,9 @@ def test_the_scan_drops_no_candidate_of_a_window():
     assert set(inside) <= set(at) and (score == scores[at]).all() and seen[-1] < seen[0]
 
 
-def test_blocks_of_anchors_are_never_broadcast(spark):
+def test_blocks_of_anchors_are_never_broadcast(spark, monkeypatch):
     """However small they look: they stand for a copy for each salt."""
+    monkeypatch.setattr(negatives, "written", lambda df, name: df)
     rng = np.random.default_rng(19)
     df = spark.createDataFrame([(i, i % 3, rng.normal(0.5, 1, 8).tolist()) for i in range(200)], "vec_id long, label int, embedding array<double>")
     found = negatives.mine(df, F.col("vec_id") % 50 == 0)
